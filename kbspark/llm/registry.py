@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import chat, decontaminate, secrets
+from kbspark.llm import chat, decontaminate, line_dedup, packing, secrets
 from kbspark.llm.common import table
 
 
@@ -25,5 +25,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_decontaminate, op8_chat_format)}
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op8_chat_format": chat.ORACLE}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_decontaminate, op6_line_dedup, op8_chat_format, op10_pack)}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE}
