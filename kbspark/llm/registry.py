@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import chat, decontaminate, line_dedup, near_dup, packing, secrets
+from kbspark.llm import chat, decontaminate, language_id, line_dedup, near_dup, packing, secrets, toxicity
 from kbspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.split_and_identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -33,9 +37,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op5_decontaminate, op6_line_dedup, op8_chat_format, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op5_decontaminate, op6_line_dedup, op7_language_id, op8_chat_format, op9_toxicity, op10_pack)}
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE}
