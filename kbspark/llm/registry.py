@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kbspark.llm import chat, decontaminate, language_id, line_dedup, near_dup, packing, secrets, toxicity
+from kbspark.llm import chat, decontaminate, html_text, language_id, line_dedup, near_dup, nearest, packing, secrets, toxicity
 from kbspark.llm.common import table
 
 
@@ -18,6 +19,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.digest(html_text.extract(pages, html_text.train(pages)))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -46,5 +56,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op5_decontaminate, op6_line_dedup, op7_language_id, op8_chat_format, op9_toxicity, op10_pack)}
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_html_text, op4_nearest, op5_decontaminate, op6_line_dedup, op7_language_id, op8_chat_format, op9_toxicity, op10_pack)}
+ORACLES: dict[str, str] = {"op4_nearest": nearest.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE}
