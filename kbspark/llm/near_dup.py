@@ -119,34 +119,69 @@ def signatures(docs: DataFrame, registers: int) -> DataFrame:
 
 
 def forest(level: float, exact: bool, registers: int):
-    """For the rows of a bucket (or of two of its blocks): edges of a spanning forest between rows of different classes. Estimates go from
-    the best to `level`; with exact, a pair counts if its true similarity is at least `level`."""
+    """For rows sorted by bucket (key) and pair of blocks (p, q): edges (a, b) of a spanning forest of each group between rows of different
+    classes. Estimates go from the best to `level`; with exact, a pair counts if its true similarity is at least `level`."""
     low = level - 4 * (level * (1 - level) / registers) ** 0.5
+    steps = [low] if exact else [1.0, 0.95, 0.9, 0.86, 0.83, 0.8, 0.76, low]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t").drop_duplicates("t")
-        t, names = rows["t"].to_numpy(), np.unique(rows["class"], return_inverse=True)[1]
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), registers)
-        near = np.empty((len(rows), len(rows)), np.uint16)
-        for i in range(len(rows)):
-            near[i] = (sig == sig[i]).sum(axis=1)
-        made = []
-        if exact:
-            full = [(np.frombuffer(k, np.int64), np.frombuffer(w, np.int32)) for k, w in zip(rows["keys"], rows["weights"], strict=True)]
-        levels = [low] if exact else [1.0, 0.95, 0.9, 0.86, 0.83, 0.8, 0.76, low]
-        for at in levels:
-            for i in range(len(rows)):
+    def one(t: np.ndarray, names: np.ndarray, sig: np.ndarray, full: list[tuple] | None) -> Iterator[tuple]:
+        near = np.stack([(sig == s).sum(axis=1) for s in sig])
+        names = names.copy()
+        for at in steps:
+            for i in range(1, len(t)):
                 for j in np.flatnonzero((near[i, :i] >= at * registers) & (names[:i] != names[i])):
-                    if names[i] != names[j] and (not exact or similarity(full[i], full[j]) >= level):
+                    if names[i] != names[j] and (full is None or similarity(full[i], full[j]) >= level):
                         names[names == names[i]] = names[j]
-                        made.append((t[j], t[i]))
-            if names.max() == names.min() or (names == names[0]).all():
-                break
+                        yield t[j], t[i]
+            if (names == names[0]).all():
+                return
+
+    def groups(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        t, names = rows["t"].to_numpy(), rows["class"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), registers)
+        full = [(np.frombuffer(k, np.int64), np.frombuffer(w, np.int32)) for k, w in zip(rows["keys"], rows["weights"], strict=True)] if exact else None
+        size, made = np.diff(cuts), []
+        if not exact:  # most groups are pairs, and go at once
+            first = cuts[:-1][size == 2]
+            good = (names[first] != names[first + 1]) & ((sig[first] == sig[first + 1]).sum(axis=1) >= low * registers)
+            made = list(zip(t[first[good]], t[first[good] + 1], strict=True))
+        for a, n in zip(cuts[:-1], size, strict=True):
+            if n > 2 or (exact and n == 2):
+                made += one(t[a : a + n], names[a : a + n], sig[a : a + n], full and full[a : a + n])
         return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
 
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # the last group may go on in the next page
+        for page in pages:
+            if not len(page):
+                continue
+            key = page[["key", "p", "q"]].to_numpy()
+            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if rest and (rest[0][["key", "p", "q"]].to_numpy()[0] != key[0]).any():
+                whole = pd.concat(rest)
+                yield groups(whole, np.array([0, len(whole)]))
+                rest = []
+            if not len(new):
+                rest.append(page)
+                continue
+            head = pd.concat([*rest, page.iloc[: new[-1]]])
+            more = len(head) - new[-1]
+            yield groups(head, np.concatenate([[0], new + more]))
+            rest = [page.iloc[new[-1] :]]
+        if rest:
+            whole = pd.concat(rest)
+            yield groups(whole, np.array([0, len(whole)]))
+
     return run
 
 
+def edges_within(rows: DataFrame, block: int, level: float, exact: bool, registers: int) -> DataFrame:
+    """Distinct edges (a, b) of the buckets. Groups are sorted into streams, so that small ones cost no call of their own."""
+    order = ["key", "p", "q"]
+    d = dealt(rows, block)
+    return d.repartition(*order).sortWithinPartitions(*order, "t").mapInPandas(forest(level, exact, registers), "a long, b long").distinct()
+
+
 def dealt(rows: DataFrame, block: int) -> DataFrame:
     """Adds p and q, the two blocks of the bucket (key) that are compared; a bucket of up to `block` rows has one block."""
     size = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -172,8 +207,7 @@ def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows:
     member = materialize(keyed.join(shared, "key", "left_semi"), "members")
 
     with_sig = member.join(texts.select("t", "sig"), "t").withColumn("class", F.col("t"))
-    edge = dealt(with_sig, block).groupBy("key", "p", "q").applyInPandas(forest(level, False, registers), "a long, b long")
-    edges = materialize(edge.distinct(), "pairs")
+    edges = materialize(edges_within(with_sig, block, level, False, registers), "pairs")
     sets = candidate_shingles(docs, texts, member.select("t").distinct())
     sets = materialize(sets, "shingles")
 
@@ -188,8 +222,7 @@ def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows:
         open_keys = apart.join(member.withColumnRenamed("t", "a"), "a").join(member.withColumnRenamed("t", "b"), ["b", "key"]).select("key").distinct()
         again = member.join(open_keys, "key", "left_semi").join(found.withColumnRenamed("node", "t"), "t", "left").withColumn("class", F.coalesce("component", "t")).drop("component")
         again = again.join(texts.select("t", "sig"), "t").join(sets, "t")
-        more = dealt(again, block).groupBy("key", "p", "q").applyInPandas(forest(level, True, registers), "a long, b long").distinct()
-        more = materialize(more, "more_links")
+        more = materialize(edges_within(again, block, level, True, registers), "more_links")
         if not more.isEmpty():
             found = connected_components(good.union(more))
 
@@ -201,7 +234,7 @@ def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows:
     return out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
-def candidate_shingles(docs: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def candidate_shingles(docs: DataFrame, texts: DataFrame, wanted: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """t, keys, weights (binaries of int64 and int32, by key) of the wanted texts."""
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,12 +244,15 @@ def candidate_shingles(docs: DataFrame, texts: DataFrame, wanted: DataFrame) ->
             by_key = [(k[(o := np.argsort(k.view(np.int64)))].view(np.int64).tobytes(), w[o].astype(np.int32).tobytes()) for k, w in zip(np.split(key, cut), np.split(weight, cut), strict=True)]
             yield pd.DataFrame({"t": page["t"].to_numpy(), "keys": [k for k, _ in by_key], "weights": [w for _, w in by_key]})
 
-    # One row stands for all equal texts: the one that has the least id among them.
-    pick = texts.join(wanted, "t", "left_semi").select("t", F.col("least").alias("id"))
-    d = docs.select(F.col("doc_id").alias("id"), F.transform(folded_words(text_or_empty()), lambda x: F.xxhash64(x)).alias("w"))
-    d = d.withColumn("t", F.xxhash64(F.xxhash64("w"), F.xxhash64(F.lit(1), F.reverse("w"))))
-    one = d.join(pick, (d.t == pick.t) & d.id.eqNullSafe(pick.id), "left_semi").dropDuplicates(["t"])
-    return one.select("t", "w").mapInPandas(run, "t long, keys binary, weights binary")
+    # One row stands for all equal texts: the one that has the least id among them. Words are made after the join.
+    pick = materialize(texts.join(wanted, "t", "left_semi").select(F.col("t").alias("pick"), F.col("least").alias("least")), "wanted")
+    if pick.count() <= max_broadcast:
+        pick = F.broadcast(pick)
+    d = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
+    d = d.join(pick, d.id.eqNullSafe(pick.least)).select("pick", F.transform(folded_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    same = F.col("pick") == F.xxhash64(F.xxhash64("w"), F.xxhash64(F.lit(1), F.reverse("w")))
+    one = d.filter(same).select(F.col("pick").alias("t"), "w").dropDuplicates(["t"])
+    return one.mapInPandas(run, "t long, keys binary, weights binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
