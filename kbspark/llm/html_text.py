@@ -158,12 +158,14 @@ def parse(page_html: str, page: int, out: Nodes) -> None:
 def features(x: Nodes) -> np.ndarray:
     """Nodes x features. Sums over subtrees go up level by level, ancestors' names go down."""
     parent, depth, tag, names = (np.array(v, np.int64) for v in (x.parent, x.depth, x.tag, x.names))
-    n, page = len(parent), np.array(x.page)
+    n, page = len(parent), np.array(x.page, np.int64)
+    if not n:
+        return np.zeros((0, 0))
     leaf = tag == TAG_OF["#text"]
     inside = np.stack([np.array(x.chars, float), np.array(x.links, float), np.array(x.stops, float), np.ones(n), leaf, tag == TAG_OF["p"], tag == TAG_OF["li"], np.isin(tag, [TAG_OF["h1"], TAG_OF["h2"], TAG_OF["h3"]])], axis=1).astype(float)
     above, tag_above = np.zeros(n, np.int64), np.zeros(n, np.int64)
     special = np.array([1 << i if t in ("nav", "header", "footer", "aside", "form", "article", "main", "head", "button", "label", "select", "figure") else 0 for i, t in enumerate(TAGS)] + [0], np.int64)
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)] if n else []
+    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
     for rows in reversed(levels[1:]):
         np.add.at(inside, parent[rows], inside[rows])
     for rows in levels[1:]:
@@ -174,7 +176,7 @@ def features(x: Nodes) -> np.ndarray:
     up = np.where(has, parent, 0)
     kids = np.bincount(parent[has], minlength=n)
     order = np.lexsort((np.arange(n), up))
-    first = np.r_[True, up[order][1:] != up[order][:-1]] if n else np.zeros(0, bool)
+    first = np.r_[True, up[order][1:] != up[order][:-1]]
     place = np.empty(n)
     place[order] = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
     before, after = np.zeros(n), np.zeros(n)
@@ -183,11 +185,11 @@ def features(x: Nodes) -> np.ndarray:
     after[order[:-1][same]] = chars[order[1:][same]]
     pair = up * (N_TAGS + 1) + tag
     alike = np.unique(pair, return_inverse=True, return_counts=True)
-    whole = np.zeros(page.max() + 1 if n else 0)
+    whole = np.zeros(page.max() + 1)
     np.maximum.at(whole, page, chars)
     dense = [depth, np.log1p(chars), links / np.maximum(chars, 1), stops / np.maximum(chars, 1), chars / nodes, np.log1p(nodes), leaves, ps, lis, heads, kids, chars / np.maximum(whole[page], 1), place, kids[up], alike[2][alike[1]] / np.maximum(kids[up], 1), np.log1p(before), np.log1p(after), tag[up], chars / np.maximum(chars[up], 1)]
     bits = [tag == i for i in range(N_TAGS + 1)] + [(v >> i) & 1 for v in (names, above) for i in range(N_GROUPS)] + [(tag_above >> i) & 1 for i in range(N_TAGS) if special[i]]
-    return np.stack([np.asarray(c, float) for c in dense + bits], axis=1) if n else np.zeros((0, 1))
+    return np.stack([np.asarray(c, float) for c in dense + bits], axis=1)
 
 
 class Boosted:
@@ -228,7 +230,10 @@ class Boosted:
         return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)], axis=1).astype(np.uint8)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        b, score = self.binned(x), np.full(len(x), self.base)
+        score = np.full(len(x), self.base)
+        if not len(x):
+            return score
+        b = self.binned(x)
         for splits, value in self.trees:
             node = np.zeros(len(x), np.int64)
             for feature, cut in splits:
@@ -239,7 +244,7 @@ class Boosted:
 
 def decode(x: Nodes, p: np.ndarray) -> np.ndarray:
     """Which nodes are kept: the most likely labelling in which children of a dropped node are dropped."""
-    parent, depth = np.array(x.parent), np.array(x.depth)
+    parent, depth = np.array(x.parent, np.int64), np.array(x.depth, np.int64)
     p = np.clip(p, 1e-4, 1 - 1e-4)
     keep, drop = np.log(p), np.log(1 - p)
     levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)] if len(p) else []
@@ -341,7 +346,7 @@ def labelled(pages: list[str], layouts: int, seed: int) -> tuple[np.ndarray, np.
             page_no += 1
             y += [bool(t and MARK in t) for t in x.text[start:]]
     label = np.array(y, bool)
-    parent, depth = np.array(x.parent), np.array(x.depth)
+    parent, depth = np.array(x.parent, np.int64), np.array(x.depth, np.int64)
     for d in range(depth.max() if len(depth) else 0, 0, -1):  # a node holds main text if a child does
         rows = np.flatnonzero((depth == d) & label)
         label[parent[rows]] = True
@@ -352,7 +357,7 @@ def train(pages: DataFrame, max_pages: int = 150, layouts: int = 6, seed: int =
     """Fits the trees on max_pages pages (those with the least hash of the html) and `layouts` layouts of each."""
     sample = [r["html"] for r in pages.filter("html is not null").select("html").distinct().orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()]
     x, y = labelled(sample, layouts, seed)
-    return Boosted(x if len(x) else np.zeros((0, 1)), y)
+    return Boosted(x, y)
 
 
 def extract(pages: DataFrame, model: Boosted) -> DataFrame:
