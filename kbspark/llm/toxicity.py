@@ -73,14 +73,34 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def flat(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(w) for w in words], np.int64)
-    return np.repeat(np.arange(len(words)), n), np.concatenate(words) if len(words) else np.zeros(0, np.int64)
+class Rows:
+    """Feature numbers of many rows end to end. Sums go over some 2000 rows at a time, so that their scratch space stays small."""
+
+    STEP = 2000
+
+    def __init__(self, words: list[np.ndarray]) -> None:
+        self.cuts = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int64)
+        self.col = np.concatenate([np.zeros(0, np.int32), *words]).astype(np.int32)
+
+    def parts(self):
+        for a in range(0, len(self.cuts) - 1, self.STEP):
+            b = min(a + self.STEP, len(self.cuts) - 1)
+            yield a, b, self.col[self.cuts[a] : self.cuts[b]], np.repeat(np.arange(b - a), np.diff(self.cuts[a : b + 1]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """For each row the sum of its features' weights."""
+        return np.concatenate([np.zeros(0), *(np.bincount(row, w[col], b - a) for a, b, col, row in self.parts())])
+
+    def sums(self, e: np.ndarray, n: int) -> np.ndarray:
+        """For each of n features the sum of e over its rows."""
+        out = np.zeros(n)
+        for a, b, col, row in self.parts():
+            out += np.bincount(col, e[a:b][row], n)
+        return out
 
 
 def margin(w: np.ndarray, words: list[np.ndarray], dense: np.ndarray, n: int) -> np.ndarray:
-    row, col = flat(words)
-    return np.bincount(row, w[col], len(words)) + dense @ w[n:-1] + w[-1]
+    return Rows(words).times(w) + dense @ w[n:-1] + w[-1]
 
 
 def fit(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n: int, steps: int = 120, ridge: float = 1e-4) -> np.ndarray:
@@ -90,11 +110,11 @@ def fit(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n: int, steps
     w[-1] = np.log(base / (1 - base))
     if not len(y) or y.min() == y.max():
         return w
-    row, col = flat(words)
+    rows = Rows(words)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        e = logistic(np.bincount(row, w[col], len(y)) + dense @ w[n:-1] + w[-1]) - y
-        g = np.concatenate([np.bincount(col, e[row], n), dense.T @ e, [e.sum()]]) / len(y)
+        e = logistic(rows.times(w) + dense @ w[n:-1] + w[-1]) - y
+        g = np.concatenate([rows.sums(e, n), dense.T @ e, [e.sum()]]) / len(y)
         g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -136,11 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
 
     def narrow(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
-            page["features"] = [[index[f] for f in w if f in index] for w in page["features"]]
+            page["features"] = [np.array([index[f] for f in w if f in index], "<i4").tobytes() for w in page["features"]]
             yield page
 
-    t = some.mapInPandas(narrow, ", ".join(f"{y} double" for y in ys) + ", fold int, dense array<double>, features array<long>").toPandas()  # at most about max_rows rows
-    words = [np.asarray(w, np.int64) for w in t["features"]]
+    t = some.mapInPandas(narrow, ", ".join(f"{y} double" for y in ys) + ", fold int, dense array<double>, features binary").toPandas()  # at most about max_rows rows
+    words = [np.frombuffer(w, "<i4") for w in t["features"]]
     dense = np.array(t["dense"].tolist(), float).reshape(len(t), N_SHARES)
     fold, n, models, earlier = t["fold"].to_numpy(), len(index), [], np.zeros((len(t), 0))
     for y in ys:
