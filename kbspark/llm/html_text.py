@@ -354,8 +354,9 @@ def labelled(pages: list[str], layouts: int, seed: int) -> tuple[np.ndarray, np.
 
 
 def train(pages: DataFrame, max_pages: int = 150, layouts: int = 6, seed: int = 7) -> Boosted:
-    """Fits the trees on max_pages pages (those with the least hash of the html) and `layouts` layouts of each."""
-    sample = [r["html"] for r in pages.filter("html is not null").select("html").distinct().orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()]
+    """Fits the trees on max_pages pages (those with the least hash of their columns; equal pages count once) and `layouts` layouts of each."""
+    rows = pages.filter("html is not null").select(F.xxhash64(*pages.columns).alias("at"), "html").orderBy("at", "html").limit(max_pages).collect()
+    sample = list(dict.fromkeys(r["html"] for r in rows))
     x, y = labelled(sample, layouts, seed)
     return Boosted(x, y)
 
