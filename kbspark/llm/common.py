@@ -18,15 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only a local[..] session without that setting gets a folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, or else the one set on the context. Only a local[..] session without either gets a folder
+    of its own."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path:
         return path
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", path := tempfile.mkdtemp(prefix="spark-"))
-    return path
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
