@@ -103,21 +103,55 @@ def margin(w: np.ndarray, words: list[np.ndarray], dense: np.ndarray, n: int) ->
     return Rows(words).times(w) + dense @ w[n:-1] + w[-1]
 
 
-def fit(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n: int, steps: int = 120, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic regression by Adam over all rows: weights of n words, of the dense columns, and the intercept."""
+def fit(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n: int, steps: int = 40, ridge: float = 1e-4, memory: int = 8) -> np.ndarray:
+    """Logistic regression by limited-memory quasi-Newton steps (L-BFGS) over all rows: weights of n words, of the dense columns, and the
+    intercept. The sums over the rows' words are linear, so that the length of a step is found by halving without another pass."""
     w = np.zeros(n + dense.shape[1] + 1)
     base = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = np.log(base / (1 - base))
     if not len(y) or y.min() == y.max():
         return w
-    rows = Rows(words)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        e = logistic(rows.times(w) + dense @ w[n:-1] + w[-1]) - y
-        g = np.concatenate([rows.sums(e, n), dense.T @ e, [e.sum()]]) / len(y)
-        g[:-1] += ridge * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    rows, shrunk = Rows(words), np.ones_like(w)
+    shrunk[-1] = 0
+
+    def over_rows(v: np.ndarray) -> np.ndarray:
+        return rows.times(v) + dense @ v[n:-1] + v[-1]
+
+    def gradient(at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        e = logistic(at) - y
+        return np.concatenate([rows.sums(e, n), dense.T @ e, [e.sum()]]) / len(y) + ridge * shrunk * w
+
+    at = over_rows(w)
+    g = gradient(at, w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []  # steps and how the gradient changed with them
+    for _ in range(steps):
+        if np.abs(g).max() < 1e-5:
+            break
+        d, back = -g, []
+        for s, c in reversed(past):
+            back.append(s @ d / (s @ c))
+            d = d - back[-1] * c
+        if past:
+            d = d * (s0 @ c0) / (c0 @ c0)
+        for (s, c), a in zip(past, reversed(back), strict=True):
+            d = d + s * (a - c @ d / (s @ c))
+        along, wd, dd = over_rows(d), (shrunk * w) @ d, (shrunk * d) @ d
+
+        def rise(t: float) -> float:
+            return (logistic(at + t * along) - y) @ along / len(y) + ridge * (wd + t * dd)
+
+        low, high = 0.0, 1.0
+        while rise(high) < 0 and high < 1e6:
+            low, high = high, 2 * high
+        for _ in range(12):
+            half = (low + high) / 2
+            low, high = (half, high) if rise(half) < 0 else (low, half)
+        s0, w, at = high * d, w + high * d, at + high * along
+        c0, g = -g, gradient(at, w)
+        c0 = c0 + g
+        if s0 @ c0 <= 1e-14:
+            break
+        past = [*past, (s0, c0)][-memory:]
     return w
 
 
