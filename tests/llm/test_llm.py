@@ -175,3 +175,17 @@ def test_pipeline(spark):
     assert len(out) and set(out.doc_id) <= {r.doc_id for r in docs.select("doc_id").collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_fit_reaches_the_minimum():
+    """The gradient of the loss, worked out on a dense matrix, is next to nothing where the fit ends."""
+    r, n = np.random.default_rng(3), 40
+    words = [np.flatnonzero(r.random(n) < 0.2) for _ in range(500)]
+    dense = r.random((500, 2))
+    x = np.column_stack([np.array([np.bincount(w, minlength=n) for w in words]), dense, np.ones(500)])
+    y = (r.random(500) < 1 / (1 + np.exp(-x @ r.normal(size=n + 3)))).astype(float)
+    w = toxicity.fit(words, dense, y, n)
+    g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / 500
+    g[:-1] += 1e-4 * w[:-1]
+    assert np.abs(g).max() < 1e-3
+    assert np.all(toxicity.fit(words, dense, np.zeros(500), n)[:-1] == 0)
