@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 TERM = r"[一-鿿]|[\p{L}\p{N}&&[^一-鿿]]+"
 #: Masking rules in order: name, pattern, replacement (the parts that stay are groups).
 MASKS = [
-    ("id_number", r"(?<!\d)(\d{6})\d{8}(\d{3}[\dXx])(?!\d)", "$1********$2"),
-    ("mobile", r"(?<!\d)(1[3-9]\d)\d{4}(\d{4})(?!\d)", "$1****$2"),
-    ("bank_card", r"(?<!\d)(\d{4})\d{8,11}(\d{4})(?!\d)", "$1********$2"),
-    ("email", r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", "$1***@$2"),
+    ("id_number", r"(?<![0-9])([0-9]{6})[0-9]{8}([0-9]{4})(?![0-9])", "$1****$2"),
+    ("mobile", r"(?<![0-9])(1[3-9][0-9])[0-9]{4}([0-9]{4})(?![0-9])", "$1****$2"),
+    ("bank_card", r"(?<![0-9])([0-9]{4})[0-9]{8,12}([0-9]{4})(?![0-9])", "$1****$2"),
+    ("salary", r"(年薪|月薪|工资|收入)\s*[0-9.,]+万?", "$1 [REDACTED]"),
+    ("email", r"([a-zA-Z0-9._%+-]{1,3})[a-zA-Z0-9._%+-]*@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", "$1***@$2"),
 ]
 
 

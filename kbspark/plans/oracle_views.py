@@ -1,5 +1,8 @@
 """The same views as DuckDB common table expressions."""
 
+from kbspark.sources.fixtures import VIEWS as FIXTURES
+from kbspark.sources.fixtures import duck_view
+
 VIEWS = {
     "chunks_v": """chunks_v as (select sha256(doc_id || ':' || (i - 1)) chunk_id, doc_id, i - 1 chunk_index, x chunk_text, source kb_id, source || '/' || doc_id || '.txt' source_file,
   case when doc_id % 10 = 0 then 'soft_deleted' else 'active' end status, (date '2024-01-01' + (doc_id % 365)::int) effective_date,
@@ -28,6 +31,24 @@ VIEWS = {
 }
 
 
+#: Views over others: the requests' standing, and (user, space, group) of the groups that a space admits.
+VIEWS |= {n: duck_view(n) for n in FIXTURES} | {
+    "admitted_v": """admitted_v as (select user_id, space_id, group_id from effective_v join space_groups_v using (group_id))""",
+    "globals_v": """globals_v as (select user_id from users_v where is_global_admin union select user_id from members_v join groups_v using (group_id) where is_system_admin)""",
+    "standing_v": """standing_v as (select r.user_id, r.space_id, a.role explicit, r.user_id in (select user_id from globals_v) is_global, exists (select 1 from admitted_v m where m.user_id = r.user_id and m.space_id = r.space_id) is_member
+  from requests_v r left join space_admins_v a using (user_id, space_id))""",
+    "access_v": """ace_hit_v as (select a.*, x.user_id from aces_v a join admitted_v x on principal_type = 'group' and principal_id = x.group_id and a.space_id = x.space_id union all select a.*, principal_id::bigint from aces_v a where principal_type = 'user'),
+  access_v as (select c.user_id, c.space_id, c.kb_id from (select s.user_id, s.space_id, k.kb_id from standing_v s join kbs_v k using (space_id) where deleted_at is null and (is_global or explicit is not null or (is_member and visibility = 'space_wide'))
+    union select s.user_id, s.space_id, resource_id from standing_v s join ace_hit_v h on s.user_id = h.user_id and s.space_id = h.space_id where resource_type = 'kb' and not is_global and is_member) c
+   join standing_v s on s.user_id = c.user_id and s.space_id = c.space_id left join kbs_v k on k.kb_id = c.kb_id and k.space_id = c.space_id
+   left join (select user_id, space_id, resource_id, bool_or(principal_type = 'group' and effect = 'allow') ga, bool_or(principal_type = 'group' and effect = 'deny') gd, bool_or(principal_type = 'user' and effect = 'allow') ua, bool_or(principal_type = 'user' and effect = 'deny') ud from ace_hit_v where resource_type = 'kb' group by 1, 2, 3) f
+     on f.user_id = c.user_id and f.space_id = c.space_id and f.resource_id = c.kb_id
+   where case when is_global then true when not is_member then true else
+     case when coalesce(ud, false) then false when coalesce(ua, false) then true when coalesce(gd, false) then false when coalesce(ga, false) then true
+      else k.deleted_at is null and (explicit is not null or visibility = 'space_wide') end end)""",
+}
+
+
 def duck(names: str, body: str) -> str:
     """body after the views that it needs, in order."""
     return "with recursive " + ",\n".join(VIEWS[n] for n in names.split()) + "\n" + body if names else body

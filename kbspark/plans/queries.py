@@ -16,11 +16,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: str = "", body: str | None = None):
+def query(name: str, views: str = "", body: str | None = None, dates: tuple[str, ...] = ()):
+    """Registers a query and its SQL; the columns `dates` are returned as text in both."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = (lambda s, d: f(s, d).withColumns({c: F.col(c).cast("string") for c in dates})) if dates else f
         if body:
-            ORACLES[name] = duck(views, body)
+            plain = f"select * replace ({', '.join(f'{c}::varchar as {c}' for c in dates)}) from ({body})" if dates else body
+            ORACLES[name] = duck(views, plain)
         return f
 
     return add

@@ -3,8 +3,8 @@ import pytest
 from conftest import SF
 
 from kbspark.functions import text as tx
-from kbspark.operators import permissions, retrieval
-from kbspark.plans.queries import ORACLES, QUERIES
+from kbspark.operators import access, evaluation, permissions, retrieval
+from kbspark.plans.catalog import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: f"{v:.6g}" if isinstance(v, float) else "None" if str(v) in ("None", "nan", "NaT", "<NA>") else str(v)
+    show = lambda v: "None" if str(v) in ("None", "nan", "NaT", "<NA>") else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, r)) for r in frame.itertuples(index=False, name=None))
 
 
@@ -39,4 +39,25 @@ def test_closure_ends_on_a_cycle(spark):
 
 def test_masks(spark):
     d = spark.createDataFrame([("call 13812345678 or a.b@c.org 6222021234567890",)], "text string")
-    assert d.select(tx.mask_pii(F.col("text"))).first()[0] == "call 138****5678 or a***@c.org 6222********7890"
+    assert d.select(tx.mask_pii(F.col("text"))).first()[0] == "call 138****5678 or a.b***@c.org 6222****7890"
+
+
+def test_sentences_take_what_follows_when_short(spark):
+    d = spark.createDataFrame([("Hi. This is a whole sentence. Yes!",), ("",), (None,)], "text string")
+    got = [r[0] for r in d.select(evaluation.sentences(F.col("text"))).collect()]
+    assert got == [["Hi. This is a whole sentence.", "Yes!"], [], None]
+
+
+def test_permissions_in_both_forms(spark):
+    d = spark.createDataFrame([('["read","write"]',), ('{"read": true, "write": false}',), ("[]",), ("broken",), ("[broken",)], "p string")
+    got = [r[0] for r in d.select(access.parse_permissions(F.col("p"))).collect()]
+    assert got == [["read", "write"], ["read"], [], [], []]
+
+
+def test_user_allow_overrides_a_group_deny(spark):
+    standing = spark.createDataFrame([(1, "s", None, False, True), (2, "s", None, False, False), (3, "s", None, True, False)], "user_id long, space_id string, explicit string, is_global boolean, is_member boolean")
+    kbs = spark.createDataFrame([("a", "s", "space_wide"), ("b", "s", "restricted")], "kb_id string, space_id string, visibility string").withColumn("deleted_at", F.lit(None).cast("date"))
+    aces = spark.createDataFrame([("s", "kb", "a", "group", "g", None, "deny"), ("s", "kb", "b", "group", "g", None, "deny"), ("s", "kb", "b", "user", "1", None, "allow")], "space_id string, resource_type string, resource_id string, principal_type string, principal_id string, role_id string, effect string")
+    admitted = spark.createDataFrame([(1, "s", "g")], "user_id long, space_id string, group_id string")
+    got = {(r.user_id, r.kb_id) for r in access.accessible_kbs(standing, kbs, aces, admitted).collect()}
+    assert got == {(1, "b"), (3, "a"), (3, "b")}
