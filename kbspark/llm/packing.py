@@ -23,9 +23,13 @@ from kbspark.llm.common import materialize, text_or_empty
 _SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
+#: The added token of byte_bpe_50k.json and its id. It is matched before anything else, so texts are split at it and no chunk spans it.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
+
 
 def encoder(ranks_path: str | None, cache_size: int = 300_000):
-    """text -> array of ids. Ids of chunks are kept for the next texts; the kept ones are dropped all at once when there are too many."""
+    """text -> array of ids. Ids of chunks are kept for the next texts; the kept ones are dropped all at once when there are too many. A
+    ranks file of one's own has no added token."""
     import numpy as np
     import public_tokenizers
     import tiktoken
@@ -35,10 +39,14 @@ def encoder(ranks_path: str | None, cache_size: int = 300_000):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     known: dict[str, bytes] = {}
+    added = np.asarray([ADDED_ID], dtype="<u4").tobytes()
 
     def ids(text: str) -> bytes:
         if len(known) > cache_size:
             known.clear()
+        return added.join(map(plain, text.split(ADDED))) if ranks_path is None else plain(text)
+
+    def plain(text: str) -> bytes:
         out = []
         for chunk in CHUNK.findall(text):
             got = known.get(chunk)

@@ -127,6 +127,19 @@ def test_packing_round_trip(spark):
     assert sum(f < 1024 for f in fill) <= 1
 
 
+def test_packing_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, end = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"a {end} b", f"a   {end}  b", end, end + end, f"x{end}\n\n y\n{end}\n", f"  {end}", f"{end}|> {end[:-1]}", f"<|{end}", f"long text {end} " * 900]
+    p = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    for i, t in enumerate(texts):
+        mine = p[p.doc_id == i].sort_values("start")
+        got = np.concatenate([np.frombuffer(b, "<u4") for b in mine.ids]).tolist()
+        assert got == [*tok.encode(t, add_special_tokens=False).ids, 0] and set(mine.doc_tokens) == {len(got)}
+
+
 def test_tree_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
