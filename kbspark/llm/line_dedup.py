@@ -1,6 +1,7 @@
 """Line dedup by a deletion-neighbourhood join (edit distance at most 1).
 
-1. Lines of at least `min_chars` code points are named by a hash; equal lines meet there and the earliest keeps.
+1. Lines that aren't blank, of at least `equal_chars` code points, are named by a hash; equal lines meet there and the earliest keeps.
+   Only those of at least `min_chars` go on: in shorter lines one edit makes another word or number of them.
 2. Segment neighbourhood: a line emits a key for each of `segments` segments left out (for its own length and one less). Lines within the
    bound agree outside one segment, so they share a key; lines that share none are done. Keys are counted before they are shuffled.
 3. The lines left, each once, emit their whole neighbourhood: the line and every variant with one character deleted, as hashes that
@@ -23,9 +24,9 @@ from pyspark.sql.window import Window
 from kbspark.llm.common import materialize, text_or_empty
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, equal_chars: int) -> DataFrame:
     d = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
-    e = d.select("no_id", "id", "h", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length("line") >= min_chars)
+    e = d.select("no_id", "id", "h", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter((F.length("line") >= equal_chars) & F.col("line").rlike(r"(?U)\S"))
     return e.withColumn("lh", F.xxhash64("line"))
 
 
@@ -97,25 +98,26 @@ def near_lines(lines: DataFrame, segments: int) -> DataFrame:
     return checked.select("lh").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 16, segments: int = 4) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 16, segments: int = 4, equal_chars: int = 1) -> DataFrame:
     """(id, no_id, h, dropped): for each text that loses lines, their numbers."""
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, equal_chars)
     firsts = lines.groupBy("lh").agg(F.min(place()).alias("first"), F.max(place()).alias("last"))
-    near = materialize(near_lines(lines, segments), "near").withColumn("near", F.lit(True))
+    near = materialize(near_lines(lines.filter(F.length("line") >= min_chars), segments), "near").withColumn("near", F.lit(True))
     bad = firsts.join(near, "lh", "left").filter("near or first <> last")
     bad = materialize(bad.select("lh", "first", F.coalesce("near", F.lit(False)).alias("near")), "bad")
     gone = lines.select("lh", place().alias("place")).join(bad, "lh").filter("near or place <> first")
     return gone.groupBy("place.no_id", "place.id", "place.h").agg(F.collect_set("place.no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 16, segments: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 16, segments: int = 4, equal_chars: int = 1) -> DataFrame:
     """docs, any columns with doc_id and text -> the same rows with kept (the text without the lines that go), n_lines and n_dropped.
 
-    Null texts are empty (one empty line). Lines under min_chars never go. Rows that repeat (id and text) stand at one place: neither
+    Null texts are empty (one empty line). Blank lines never go; those under min_chars go as
+    exact copies only, those under equal_chars not at all. Rows that repeat (id and text) stand at one place: neither
     counts as earlier than the other. Lines of texts with a null id come last, in order of line number and text hash. Columns of docs
     named as the new ones are replaced."""
     d = docs.drop("kept", "n_lines", "n_dropped", "__dropped")
-    gone = dropped_lines(docs.select("doc_id", "text"), min_chars, segments).select("no_id", "id", "h", F.col("dropped").alias("__dropped"))
+    gone = dropped_lines(docs.select("doc_id", "text"), min_chars, segments, equal_chars).select("no_id", "id", "h", F.col("dropped").alias("__dropped"))
     on = (d.doc_id.isNull() == gone.no_id) & (F.coalesce(d.doc_id.cast("long"), F.lit(0)) == gone.id) & (F.xxhash64(F.coalesce(d.text, F.lit(""))) == gone.h)
     j = d.join(gone, on, "left")
     parts = F.split(text_or_empty(), "\n", -1)

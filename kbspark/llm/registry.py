@@ -44,7 +44,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+    """As its SQL has it, lines under 16 characters stay, exact copies too; dedup_lines itself and the pipeline drop those."""
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), equal_chars=16))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

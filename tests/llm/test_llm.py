@@ -190,6 +190,23 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
 
 
+def test_short_copies_go(spark):
+    """Against brute force: any later copy of a line that isn't blank goes, short ones by equality alone."""
+    texts = ["Les.\n\nLes!\nAnd ornd.\n}", "And ornd.\nown line\n\n \t\nLes.\n}", "Les.", "\n\nLes!\nLes.\nlast"]
+    want, seen = {}, set()
+    for i, t in enumerate(texts):
+        kept = []
+        for line in t.split("\n"):
+            if not line.strip() or line not in seen:
+                kept.append(line)
+            seen.add(line)
+        want[i] = "\n".join(kept)
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.kept for r in line_dedup.dedup_lines(docs).collect()} == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert left == {i: t for i, t in want.items() if t.strip()}
+
+
 def test_fit_reaches_the_minimum():
     """The gradient of the loss, worked out on a dense matrix, is next to nothing where the fit ends."""
     r, n = np.random.default_rng(3), 40
