@@ -14,7 +14,7 @@ from kbspark.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain calls toxic go."""
+    """Documents that the chain calls toxic go. Where no label is usable the chain knows nothing and all documents stay."""
     chain = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).filter(F.col("p_toxic") < 0.5).select(*docs.columns)
 

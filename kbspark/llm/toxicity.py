@@ -63,6 +63,8 @@ class Chain:
         return np.fromiter(sorted(got), np.int64, len(got)), shares(text, words)
 
     def predict(self, words: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
+        if not self.models:
+            return np.zeros((len(words), len(self.names)))
         p = np.zeros((len(words), 0))
         for w in self.models:
             p = np.column_stack([p, logistic(margin(w, words, np.column_stack([dense, p]), len(self.index)))])
@@ -157,7 +159,8 @@ def fit(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n: int, steps
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 3000, folds: int = 4) -> Chain:
     """Fits the chain on at most about max_rows labelled rows, chosen by a hash of their doc_id. Labels with nulls are left out; several rows
-    of one doc_id count as they come. Without rows every category has a probability of a half."""
+    of one doc_id count as they come. Without rows (no labels, null ones only, or none of these docs) nothing is learned and every category has a probability
+    of 0, so that nothing is rejected."""
     names = [name for name, _ in CHAIN]
     known = labels.select("doc_id", *(F.expr(e).cast("double").alias(f"y{i}") for i, (_, e) in enumerate(CHAIN))).dropna()
     share = min(1.0, max_rows / max(1, known.count()))
@@ -178,6 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     rows = materialize(rows.select("doc_id", *ys, F.col("fold").cast("int").alias("fold"), "text").mapInPandas(run, schema), "training")
 
     total = rows.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
+    if not total["n"]:
+        return Chain(names, {}, [])
     counts = rows.select(F.explode("features").alias("f"), *ys).groupBy("f").agg(F.count("*").alias("c"), *(F.sum(y).alias(y) for y in ys)).filter("c >= 5")
 
     def chi(y: str) -> Column:  # of presence against the category

@@ -207,6 +207,15 @@ def test_short_copies_go(spark):
     assert left == {i: t for i, t in want.items() if t.strip()}
 
 
+def test_no_usable_labels_reject_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a clean text"), (2, "another one"), (None, None)], "doc_id long, text string")
+    for name, rows in (("empty", []), ("nulls", [(1, None, 1), (2, 0, None)]), ("others", [(7, 1, 0), (8, 0, 1)])):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == 3
+        assert not any(r.toxic for r in toxicity.digest(toxicity.score(docs, toxicity.train(docs, labels))).collect())
+
+
 def test_fit_reaches_the_minimum():
     """The gradient of the loss, worked out on a dense matrix, is next to nothing where the fit ends."""
     r, n = np.random.default_rng(3), 40
