@@ -1,23 +1,36 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Texts become lower-case runs of letters with one space between. The counts of all four-character sequences of all training rows are
-summed by Spark; everything else of the models follows from these: continuation counts of the shorter orders, discounts and weights.
-A model keeps, for each order, an array of hashed sequences in ascending order beside their probabilities. A text goes to the language
-with the lowest cross-entropy for each character. How far the second is behind, and the length, give a calibrated probability that the
-choice is right; below `reject` the row is marked rejected.
+Texts become lower-case runs of letters with one space between. Spark sums the counts of all four-character sequences of all training
+rows and derives everything else from them with aggregates and joins: continuation counts of the shorter orders, discounts from the true
+numbers of sequences seen once and twice, context weights, and for each sequence its interpolated probability in every language. Nothing
+is left out, and nothing but a few numbers for each language passes the driver.
+
+The models are arrays of sequences (packed into 64 bits, which is a hash without collisions) in ascending order beside their probabilities,
+written in ranges to the shared folder. Tasks read them from there: once and for good while they take up to `cache_bytes`, and beyond that
+range by range for each batch of texts, so that a task never holds more than one range. Both ways look up the same arrays.
+
+A text goes to the language with the lowest cross-entropy for each character. How far the second is behind, and the length, give a
+calibrated probability that the choice is right; below `reject` the row is marked rejected.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.llm.common import materialize
+
 N = 4
 U = np.uint64
+#: The chance of a symbol that no model has seen.
+UNSEEN = 1.0 / 0x10000
 
 
 def letters(text: Column) -> Column:
@@ -25,9 +38,11 @@ def letters(text: Column) -> Column:
 
 
 def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the N characters that end at each character of each text (four times 16 bits), and the text number of each."""
+    """Keys of the N characters that end at each character of each text (four times 16 bits), and the text number of each. Characters
+    above U+FFFF share by hash the 2,048 values that stand for no character."""
     joined = "".join(" " * (N - 1) + s + " " for s in texts)
-    c = np.minimum(np.frombuffer(joined.encode("utf-32-le"), np.uint32), 0xFFFF).astype(U)
+    c = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(U)
+    c = np.where(c > U(0xFFFF), U(0xD800) + (c * U(2654435761) >> U(16)) % U(2048), c)
     n = np.array([len(s) + 1 for s in texts])
     starts = np.cumsum(n + N - 1) - n - N + 1
     doc = np.repeat(np.arange(len(texts)), n)
@@ -46,81 +61,87 @@ def pieces(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]
         at = to
 
 
-def scramble(key: np.ndarray) -> np.ndarray:
-    """A one-to-one hash of 64 bits."""
-    key = (key ^ (key >> U(33))) * U(0xFF51AFD7ED558CCD)
-    return key ^ (key >> U(29))
-
-
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key, inverse = np.unique(key, return_inverse=True)
     return key, np.bincount(inverse, n, len(key))
 
 
-class Table:
-    """Hashed keys in order, with values; absent keys get `missing`."""
-
-    def __init__(self, key: np.ndarray, value: np.ndarray, missing: float) -> None:
-        h = scramble(key)
-        order = np.argsort(h)
-        self.hash, self.value = h[order], np.append(value[order], missing)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Places of the keys; the number of entries where absent."""
-        h = scramble(key)
-        at = np.searchsorted(self.hash, h)
-        return np.where((at < len(self.hash)) & (self.hash[np.minimum(at, len(self.hash) - 1)] == h), at, len(self.hash))
+def low_bits(order: int) -> int:
+    return (1 << 16 * order) - 1
 
-    def get(self, key: np.ndarray) -> np.ndarray:
-        return self.value[self.find(key)]
 
+def read_arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """key, value (rows x languages) of one file of a model table."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
 
-class Model:
-    """Interpolated Kneser-Ney over characters from (sequence of N, count)."""
+    if path.startswith("file:"):
+        t = pq.read_table(unquote(urlparse(path).path))
+    else:
+        store, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        t = pq.read_table(io.BytesIO(store.open_input_stream(inner).read()))
+    key, value = t.column("key").to_numpy(), t.column("value").combine_chunks()
+    return key, np.asarray(value.flatten()).reshape(len(key), -1) if len(key) else np.zeros((0, 1), np.float32)
 
-    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
-        self.orders = []
-        for order in range(N, 0, -1):
-            some = n[n > 0]
-            n1, n2 = (some == 1).sum(), (some == 2).sum()
-            discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            context, inverse = np.unique(key >> U(16), return_inverse=True)
-            total, kinds = np.bincount(inverse, n), np.bincount(inverse)
-            seen = Table(key, np.maximum(n - discount, 0) / total[inverse], 0.0)
-            self.orders.append((order, seen, Table(context, discount * kinds / total, 1.0)))
-            # How many different characters stand before each shorter sequence.
-            key, n = summed(key & U((1 << 16 * (order - 1)) - 1), np.ones(len(key)))
 
-    def probability(self, key: np.ndarray) -> np.ndarray:
-        p = np.full(len(key), 1.0 / 0x10000)
-        for order, seen, weight in reversed(self.orders):
-            k = key & U((1 << 16 * order) - 1) if order < 4 else key
-            p = seen.get(k) + weight.get(k >> U(16)) * p
-        return p
+#: Arrays that this Python worker has read, by file. Workers serve many tasks.
+_READ: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
+@dataclass
 class Models:
-    def __init__(self, grams: pd.DataFrame) -> None:
-        self.langs = sorted(grams["lang"].unique())
-        by = {lang: g for lang, g in grams.groupby("lang")}
-        self.models = [Model(by[x]["gram"].to_numpy().view(U), by[x]["n"].to_numpy(float)) for x in self.langs]
-        union = np.unique(grams["gram"].to_numpy().view(U))
-        self.known = Table(union, np.arange(len(union)), len(union))
-        bits = np.stack([-np.log2(m.probability(union)) for m in self.models], axis=1) if self.langs else np.zeros((0, 0))
-        self.bits = bits[self.known.value[:-1].astype(int)].astype(np.float32)
+    """Files of the arrays p<order> (probabilities of sequences) and w<order> (weights of contexts)."""
+
+    langs: list[str]
+    files: dict[str, list[str]]
+    n_bytes: int
+    cache_bytes: int = 400_000_000
+
+    def parts(self, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for f in self.files[name]:
+            got = _READ.get(f) or read_arrays(f)
+            if self.n_bytes <= self.cache_bytes and f not in _READ:
+                own = {x for of in self.files.values() for x in of}
+                for other in [x for x in _READ if x not in own]:
+                    del _READ[other]
+                _READ[f] = got
+            yield got
+
+    def find(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For keys in ascending order: whether each is in the arrays, and its values."""
+        hit, out = np.zeros(len(keys), bool), np.zeros((len(keys), len(self.langs)))
+        for key, value in self.parts(name):
+            if not len(key):
+                continue
+            a, b = np.searchsorted(keys, key[0]), np.searchsorted(keys, key[-1], side="right")
+            at = np.searchsorted(key, keys[a:b])
+            hit[a:b] = key[at] == keys[a:b]
+            out[a:b][hit[a:b]] = value[at[hit[a:b]]]
+        return hit, out
+
+    def probability(self, order: int, keys: np.ndarray) -> np.ndarray:
+        """Interpolated probabilities, keys (ascending) x languages. An absent sequence has its context's weight times the shorter order."""
+        if not order:
+            return np.full((len(keys), len(self.langs)), UNSEEN)
+        hit, out = self.find(f"p{order}", keys)
+        if not hit.all():
+            new = keys[~hit]
+            shorter, at = np.unique(new & low_bits(order - 1), return_inverse=True)
+            context, of = np.unique((new.view(U) >> U(16)).view(np.int64), return_inverse=True)
+            known, weight = self.find(f"w{order}", context)
+            weight[~known] = 1
+            out[~hit] = weight[of] * self.probability(order - 1, shorter)[at]
+        return out
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Bits for each character, texts x languages."""
         out = np.zeros((len(texts), len(self.langs)))
         for a, b in pieces(texts):
             key, doc = sequences(texts[a:b])
-            at = self.known.find(key)
-            new = at == len(self.known.hash)
-            fresh = [-np.log2(m.probability(key[new])) for m in self.models]
+            key, at = np.unique(key.view(np.int64), return_inverse=True)
+            bits, n = -np.log2(self.probability(N, key)), np.bincount(doc, minlength=b - a)
             for i in range(len(self.langs)):
-                bits = self.bits[np.where(new, 0, at), i].astype(float)
-                bits[new] = fresh[i]
-                out[a:b, i] = np.bincount(doc, bits, b - a) / np.bincount(doc, minlength=b - a)
+                out[a:b, i] = np.bincount(doc, bits[at, i], b - a) / n
         return out
 
     def best(self, texts: list[str]) -> pd.DataFrame:
@@ -150,29 +171,61 @@ def count_sequences(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, max_grams: int) -> Models:
-    """rows (lang, s). The models come to the driver: at most max_grams sequences; if there are more, the rarest counts are left out."""
-    grams = count_sequences(rows).persist()
-    by_count = grams.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy("n").collect()  # at most 1000 rows
-    total, least = sum(r["count"] for r in by_count), 0
-    for r in by_count:
-        if total <= max_grams:
-            break
-        total, least = total - r["count"], r["n"]
-    models = Models(grams.filter(F.col("n") > least).toPandas())
-    grams.unpersist()
-    return models
-
-
-def calibrate(models: Models, sample: pd.DataFrame) -> np.ndarray:
-    """Weights of (1, margin, margin * sqrt(characters)) for the probability that the choice is right, by logistic regression."""
+def train(rows: DataFrame, range_rows: int = 2_000_000) -> Models:
+    """rows (lang, s) -> models of all languages, over all sequences of all rows."""
+    grams = materialize(count_sequences(rows), "grams")
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    if not langs:
+        return Models([], {}, 0)
+    c = [f"c{i}" for i in range(len(langs))]
+    counts = grams.groupBy(F.col("gram").alias("key")).agg(*(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(y) for x, y in zip(langs, c, strict=True)))
+    orders = {N: materialize(counts, "order")}
+    for k in range(N - 1, 0, -1):  # how many different characters stand before each shorter sequence
+        shorter = orders[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(low_bits(k))).alias("key"))
+        orders[k] = materialize(shorter.agg(*(F.count_if(F.col(x) > 0).alias(x) for x in c)), "order")
+
+    files, rows_in = {}, 0
+    lower = None
+    for k in range(1, N + 1):
+        seen = orders[k].agg(F.count("*").alias("rows"), *(F.count_if(F.col(x) == j).alias(f"{x}_{j}") for x in c for j in (1, 2))).first()
+        d = [float(n1 / (n1 + 2 * n2)) if n1 and n2 else 0.5 for n1, n2 in ((seen[f"{x}_1"], seen[f"{x}_2"]) for x in c)]
+        context = F.shiftrightunsigned("key", 16)
+        sums = orders[k].groupBy(context.alias("context")).agg(F.array(*(F.sum(x) for x in c)).alias("total"), F.array(*(F.count_if(F.col(x) > 0) for x in c)).alias("kinds"))
+        weight = [F.when(F.col("total")[i] > 0, F.lit(d[i]) * F.col("kinds")[i] / F.col("total")[i]).otherwise(F.lit(1.0)) for i in range(len(langs))]
+        sums = materialize(sums.select("context", "total", F.array(*weight).alias("weight")), "contexts")
+        o = orders[k].withColumn("context", context).join(sums, "context")
+        if lower is None:
+            o = o.withColumn("less", F.array(*(F.lit(UNSEEN) for _ in langs)))
+        else:
+            o = o.withColumn("shorter", F.col("key").bitwiseAND(F.lit(low_bits(k - 1)))).join(lower.select(F.col("key").alias("shorter"), F.col("p").alias("less")), "shorter")
+        own = [F.when(F.col("total")[i] > 0, F.greatest(F.col(x) - F.lit(d[i]), F.lit(0.0)) / F.col("total")[i]).otherwise(F.lit(0.0)) for i, x in enumerate(c)]
+        lower = materialize(o.select("key", F.array(*(own[i] + F.col("weight")[i] * F.col("less")[i] for i in range(len(langs)))).alias("p")), "interpolated")
+        parts = max(1, -(-seen["rows"] // range_rows))
+        rows_in += seen["rows"]
+        for name, t in ((f"p{k}", lower.select("key", F.col("p").cast("array<float>").alias("value"))), (f"w{k}", sums.select(F.col("context").alias("key"), F.col("weight").cast("array<float>").alias("value")))):
+            files[name] = materialize(t.repartitionByRange(parts, "key").sortWithinPartitions("key"), name).inputFiles()
+    return Models(langs, files, 2 * rows_in * (8 + 4 * len(langs)))
+
+
+def weigh(b: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.ones(len(b)), np.minimum(b["margin"], 10), np.minimum(b["margin"] * np.sqrt(b["n"]), 50)], axis=1)
+
+
+def calibrate(models: Models, sample: DataFrame, most: int) -> np.ndarray:
+    """Weights of (1, margin, margin * sqrt(characters)) for the probability that the choice is right, by logistic regression on at most
+    `most` rows of sample (lang, s)."""
     w = np.array([0.0, 4.0, 1.0])
-    if not len(sample) or not models.langs:
+    if not models.langs:
         return w
-    b = models.best(list(sample["s"]))
-    x = np.stack([np.ones(len(b)), np.minimum(b["margin"], 10), np.minimum(b["margin"] * np.sqrt(b["n"]), 50)], axis=1)
-    y = (b["lang_pred"].to_numpy() == sample["lang"].to_numpy()).astype(float)
-    prior = w.copy()
+
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for page in pages:
+            if len(page):
+                b = models.best(list(page["s"]))
+                yield b.assign(right=b["lang_pred"].to_numpy() == page["lang"].to_numpy())[["margin", "n", "right"]]
+
+    b = sample.select("lang", "s").mapInPandas(run, "margin double, n long, right boolean").limit(most).toPandas()  # three numbers a row
+    x, y, prior = weigh(b), b["right"].to_numpy().astype(float), w.copy()
     for _ in range(50):  # Newton steps, drawn to the prior weights
         p = 1 / (1 + np.exp(-x @ w))
         grad = x.T @ (p - y) + (w - prior)
@@ -182,32 +235,34 @@ def calibrate(models: Models, sample: pd.DataFrame) -> np.ndarray:
 
 def identify(docs: DataFrame, models: Models, weights: np.ndarray, reject: float = 0.5) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score, rejected. `und` with score 0 for texts that are null or hold no letter (or if no
-    language was learned). Whole texts count; null ids and repeated rows are kept; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast((models, weights))
+    language was learned). Whole texts count, in pieces of a bounded size; of languages with equal entropy the first by name is taken; null
+    ids and repeated rows are kept; other columns are ignored, whatever their names; an empty table gives no rows."""
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models, w = shared.value
         for page in pages:
             out = pd.DataFrame({"doc_id": page["doc_id"], "lang_pred": "und", "score": 0.0})
             some = (page["s"].str.len() > 0).to_numpy()
             if some.any() and models.langs:
                 b = models.best(list(page["s"][some]))
-                x = w[0] + w[1] * np.minimum(b["margin"], 10) + w[2] * np.minimum(b["margin"] * np.sqrt(b["n"]), 50)
                 out.loc[some, "lang_pred"] = b["lang_pred"].to_numpy()
-                out.loc[some, "score"] = (1 / (1 + np.exp(-x))).to_numpy()
+                out.loc[some, "score"] = 1 / (1 + np.exp(-(weigh(b) @ weights)))
             out["rejected"] = out["score"] < reject
             yield out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(letters(F.col("text")), F.lit("")).alias("s")).mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def split_and_identify(docs: DataFrame, max_grams: int = 2_000_000, calibration_rows: int = 2000) -> DataFrame:
-    """Learns from rows of docs (doc_id, text, lang) whose crc32 of the id as text isn't divisible by 5 and predicts all rows. A twentieth of
-    the training rows, by a hash of the id, is kept from the models; up to calibration_rows of it calibrate the score."""
+def split_and_identify(docs: DataFrame, calibration_rows: int = 2000) -> DataFrame:
+    """Learns from rows of docs (doc_id, text, lang) whose crc32 of the id as text isn't divisible by 5 and predicts all rows, as identify
+    does. A twentieth of the training rows, by a hash of the id, is kept from the models; those calibration_rows of it with the least hashes
+    calibrate the score. Rows with a null id or lang aren't learned from; without any others all rows are `und`."""
+    docs = docs.select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    training = docs.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("lang", letters(F.col("text")).alias("s"), F.xxhash64("doc_id").alias("at")).filter("length(s) > 0")
+    training = docs.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("at"))
     aside = F.pmod("at", F.lit(20)) == 0
-    models = train(training.filter(~aside), max_grams)
-    weights = calibrate(models, training.filter(aside).orderBy("at").limit(calibration_rows).toPandas())
+    spelled = lambda d: d.select("lang", letters(F.col("text")).alias("s")).filter("length(s) > 0")
+    models = train(spelled(training.filter(~aside)))
+    last = training.filter(aside).select("at").distinct().orderBy("at").limit(calibration_rows).agg(F.max("at")).first()[0]
+    weights = calibrate(models, spelled(training.filter(aside & (F.col("at") <= F.lit(last)))), calibration_rows)
     found = identify(docs, models, weights)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -38,6 +38,8 @@ def encoder(ranks_path: str | None, cache_size: int = 300_000):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # A run of white space is one piece; the pattern's look-ahead would go back over all of it, and overflows the stack on long ones.
+    encode_space = tiktoken.Encoding("space", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     known: dict[str, bytes] = {}
     added = np.asarray([ADDED_ID], dtype="<u4").tobytes()
 
@@ -51,7 +53,7 @@ def encoder(ranks_path: str | None, cache_size: int = 300_000):
         for chunk in CHUNK.findall(text):
             got = known.get(chunk)
             if got is None:
-                got = np.asarray(encode(chunk), dtype="<u4").tobytes()
+                got = np.asarray((encode_space if chunk.isspace() else encode)(chunk), dtype="<u4").tobytes()
                 if len(chunk) <= 64:
                     known[chunk] = got
             out.append(got)
@@ -96,8 +98,10 @@ def pack(docs: DataFrame, size: int = 1024, open_windows: int = 16, end_id: int
     """docs (doc_id, text) -> one row a piece: doc_id, start (ids of its document before it), length, ids (binary, little-endian unsigned
     32-bit), doc_tokens (with the end id), sequence_id, offset. Each sequence holds at most `size` ids; all but the very last are full.
 
-    A null or empty text is the end id alone. Null ids and repeated rows are documents like others; other columns are ignored; an empty
-    table gives no rows. The end id closes each document. Texts are tokenized once; the pieces are written to the shared folder."""
+    A null or empty text is the end id alone. Null ids and repeated rows are documents like others; other columns are ignored, whatever
+    their names; an empty table gives no rows. A very long text is tokenized in chunks that no token spans, runs of white space of any
+    length as one piece; the added token in a text counts as that token. The end id closes each document. Texts are tokenized once; the
+    pieces are written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

@@ -140,6 +140,16 @@ def test_packing_added_token(spark):
         assert got == [*tok.encode(t, add_special_tokens=False).ids, 0] and set(mine.doc_tokens) == {len(got)}
 
 
+def test_packing_long_runs():
+    """Runs of one kind of character, up to a million, as `tokenizers` has them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(None)
+    for t in ("\n" * 1_000_000, " " * 300_000 + "a", "\t \n" * 100_000 + "x  ", "a" * 200_000, "!" * 100_000, "\xa0" * 50_000 + "\u3000" * 50_000 + " b"):
+        assert np.frombuffer(ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_tree_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
@@ -175,6 +185,47 @@ def test_languages_held_out(spark):
     assert r >= 0.95
 
 
+def test_language_models_against_brute_force(spark):
+    """Interpolated Kneser-Ney from its definition, with dictionaries over characters, for sequences that were seen and that weren't."""
+    rng = random.Random(5)
+    texts = [(lang, "".join(rng.choice(abc) for _ in range(rng.randrange(1, 60))).strip() or "a") for lang, abc in (("x", "aab c"), ("y", "abbéd ")) for _ in range(40)]
+    models = language_id.train(spark.createDataFrame(texts, "lang string, s string"))
+    assert models.langs == ["x", "y"]
+
+    def brute(lang):
+        counts = {4: {}}
+        for g in ("".join(p) for x, s in texts if x == lang for p in zip("   " + s, "  " + s + " ", " " + s + " ", s + " ", strict=False)):
+            counts[4][g] = counts[4].get(g, 0) + 1
+        for k in (3, 2, 1):
+            counts[k] = {}
+            for g in counts[k + 1]:
+                counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+        def p(g):
+            if not g:
+                return 1 / 65536
+            c = counts[len(g)]
+            n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            after = [v for h, v in c.items() if h[:-1] == g[:-1]]
+            return max(c.get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(g[1:]) if after else p(g[1:])
+
+        return lambda s: -sum(np.log2(p(("   " + s + " ")[i : i + 4])) for i in range(len(s) + 1)) / (len(s) + 1)
+
+    probes = ["abc", "a", "zzz", "ab  ca", "éd b", "\U00020000\U00020001a"]
+    got = models.entropies(probes)
+    for i, lang in enumerate(models.langs):
+        own = brute(lang)
+        assert got[:, i] == pytest.approx([own(s if i < 5 else "\ue123\ue124a") for i, s in enumerate(probes)], rel=1e-5)
+    small = language_id.Models(models.langs, models.files, models.n_bytes, cache_bytes=0)  # range by range
+    assert np.array_equal(small.entropies(probes), got)
+
+
+def test_languages_without_rows(spark, none):
+    d = none.select("doc_id", "text", F.lit("a").alias("lang"), F.lit(1).alias("score"), F.lit("b").alias("lang_pred"))
+    assert language_id.split_and_identify(d).count() == 0
+
+
 def test_main_text_of_other_layouts(spark):
     p = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = '<body><div class="menu"><ul><li><a href=1>A</a></li></ul></div><div id="content"><h1>Title here</h1><p>Text &amp; more text, long enough.<p>Ok.</p><div class="ad-box"><p>Buy now.</p></div></div><div class="comments"><p>I like this text a lot, thanks.</p></div><form><button>Go</button></form></body>'
