@@ -150,22 +150,58 @@ def test_packing_long_runs():
         assert np.frombuffer(ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
-def test_tree_recall(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 16)).astype(np.float32)
-    x[100:160] = x[100]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+def found_by(v, **options):
+    got: dict = {}
+    for r in nearest.nearest(v, F.col("vec_id") % 20 == 0, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def visited(v, **options):
+    r = nearest.nearest(v, F.col("vec_id") % 20 == 0, counting=True, **options).groupBy().agg(F.sum("visited"), F.sum("queries")).first()
+    return r[0]
+
+
+def nearest_by_brute_force(x, ids):
     s = x.astype(float) @ x.astype(float).T
     np.fill_diagonal(s, -np.inf)
-    want = {i: [j for _, j in sorted((-round(a, 9), j) for j, a in enumerate(s[i]))[:20]] for i in range(0, 1500, 20)}
-    for factor, least in ((1.0, 1.0), (0.7, 0.9)):
-        got: dict = {}
-        for r in nearest.nearest(v, F.col("vec_id") % 20 == 0, factor=factor, shard_rows=400, query_rows=30).orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append(r.vec_id)
-        assert np.mean([len({*got[i]} & {*want[i]}) / 20 for i in want]) >= least
-        if factor == 1:
-            assert got == want
+    return {ids[i]: [v for _, v in sorted((-round(a, 9), ids[j]) for j, a in enumerate(s[i]))[:20]] for i in range(len(x)) if ids[i] % 20 == 0}
+
+
+def test_nearest_exact_on_hard_vectors(spark):
+    """Random vectors, many equal ones, ties on a coarse grid: factor 1 gives what brute force gives, whatever the shards."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[100:260] = x[100]
+    x[300:900] = np.sign(x[300:900])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (None, [1.0] * 16), (9020, [1.0, 2.0])]
+    v = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "vec_id long, embedding array<float>, score double, rank int")
+    want = nearest_by_brute_force(x, list(range(1500)))
+    assert found_by(v, shard_rows=400) == found_by(v, shard_rows=150, sample_numbers=3000) == found_by(v) == want
+    assert found_by(v.limit(0)) == {}
+
+
+def test_nearest_keeps_rows_of_one_id(spark):
+    v = spark.createDataFrame([(20, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [5.0, 5.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = nearest.nearest(v, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(20, 1, 1, 15.0)] * 2 + [(20, 2, 20, 5.0)] * 2 + [(20, 3, 1, 1.0)] * 2
+
+
+def test_pruning_on_clustered_vectors(spark):
+    """Well under half of the points are looked at where vectors lie in clusters; a smaller factor looks at fewer and keeps recall."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(60, size=6000)] + 0.15 * rng.normal(size=(6000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    want, every = nearest_by_brute_force(x, list(range(6000))), 300 * 6000
+    seen = {}
+    for factor, least in ((1.0, 1.0), (0.7, 0.9), (0.5, 0.9)):
+        got = found_by(v, factor=factor, shard_rows=500)
+        assert np.mean([len({*got.get(i, [])} & {*want[i]}) / 20 for i in want]) >= least
+        seen[factor] = visited(v, factor=factor, shard_rows=500) / every
+    print(seen)
+    assert seen[1.0] < 0.4 and seen[0.5] < seen[0.7] < seen[1.0]
 
 
 def test_chat_reads_back(spark):
