@@ -8,8 +8,6 @@ slice of the document's words is then compared with the window's, first folded a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,31 +41,57 @@ def with_prefix(windows: DataFrame, docs: DataFrame, max_broadcast: int) -> Data
     return places.groupBy("words").agg(F.first("items").alias("items"), F.first("folded").alias("folded"), best).select("words", "items", "folded", "p.prefix", "p.at")
 
 
+def with_words(docs: DataFrame) -> DataFrame:
+    """doc_id, h, w (folded words), x (the exact words where they may differ, else null). Folding changes an ASCII text as the exact way does."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("h"), text_or_empty().alias("text"))
+    plain = F.octet_length("text") == F.length("text")
+    alike = F.replace(F.lower("text"), F.lit("ς"), F.lit("σ")) == F.translate("text", UPPER, LOWER)
+    return d.select("doc_id", "h", folded_words(F.col("text")).alias("w"), F.when(~plain & ~alike, exact_words(F.col("text"))).alias("x"))
+
+
+def is_hit(start: Column, folded: Column, words: Column) -> Column:
+    """Whether the window (folded, words) stands at start (from 0) among the words w and x."""
+    n = F.size(folded)
+    whole = (start >= 0) & (start + n <= F.size("w"))
+    same = F.slice("w", start + 1, n) == folded
+    exact = F.slice(F.coalesce("x", "w"), start + 1, n) == words
+    return F.when(whole, F.when(same, exact)).otherwise(False)
+
+
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, h, n_words, start, length, items), and a row with start null for each document. windows is small enough to broadcast.
-    The words, the text and the match all stay within one stage; only hits and one row a document leave it."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("h"), text_or_empty().alias("text")).withColumn("w", folded_words(F.col("text")))
-    e = d.select("*", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
+    The words and the match all stay within one stage; only hits and one row a document leave it."""
+    e = with_words(docs).select("*", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
     j = e.join(F.broadcast(windows), e.word == windows.prefix, "left").withColumn("start", F.col("pos") - 1 - F.col("at"))
-    n = F.size("folded")
-    whole = (F.col("start") >= 0) & (F.col("start") + n <= F.size("w"))
-    same = F.slice("w", F.col("start") + 1, n) == F.col("folded")
-    exact = F.slice(exact_words(F.col("text")), F.col("start") + 1, n) == F.col("words")
-    hit = F.when(whole, F.when(same, exact)).otherwise(False)
-    return j.filter((F.col("pos") == 0) | hit).select("doc_id", "h", F.when(F.col("pos") == 0, F.size("w")).alias("n_words"), "start", F.when(F.col("pos") > 0, n).alias("length"), "items")
+    hit = (F.col("pos") > 0) & is_hit(F.col("start"), F.col("folded"), F.col("words"))
+    first = F.col("pos") == 0
+    return j.filter(first | hit).select("doc_id", "h", F.when(first, F.size("w")).alias("n_words"), F.when(~first, F.col("start")).alias("start"), F.when(~first, F.size("folded")).alias("length"), "items")
+
+
+def occurrences_by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The same for windows of any number: words meet them on the prefix in a shuffle, as (text, place) alone, and what they name is compared
+    within the text."""
+    d = with_words(docs)
+    e = d.select("doc_id", "h", F.posexplode("w").alias("pos", "word"))
+    c = e.join(windows, e.word == windows.prefix).select("doc_id", "h", F.struct((F.col("pos") - F.col("at")).alias("start"), "folded", "words", "items").alias("c"))
+    g = c.filter("c.start >= 0").groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(F.collect_set("c").alias("c"))
+    j = d.join(g, d.doc_id.eqNullSafe(g.d2) & d.h.eqNullSafe(g.h2), "left")
+    hits = F.filter(F.coalesce("c", F.array()), lambda c: is_hit(c.start, c.folded, c.words))
+    head = F.struct(F.size("w").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"))
+    rows = F.concat(F.array(head), F.transform(hits, lambda c: F.struct(F.lit(None).cast("int").alias("n_words"), c.start.alias("start"), F.size(c.folded).alias("length"), c["items"].alias("items"))))
+    return j.select("doc_id", "h", F.explode(rows).alias("r")).select("doc_id", "h", "r.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, max_broadcast: int = 100_000) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> doc_id, h (hash of the text), n_words, hits (array of (start, length), distinct and
     sorted), items (sorted ids), n_hit. One row for each row of docs.
 
-    Null and empty texts have no words; repeated rows each get their row; other columns are ignored; without items nothing is hit.
-    max_broadcast bounds the windows (and words) that are broadcast at once: more of them are matched in several passes, each over
-    a share of the windows that was dealt out by hash."""
+    Null and empty texts have no words; repeated rows each get their row; other columns are ignored, whatever their names; without items
+    nothing is hit, and without documents there are no rows. A window that is long or stands many times in a text costs in proportion to
+    its length. max_broadcast bounds the windows (and words) that are broadcast; more of them meet the words in a shuffle."""
     windows = materialize(with_prefix(materialize(item_windows(items, width), "windows"), docs, max_broadcast), "prefixes")
-    passes = max(1, -(-windows.count() // max_broadcast))
-    parts = [occurrences(docs, windows.filter(F.pmod(F.xxhash64("words"), F.lit(passes)) == i)) for i in range(passes)]
-    found = reduce(DataFrame.unionByName, [parts[0], *(p.filter("start is not null") for p in parts[1:])])
+    few = windows.count() <= max_broadcast
+    found = (occurrences if few else occurrences_by_shuffle)(docs, windows)
     hit = F.when(F.col("start").isNotNull(), F.struct(F.col("start"), F.col("length")))
     g = found.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set(hit)).alias("hits"), F.collect_set("items").alias("items"))
     end = F.lit(0).cast("int")

@@ -312,6 +312,8 @@ def layout(rng: random.Random, main: list[str], other: list[str]) -> str:
     rng.shuffle(front)
     rng.shuffle(back)
     page = "".join(front) + wrap.replace("%", text) + "".join(back)
+    if rng.random() < 0.06:  # nothing but text, as little as one paragraph
+        page = rng.choice(["%", "<div>%</div>"]).replace("%", "".join(body[: rng.randint(1, 4)]) if rng.random() < 0.7 else f"<p>{html.escape(main[-1], quote=False)}{MARK}</p>")
     if rng.random() < 0.4:
         page = f"<div{rng.choice(['', ' id=page', ' class=wrapper', ' class=container'])}>{page}</div>"
     return f"<!DOCTYPE html><html><head><title>{words()}</title><style>p{{}}</style></head><body>{page}</body></html>"
@@ -355,7 +357,9 @@ def labelled(pages: list[str], layouts: int, seed: int) -> tuple[np.ndarray, np.
 
 def train(pages: DataFrame, max_pages: int = 150, layouts: int = 6, seed: int = 7) -> Boosted:
     """Fits the trees on max_pages pages (those with the least hash of their columns; equal pages count once) and `layouts` layouts of each."""
-    rows = pages.filter("html is not null").select(F.xxhash64(*pages.columns).alias("at"), "html").orderBy("at", "html").limit(max_pages).collect()
+    known = pages.filter("html is not null").select(F.xxhash64(*pages.columns).alias("at"), "html")
+    least = [r["at"] for r in known.select("at").distinct().orderBy("at").limit(max_pages).collect()]
+    rows = known.filter(F.col("at").isin(least)).groupBy("at").agg(F.min("html").alias("html")).orderBy("at").collect()
     sample = list(dict.fromkeys(r["html"] for r in rows))
     x, y = labelled(sample, layouts, seed)
     return Boosted(x, y)
@@ -363,7 +367,8 @@ def train(pages: DataFrame, max_pages: int = 150, layouts: int = 6, seed: int =
 
 def extract(pages: DataFrame, model: Boosted) -> DataFrame:
     """pages, any columns with html -> the same rows with text: kept blocks in page order, one to a line. Null and empty pages have an empty
-    text; markup that isn't closed or is cut off is read as far as it goes; repeated rows are kept; a column text is replaced."""
+    text; markup that isn't closed or is cut off is read as far as it goes; repeated rows are kept; a column text is replaced; an empty
+    table gives no rows. A very long page is read whole, in time and memory in proportion to its length (256 pages go at a time)."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

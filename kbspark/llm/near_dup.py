@@ -7,8 +7,12 @@ Signature: each shingle sends points at exponential times of a rate equal to its
 the shingle that came first. A shingle stops as soon as its next time is later than the latest of all registers (early termination).
 Equal texts are one row from there on. Bands of registers give buckets. Within a bucket a spanning forest of the best estimates names
 the pairs to verify; verified pairs give classes. Where a pair was rejected and its ends are still apart, the bucket is gone over again
-with the exact similarity of every pair of different classes, so that no link that a bucket shows is lost. Buckets above `block` rows
-are dealt out as pairs of blocks. What leaves a bucket is at most an edge for each of its rows (and block).
+with the exact similarity of every pair of different classes, so that no link that a bucket shows is lost. What leaves a bucket is at most
+an edge for each of its rows (and block).
+
+A bucket above `block` rows is dealt out in blocks. In the first pass each block gets the bucket's few centres besides its own rows, so that
+a large group of copies becomes one class in time linear in its size. Only a hot bucket that still holds several classes is gone over in
+full, and there rows of its largest class meet those outside it, never each other.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kbspark.llm.common import connected_components, folded_words, materialize, text_or_empty
 
@@ -175,31 +180,56 @@ def forest(level: float, exact: bool, registers: int):
     return run
 
 
-def edges_within(rows: DataFrame, block: int, level: float, exact: bool, registers: int) -> DataFrame:
+def edges_within(dealt: DataFrame, level: float, exact: bool, registers: int) -> DataFrame:
     """Distinct edges (a, b) of the buckets. Groups are sorted into streams, so that small ones cost no call of their own."""
     order = ["key", "p", "q"]
-    d = dealt(rows, block)
-    return d.repartition(*order).sortWithinPartitions(*order, "t").mapInPandas(forest(level, exact, registers), "a long, b long").distinct()
-
-
-def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Adds p and q, the two blocks of the bucket (key) that are compared; a bucket of up to `block` rows has one block."""
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    r = rows.join(size, "key").withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return r.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("own", "other", "blocks")
-
-
-def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows: int = 6, block: int = 1024) -> DataFrame:
+    return dealt.repartition(*order).sortWithinPartitions(*order, "t").mapInPandas(forest(level, exact, registers), "a long, b long").distinct()
+
+
+def number_of(n: Column, block: int) -> Column:
+    return F.ceil(n / block).cast("int")
+
+
+def with_centres(rows: DataFrame, block: int, centres: int) -> DataFrame:
+    """Adds p and q (here equal): the row's block of its bucket (key). Of a bucket above `block` rows the `centres` rows with the least hash
+    stand in every block."""
+    size = rows.groupBy("key").agg(number_of(F.count("*"), block).alias("blocks"))
+    hot = materialize(size.filter("blocks > 1"), "hot")
+    place = lambda r, b: F.pmod(F.xxhash64(r), b).cast("int")
+    r = rows.join(hot, "key", "left").withColumn("p", F.coalesce(place("t", F.col("blocks")), F.lit(0)))
+    own = r.drop("blocks").withColumn("q", F.col("p"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(7), "t"), "t"))
+    few = rows.join(hot, "key").withColumn("rank", rank).filter(F.col("rank") <= centres).drop("rank")
+    few = few.withColumn("own", place("t", F.col("blocks"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("p <> own").withColumn("q", F.col("p"))
+    return own.unionByName(few.select(*own.columns))
+
+
+def with_all_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """Adds p and q so that every two rows of a bucket and of different classes share one of its groups: the rows outside the bucket's
+    largest class in pairs of blocks (p <= q), and each of their blocks with each block of the largest class (p, -1 - block)."""
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    of = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    r = rows.join(of, "key").withColumns({"large": number_of(F.col("most"), block), "small": number_of(F.col("all") - F.col("most"), block)}).drop("most", "all")
+    at = lambda n: F.pmod(F.xxhash64("t"), n).cast("int")
+    large = r.filter("class = main").withColumn("q", -1 - at(F.col("large"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("small") - 1)))
+    small = r.filter("class <> main").withColumn("own", at(F.col("small")))
+    inner = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("small") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    outer = small.withColumn("p", F.col("own")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("large") - 1))).withColumn("q", -1 - F.col("b"))
+    names = [*rows.columns, "p", "q"]
+    return large.filter("small > 0").select(*names).unionByName(inner.select(*names)).unionByName(outer.select(*names))
+
+
+def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows: int = 6, block: int = 1024, centres: int = 16) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id (smallest doc_id of the class), class_size (rows). One row for each row of docs.
 
     Classes are the connected components of similarity of at least `level`. A text without words (null, empty) is alike to nothing, and
     class_id is its own doc_id. A row with a null doc_id keeps it, and takes part as if its id were the largest; its class_id is null
-    when no row of its class has an id. Repeated rows are equal texts of one class. Other columns are ignored."""
+    when no row of its class has an id. Repeated rows are equal texts of one class. Other columns are ignored, whatever their names; an
+    empty table gives no rows. Texts count whole, however long."""
     registers = bands * rows
     s = signatures(docs, registers)
     texts = s.filter("sig is not null").groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
-    texts = materialize(texts.select(F.xxhash64("x", "y").alias("t"), "*"), "texts")
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("t"), "*"), "texts")  # t names a text from here on
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * rows + 1, F.lit(2 * rows))))
     keyed = texts.select("t", F.explode(keys).alias("key"))
@@ -207,22 +237,23 @@ def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows:
     member = materialize(keyed.join(shared, "key", "left_semi"), "members")
 
     with_sig = member.join(texts.select("t", "sig"), "t").withColumn("class", F.col("t"))
-    edges = materialize(edges_within(with_sig, block, level, False, registers), "pairs")
+    edges = materialize(edges_within(with_centres(with_sig, block, centres), level, False, registers), "pairs")
     sets = candidate_shingles(docs, texts, member.select("t").distinct())
     sets = materialize(sets, "shingles")
 
     judged = verified(edges, sets, level)
     good = materialize(judged.filter("similarity >= %r" % level).select("a", "b"), "links")
     found = connected_components(good)
-    # Buckets with a rejected pair whose ends are still in different classes.
+    # Buckets that may hold a link still: those of a rejected pair whose ends are in different classes, and hot ones of several classes.
     c1, c2 = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = edges.join(good, ["a", "b"], "left_anti").join(c1, "a", "left").join(c2, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    apart = materialize(apart, "apart")
-    if not apart.isEmpty():
-        open_keys = apart.join(member.withColumnRenamed("t", "a"), "a").join(member.withColumnRenamed("t", "b"), ["b", "key"]).select("key").distinct()
-        again = member.join(open_keys, "key", "left_semi").join(found.withColumnRenamed("node", "t"), "t", "left").withColumn("class", F.coalesce("component", "t")).drop("component")
-        again = again.join(texts.select("t", "sig"), "t").join(sets, "t")
-        more = materialize(edges_within(again, block, level, True, registers), "more_links")
+    rejected = apart.join(member.withColumnRenamed("t", "a"), "a").join(member.withColumnRenamed("t", "b"), ["b", "key"]).select("key")
+    classes = member.join(found.withColumnRenamed("node", "t"), "t", "left").select("key", "t", F.coalesce("component", "t").alias("class"))
+    hot = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2")).filter((F.col("n") > block) & (F.col("c1") != F.col("c2"))).select("key")
+    open_keys = materialize(rejected.unionByName(hot).distinct(), "open")
+    if not open_keys.isEmpty():
+        again = classes.join(open_keys, "key", "left_semi").join(texts.select("t", "sig"), "t").join(sets, "t")
+        more = materialize(edges_within(with_all_pairs(again, block), level, True, registers), "more_links")
         if not more.isEmpty():
             found = connected_components(good.union(more))
 
@@ -245,12 +276,12 @@ def candidate_shingles(docs: DataFrame, texts: DataFrame, wanted: DataFrame, max
             yield pd.DataFrame({"t": page["t"].to_numpy(), "keys": [k for k, _ in by_key], "weights": [w for _, w in by_key]})
 
     # One row stands for all equal texts: the one that has the least id among them. Words are made after the join.
-    pick = materialize(texts.join(wanted, "t", "left_semi").select(F.col("t").alias("pick"), F.col("least").alias("least")), "wanted")
+    pick = materialize(texts.join(wanted, "t", "left_semi").select(F.col("t").alias("pick"), "least", F.col("x").alias("px"), F.col("y").alias("py")), "wanted")
     if pick.count() <= max_broadcast:
         pick = F.broadcast(pick)
     d = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
-    d = d.join(pick, d.id.eqNullSafe(pick.least)).select("pick", F.transform(folded_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    same = F.col("pick") == F.xxhash64(F.xxhash64("w"), F.xxhash64(F.lit(1), F.reverse("w")))
+    d = d.join(pick, d.id.eqNullSafe(pick.least)).select("pick", "px", "py", F.transform(folded_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    same = (F.col("px") == F.xxhash64("w")) & (F.col("py") == F.xxhash64(F.lit(1), F.reverse("w")))
     one = d.filter(same).select(F.col("pick").alias("t"), "w").dropDuplicates(["t"])
     return one.mapInPandas(run, "t long, keys binary, weights binary")
 
