@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kbspark.sources.tables import materialize
+
 #: Words by which an answer refuses.
 REFUSALS = ["未找到", "没有", "不包含", "无法提供", "不在", "抱歉"]
 
@@ -62,19 +64,22 @@ def diagnose(run: DataFrame) -> DataFrame:
     return s.select(F.explode(F.when(F.size(issues) > 0, issues).otherwise(F.array(F.lit("none")))).alias("issue"))
 
 
-def span_tree(spans: DataFrame, most_levels: int = 32) -> DataFrame:
-    """Depth and path of the spans that hang on a root; other orphans are dropped. One join for each level."""
+def span_tree(spans: DataFrame) -> DataFrame:
+    """Depth and path of the spans that hang on a root, at any depth; other orphans (and cycles) are dropped. Each span knows a stretch of its
+    path up to some ancestor; stretches double with each join, and each round is written to the shared folder."""
     s = spans.select("trace_id", "span_id", "parent_id", "node")
     root = F.col("parent_id").isNull() | (F.col("parent_id") == F.col("trace_id").cast("string"))
-    level = s.filter(root).select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("node").alias("path"))
-    out = level
-    for depth in range(1, most_levels):
-        up = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("above"))
-        level = s.filter(~root).join(up, ["trace_id", "parent_id"]).select("trace_id", "span_id", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), "node").alias("path"))
-        if level.isEmpty():
+    s = materialize(s.select("trace_id", "span_id", F.when(~root, F.col("parent_id")).alias("up"), F.when(root, 0).otherwise(1).alias("depth"), F.col("node").alias("path")))
+    left = s.filter("up is not null").count()
+    while left:
+        above = s.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("head"))
+        j = s.filter("up is not null").join(above, ["trace_id", "up"])  # a span whose parent is missing goes
+        step = j.select("trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("head", F.lit("/"), "path").alias("path"))
+        s = materialize(s.filter("up is null").unionByName(step))
+        now = s.filter("up is not null").agg(F.count("*").alias("n"), F.max("depth").alias("deep")).first()
+        if not now["n"] or now["deep"] > s.count():  # deeper than there are spans: a cycle
             break
-        out = out.unionByName(level)
-    return out
+    return s.filter("up is null").select("trace_id", "span_id", "depth", "path")
 
 
 def apply_ratings(traces: DataFrame, ratings: DataFrame) -> DataFrame:

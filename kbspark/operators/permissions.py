@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def group_closure(groups: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(group_id, ancestor), itself included. One self-join for each level; a cycle ends as soon as no pair is new."""
-    up = groups.filter("parent_group_id is not null").select(F.col("group_id").alias("ancestor"), F.col("parent_group_id").alias("next"))
-    found = last = groups.select("group_id", F.col("group_id").alias("ancestor"))
-    for _ in range(most_levels):
-        last = last.join(up, "ancestor").select("group_id", F.col("next").alias("ancestor")).distinct().join(found, ["group_id", "ancestor"], "left_anti")
-        if last.isEmpty():
-            break
-        found = found.unionByName(last)
-    return found
+from kbspark.sources.tables import materialize
+
+
+def group_closure(groups: DataFrame) -> DataFrame:
+    """(group_id, ancestor), itself included. Paths double with each join, so that the joins grow with the logarithm of the depth; what is
+    found is written to the shared folder each time, and a round that finds nothing new (in a cycle too) is the last."""
+    own = groups.select("group_id", F.col("group_id").alias("ancestor"))
+    up = groups.filter("parent_group_id is not null").select("group_id", F.col("parent_group_id").alias("ancestor"))
+    found = materialize(own.unionByName(up.join(own.select(F.col("group_id").alias("ancestor")), "ancestor", "left_semi").select("group_id", "ancestor")).distinct())
+    n = found.count()
+    while True:
+        further = found.select(F.col("group_id").alias("ancestor"), F.col("ancestor").alias("next"))
+        found = materialize(found.join(further, "ancestor").select("group_id", F.col("next").alias("ancestor")).distinct())
+        n, before = found.count(), n
+        if n == before:
+            return found
 
 
 def effective_groups(members: DataFrame, closure: DataFrame) -> DataFrame:

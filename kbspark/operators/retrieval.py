@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,48 +26,51 @@ def query_terms(queries: DataFrame, most: int = 30) -> DataFrame:
     return queries.select("query_id", F.explode(F.slice(F.array_distinct(terms(F.col("query"))), 1, most)).alias("term"))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over the chunks that match any term. Document frequencies and lengths come from the postings; only postings of query terms are
-    scored."""
-    p = postings(chunks)
-    lengths = p.groupBy("chunk_id").agg(F.sum("tf").alias("l"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("l").alias("mean"))
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int | str = 30, k1: float = 1.2, b: float = 0.75, most_terms: int = 200_000) -> DataFrame:
+    """BM25 over the chunks that match any term. k is a number, or a column of queries. Lengths are worked out within each row, and words
+    that no query asks for go before anything is grouped (the terms are broadcast while they are few)."""
+    w = chunks.select("chunk_id", terms(F.col("chunk_text")).alias("w")).withColumn("l", F.size("w")).filter("l > 0")
+    stats = w.agg(F.count("*").alias("n"), F.avg("l").alias("mean"))
     wanted = query_terms(queries)
-    hit = p.join(wanted.select("term").distinct(), "term")
+    asked = wanted.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= most_terms else asked
+    hit = w.select("chunk_id", "l", F.explode("w").alias("term")).join(asked, "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("l").alias("l"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    m = wanted.join(hit, "term").join(df, "term").join(lengths, "chunk_id").join(F.broadcast(stats))  # stats is one row
+    m = wanted.join(df, "term").join(hit, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("l") / F.col("mean")))
-    return top(m.groupBy("query_id", "chunk_id").agg(F.round(F.sum(s), 6).alias("score")), k).select("query_id", "chunk_id", "score", "rank")
-
-
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 30, max_queries: int = 5000) -> DataFrame:
-    """Exact cosine search. Blocks of at most max_queries query vectors meet each partition of the vectors in a matrix product, which
-    keeps its k best; ranks merge them."""
-    n = queries.count()
-    parts = []
-    for i in range(max(1, -(-n // max_queries))):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // max_queries)))) == i).toPandas()  # a bounded block
-        ids = block["query_id"].to_numpy()
-        q = np.stack(block["embedding"].to_list()).astype(float) if len(block) else np.zeros((0, 1))
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(pages: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            for page in pages:
-                if not len(page) or not len(ids):
-                    continue
-                x = np.stack(page["embedding"].to_list()).astype(float)
-                s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                s, names = np.round(s, 6), page["chunk_id"].to_numpy()
-                order = np.argsort(names, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": names[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-        parts.append(vectors.select("chunk_id", "embedding").mapInPandas(run, "query_id long, chunk_id string, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, k)
+    scored = m.groupBy("query_id", "chunk_id").agg(F.round(F.sum(s), 6).alias("score"))
+    return top(with_limit(scored, queries, k), k).select("query_id", "chunk_id", "score", "rank")
+
+
+def with_limit(scored: DataFrame, queries: DataFrame, k: int | str) -> DataFrame:
+    return scored.join(queries.select("query_id", k), "query_id") if isinstance(k, str) else scored
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int | str = 30, query_rows: int = 4096, vector_rows: int = 50_000) -> DataFrame:
+    """Exact cosine search. Queries and vectors are dealt out by hash in blocks of a bounded size; a task multiplies two blocks and keeps the
+    best of each query, and ranks merge them. k is a number, or a column of queries."""
+    blocks, shards = max(1, -(-queries.count() // query_rows)), max(1, -(-vectors.count() // vector_rows))
+    most = k if isinstance(k, int) else queries.agg(F.max(k)).first()[0] or 0
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "embedding").withColumn("block", deal("query_id", blocks)).withColumn("shard", every(shards))
+    v = vectors.select("chunk_id", "embedding").withColumn("shard", deal("chunk_id", shards)).withColumn("block", every(blocks))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        x = np.stack(rows.to_list()).astype(float)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
+        b = b.sort_values("chunk_id", kind="stable")
+        s = np.round(unit(a["embedding"]) @ unit(b["embedding"]).T, 6)
+        at = np.argsort(-s, axis=1, kind="stable")[:, :most]
+        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), at.shape[1]), "chunk_id": b["chunk_id"].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()})
+
+    out = q.groupBy("shard", "block").cogroup(v.groupBy("shard", "block")).applyInPandas(best, "query_id long, chunk_id string, score double")
+    return top(with_limit(out, queries, k), k).select("query_id", "chunk_id", "score", "rank")
 
 
 def rrf(lists: list[DataFrame], k: int = 60, final: int = 30) -> DataFrame:
@@ -119,3 +120,81 @@ def temporal(hits: DataFrame, as_of: str, keep: str = "exclude") -> DataFrame:
     expired = F.coalesce(F.col("expiry_date") < F.lit(as_of).cast("date"), F.lit(False))
     h = hits.withColumn("is_expired", expired)
     return h if keep == "include" else h.filter(F.col("is_expired") == (keep == "only"))
+
+
+def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Both lists of 3 * top_k hits a query, fused to 2 * top_k. A query without terms and without a vector has no hits."""
+    q = queries.withColumns({"k3": 3 * F.col("top_k"), "k2": 2 * F.col("top_k")})
+    dense = dense_search(query_vectors.join(q.select("query_id", "k3"), "query_id"), vectors, "k3")
+    fused = rrf([dense, keyword_search(q, chunks, "k3")], final=2**31 - 1)
+    return fused.join(q.select("query_id", "k2"), "query_id").filter("rank <= k2").drop("k2")
+
+
+def merge_lists(hits: DataFrame) -> DataFrame:
+    """hits (query_id, list, rank, chunk_id, ..): the first occurrence of each chunk, by list and rank; place numbers what stays."""
+    first = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("list", "rank"))
+    kept = hits.withColumn("__n", first).filter("__n = 1").drop("__n")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("list", "rank")))
+
+
+def cap_total(merged: DataFrame, most: int = 30) -> DataFrame:
+    return merged.filter(F.col("place") <= most)
+
+
+def groups_of(merged: DataFrame) -> DataFrame:
+    """For each query and list the chunks that it brought, in order."""
+    g = merged.groupBy("query_id", "list").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("x"))
+    return g.select("query_id", "list", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda h: h.chunk_id), ",").alias("chunk_ids"))
+
+
+def dedup_pipeline(hits: DataFrame, queries: DataFrame, per_doc: int = 3) -> DataFrame:
+    """Equal content once; where capping and merging leave 2 * top_k hits or more they are used, else the hits stay as they were."""
+    one = dedup_content(hits)
+    merged = merge_adjacent(cap_per_doc(one, per_doc)).select("query_id", "chunk_id", "score")
+    enough = merged.groupBy("query_id").agg(F.count("*").alias("n")).join(queries.select("query_id", "top_k"), "query_id").filter("n >= 2 * top_k").select("query_id")
+    return merged.join(enough, "query_id", "left_semi").unionByName(one.join(enough, "query_id", "left_anti").select("query_id", "chunk_id", "score"))
+
+
+def resolve_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """hits (query_id, doc_id, parent_id, score, chunk_id): the best hit of each parent, with the parent's text; hits without one pass."""
+    with_parent = first_of_each(hits.filter("parent_id is not null"), ["doc_id", "parent_id"]).join(parents, ["doc_id", "parent_id"], "left")
+    rest = hits.filter("parent_id is null").withColumn("parent_text", F.lit(None).cast("string"))
+    return with_parent.unionByName(rest.select(*with_parent.columns)).withColumn("content", F.coalesce("parent_text", "chunk_text")).select("query_id", "chunk_id", "content")
+
+
+def doc_type(docs: DataFrame, wanted: str) -> DataFrame:
+    """Rows whose doc_type begins with the wanted one, or whose file name has its extension; any passes all, and so does a type without one."""
+    ends = {"manual": ".md", "specification": ".md", "policy": ".md", "report": ".docx", "guide": ".md"}.get(wanted, "")
+    return docs if wanted in ("", "any") else docs.filter(F.coalesce(F.startswith("doc_type", F.lit(wanted)), F.lit(False)) | F.endswith("filename", F.lit(ends)))
+
+
+def scope_kbs(requested: str, granted: str, key_scope: str):
+    """Column: what is granted, narrowed by each of the others that isn't empty."""
+    narrowed = lambda a, b: F.when(F.size(b) > 0, F.array_intersect(a, b)).otherwise(a)
+    return F.array_sort(narrowed(narrowed(F.col(granted), F.col(requested)), F.col(key_scope)))
+
+
+def rerank_chain(hits: DataFrame, scores: DataFrame, n: int, order: tuple[str, ...] = ("api", "cross_encoder", "llm")) -> DataFrame:
+    """scores (query_id, chunk_id, source, score). A query is ranked by the first source that scored all of its hits, else cut as it is."""
+    size = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
+    known = hits.select("query_id", "chunk_id").join(scores, ["query_id", "chunk_id"]).groupBy("query_id", "source").agg(F.count("*").alias("n"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("source"))
+    use = known.join(size, "query_id").filter((F.col("n") == F.col("n_hits")) & (place > 0)).groupBy("query_id").agg(F.min_by("source", place).alias("strategy"))
+    h = hits.join(use, "query_id", "left").withColumn("strategy", F.coalesce("strategy", F.lit("truncation")))
+    s = scores.select("query_id", "chunk_id", F.col("source").alias("strategy"), F.col("score").alias("new"))
+    h = h.join(s, ["query_id", "chunk_id", "strategy"], "left").withColumn("score", F.coalesce("new", "score")).drop("new")
+    return top(h, n).select("query_id", "chunk_id", "strategy", "score", "rank")
+
+
+def critic_action(queries: DataFrame, hits: DataFrame, known: DataFrame, good: float = 0.5) -> DataFrame:
+    """What to do next, from the mean of the three best scores and from whether the knowledge base knows the matter (query_id, known)."""
+    best = top(hits, 3).groupBy("query_id").agg(F.avg("score").alias("mean"))
+    j = queries.select("query_id").join(best, "query_id", "left").join(known, "query_id", "left")
+    knows = F.coalesce("known", F.lit(False))
+    action = F.when(F.col("mean").isNull() & ~knows, "not_in_kb").when(F.col("mean").isNull(), "ask_user").when(F.col("mean") >= good, "pass").when(~knows, "not_in_kb").otherwise("ask_user")
+    return j.select("query_id", action.alias("action"))
+
+
+def clamp(k, least: int = 1, most: int = 30):
+    """Column k within bounds."""
+    return F.least(F.greatest(k, F.lit(least)), F.lit(most)).cast("int")

@@ -62,8 +62,3 @@ def apply_ingest_status(docs: DataFrame, callbacks: DataFrame) -> DataFrame:
     """Latest callback of each known document; a null status is failed."""
     latest = callbacks.groupBy("doc_id").agg(F.max_by(F.struct(F.coalesce("status", F.lit("failed")).alias("status")), "ts").alias("x"))
     return docs.select("doc_id").join(latest, "doc_id").select("doc_id", F.col("x.status").alias("status"))
-
-
-def trash_listing(docs: DataFrame, as_of: str, keep_days: int = 30) -> DataFrame:
-    left = F.lit(keep_days) - F.datediff(F.lit(as_of).cast("date"), F.col("deleted_at"))
-    return docs.filter("deleted_at is not null").select("doc_id", left.cast("long").alias("days_left")).filter("days_left >= 0")

@@ -1,5 +1,6 @@
 """The same views as DuckDB common table expressions."""
 
+from kbspark.functions import questions as fq
 from kbspark.sources.fixtures import VIEWS as FIXTURES
 from kbspark.sources.fixtures import duck_view
 
@@ -49,6 +50,14 @@ VIEWS |= {n: duck_view(n) for n in FIXTURES} | {
 }
 
 
+_LISTS = ", ".join(f"[trim(x, ' ') for x in regexp_extract_all(query, '{p}')]" for p in fq.ENTITIES)
+_BETWEEN = fq.BETWEEN_WORDS.replace("'", "''")
+VIEWS["keywords_v"] = f"""found_k as (select query_id, unnest(l) k, generate_subscripts(l, 1) p from (select query_id, list_concat({_LISTS.replace("], [", "], [")}, [w for w in string_split_regex(query, '{_BETWEEN}') if length(w) >= 2 and not list_contains({fq.STOPWORDS!r}, w)]) l from asked_v)),
+  keywords_v as (select query_id, coalesce((list(k order by p) filter (k is not null))[1:10], []) ks from asked_v left join (select query_id, k, min(p) p from found_k group by 1, 2) using (query_id) group by 1)"""
+VIEWS["hits_v"] = "hits_v as (select h.query_id, h.score, h.rank, c.* from bm25_v h join chunks_v c using (chunk_id))"
+VIEWS["lists_v"] = "lists_v as (select query_id, chunk_id, rank, 0 list from dense_v union all select query_id, chunk_id, rank, 1 from bm25_v)"
+
+
 def duck(names: str, body: str) -> str:
     """body after the views that it needs, in order."""
     return "with recursive " + ",\n".join(VIEWS[n] for n in names.split()) + "\n" + body if names else body

@@ -60,7 +60,7 @@ query('aud9_exact_duplicates', 'chunks_v', """select sha256(chunk_text) hash, co
 
 query('aud11_prefix_overlap', 'chunks_v', """select distinct a.chunk_id a, b.chunk_id b from chunks_v a join (select *, left(chunk_text, 80) h from chunks_v where length(chunk_text) >= 100) b on a.doc_id <> b.doc_id and contains(a.chunk_text, b.h)""")(lambda s, d: audit.prefix_overlap(t.chunks(s, d)))
 
-query('aud12_index_gaps', 'chunks_v', """select * from (select doc_id, chunk_index "after", lead(chunk_index) over (partition by doc_id order by chunk_index) "before" from chunks_v where chunk_index % 7 <> 3) where "before" - "after" > 1""")(lambda s, d: audit.index_gaps(t.chunks(s, d).filter("chunk_index % 7 <> 3")))
+query('aud12_index_gaps', 'chunks_v', """select * from (select doc_id, chunk_index "after", lead(chunk_index) over (partition by doc_id order by chunk_index) "before" from chunks_v where length(chunk_text) >= 50) where "before" - "after" > 1""")(lambda s, d: audit.index_gaps(t.chunks(s, d).filter("length(chunk_text) >= 50")))
 
 query('chk1_estimate_tokens', 'chunks_v', """select chunk_id, greatest(1, length(chunk_text) // 2)::bigint tokens from chunks_v""")(lambda s, d: t.chunks(s, d).select("chunk_id", tx.estimate_tokens(F.col("chunk_text")).alias("tokens")))
 

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from kbspark.sources.tables import read_table
 
 VIEWS = {
+    "asked_v": """select item_id query_id, item_id % 4 history_len, case item_id % 12 when 0 then '你好' when 1 then '谢谢 hello' when 2 then '对比 ' || left(text, 20) || ' 和 ' || left(text, 5)
+    when 3 then '如何部署 ' || text when 4 then '价值观' when 5 then '有哪些 ' || left(text, 30) when 6 then '今天的 v3.0 ' || text when 7 then '我的 ERR-500 setup.sh ' || text
+    when 8 then left(text, 10) when 9 then '分析 NginxConf ' || text when 10 then '' else text end query,
+    case item_id % 5 when 0 then text when 1 then '' when 2 then '介绍 ' || left(text, 10) else left(text, 25) end rewritten,
+    case when item_id % 3 = 0 then item_id * 7 % 120 end since_last from {benchmark}""",
     "spaces_v": """select 's' || r_regionkey space_id, r_name as name, case when r_regionkey % 2 = 0 then 'public' else 'team' end space_type,
   case when r_regionkey = 4 then date '2024-02-01' end deleted_at from {region}""",
     "space_admins_v": """select 's' || (c_nationkey % 5) space_id, c_custkey user_id, case when c_custkey % 25 = 0 then 'owner' else 'admin' end as role
@@ -45,7 +50,7 @@ VIEWS = {
 }
 #: The views that each view reads.
 NEEDS = {"aces_v": ["kbs_v"], "doc_meta_v": ["kbs_v"], "eval_b_v": ["eval_a_v"]}
-TABLES = "region nation customer documents labels events".split()
+TABLES = "region nation customer documents labels events benchmark conversations".split()
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs a reread only."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of documents as chunks."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("p", "chunk_text")).filter(F.trim("chunk_text") != "")
-    d = d.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("p")) - 1)
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(lines).alias("chunk_index", "chunk_text"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
     return d.select(
         F.sha2(F.concat_ws(":", "doc_id", "chunk_index"), 256).alias("chunk_id"), "doc_id", "chunk_index", "chunk_text", F.col("source").alias("kb_id"),

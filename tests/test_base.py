@@ -2,8 +2,9 @@ import duckdb
 import pytest
 from conftest import SF
 
+from kbspark.functions import questions as fq
 from kbspark.functions import text as tx
-from kbspark.operators import access, evaluation, permissions, retrieval
+from kbspark.operators import access, evaluation, governance, permissions, retrieval
 from kbspark.plans.catalog import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
@@ -61,3 +62,37 @@ def test_user_allow_overrides_a_group_deny(spark):
     admitted = spark.createDataFrame([(1, "s", "g")], "user_id long, space_id string, group_id string")
     got = {(r.user_id, r.kb_id) for r in access.accessible_kbs(standing, kbs, aces, admitted).collect()}
     assert got == {(1, "b"), (3, "a"), (3, "b")}
+
+
+def test_deep_trees_are_whole(spark):
+    n = 100
+    spans = spark.createDataFrame([(1, str(i), str(i - 1) if i else None, "n") for i in range(n)] + [(1, "x", "lost", "n"), (2, "a", "b", "n"), (2, "b", "a", "n"), (2, "r", "2", "n")], "trace_id long, span_id string, parent_id string, node string")
+    got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in evaluation.span_tree(spans).collect()}
+    assert len(got) == n + 1 and got[1, "99"] == (99, "/".join("n" * 100)) and got[2, "r"] == (0, "n")
+    groups = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(n)], "group_id string, parent_group_id string")
+    assert permissions.group_closure(groups).count() == n * (n + 1) // 2
+
+
+def test_questions_of_each_kind(spark):
+    kinds = [("你好", "short_query_no_marker", True), ("hello", "short_query_no_marker", True), ("你好啊想问问题", "short_query_no_marker", False), ("对比 A 和 B vs. C", "complex_marker", False), ("", "empty_query", False), ("企业知识库系统的整体架构说明文档目录", "noun_phrase", False), ("如何在生产环境中部署这个系统并且完成配置", "default", False), (None, "default", None)]
+    got = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(kinds)], "i int, q string").select("i", fq.plan_reason(F.col("q")).alias("r"), fq.is_chitchat(F.col("q")).alias("c")).orderBy("i").collect()
+    assert [(r.r, r.c) for r in got] == [k[1:] for k in kinds]
+    one = lambda c, q: spark.createDataFrame([(q,)], "q string").select(c(F.col("q"))).first()[0]
+    assert one(fq.split_compare, "A 和 B 与 C") == ["A", "B", "C"] and one(fq.split_compare, "A") == []
+    assert one(fq.extract_keywords, "Ubuntu 22.04 部署 setup.sh 的 ERR-500 NginxConf") == ["22.04", "ERR-500", "setup.sh", "NginxConf", "Ubuntu", "部署"]
+
+
+def test_masks_of_whole_documents(spark):
+    c = spark.createDataFrame([(1, 0, "call 13812345678"), (1, 1, "mail a.b@c.org"), (2, 0, "nothing"), (3, 0, None)], "doc_id long, chunk_index int, chunk_text string")
+    got = sorted((r.doc_id, r.chunk_index, r.chunk_text, r.sensitive) for r in governance.mask_blocks(c).collect() if r.doc_id < 3)
+    assert got == [(1, 0, "call 138****5678", True), (1, 1, "mail a.b***@c.org", True), (2, 0, "nothing", False)]
+    docs = spark.createDataFrame([(1, "13812345678 and 13912345678, 6222021234567890 x@y.org"), (2, "13812345678"), (3, None)], "doc_id long, text string")
+    assert {r.rule: (r.hits, r.n_docs) for r in governance.mask_report(docs).collect()} == {"id_number": (0, 0), "mobile": (3, 2), "bank_card": (1, 1), "salary": (0, 0), "email": (1, 1)}
+
+
+def test_written_chunks_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 1)], "chunk_id string, doc_id long")
+    for _ in range(2):
+        governance.write_chunks(rows, f"{tmp_path}/chunks")
+    governance.write_chunks(spark.createDataFrame([("b", 1), ("c", 2)], "chunk_id string, doc_id long"), f"{tmp_path}/chunks")
+    assert sorted(r.chunk_id for r in spark.read.parquet(f"{tmp_path}/chunks").collect()) == ["a", "b", "c"]
