@@ -55,8 +55,8 @@ def is_chitchat(query: Column) -> Column:
 
 
 def plan_reason(query: Column) -> Column:
-    """Why a question goes to the planner or not; complex_marker and default do."""
-    q = F.trim(query)
+    """Why a question goes to the planner or not; complex_marker and default do. A null question is empty."""
+    q = F.trim(F.coalesce(query, F.lit("")))
     marked, plain = any_of(q, COMPLEX), ~any_of(q, QUESTION_WORDS) & ~any_of(q, ACTIONS) & (F.length(q) <= 30)
     return F.when(q == "", "empty_query").when((F.length(q) <= 15) & ~marked, "short_query_no_marker").when(marked, "complex_marker").when(plain, "noun_phrase").otherwise("default")
 

