@@ -1,16 +1,21 @@
 """Chat formatting in budgeted, turn-aligned windows (built-in functions only).
 
 A turn is written <|im_start|>role<|im_sep|>text<|im_end|>. Inside roles and texts each "<|" becomes "<||", so no text can hold a mark, and
-"<||" -> "<|" takes it back. Prefix sums of turn tokens choose the windows; each later window repeats the leading system turn and up to
-`history_turns` turns before it, both outside the loss mask, so that each assistant text is a target once.
+"<||" -> "<|" takes it back. Prefix sums of turn tokens deal turns out to stretches of bounded length, in which windows fill up
+in order; each later window repeats the leading system turn and up to `history_turns` turns before it, both outside the loss mask, so
+that each assistant text is a target once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kbspark.llm.common import materialize
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Tokens that a turn's marks count as.
 MARKS = 4
@@ -29,51 +34,81 @@ def token_estimate(text: Column) -> Column:
     return (F.floor((F.octet_length(text) + 3) / 4) + MARKS).cast("long")
 
 
-def turns_of(conversations: DataFrame, budget: int, history_budget: int, block: int) -> DataFrame:
-    """conv_id, ord (place in the conversation, from 0), start (tokens before it), tokens, span (a, b), has_system, role, text.
-
-    Prefix sums come in two steps, over blocks of `block` turn numbers and within a block, so that no sort holds a whole long
-    conversation. A window's new turns are those that start in the same stretch of half the room; a turn longer than that is alone."""
-    t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", token_estimate(F.col("text")))
-    key = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text")
-    head = t.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(key).alias("first"))
-    head = head.select(F.col("conv_id").alias("c"), ((F.col("n") > 1) & (F.col("first.role") == "system")).alias("has_system"), token_estimate(F.col("first.text")).alias("system_tokens"))
-    t = t.join(head, t.conv_id.eqNullSafe(head.c)).drop("c").withColumn("system_tokens", F.when(F.col("has_system"), F.col("system_tokens")).otherwise(F.lit(0)))
-    half = F.floor(F.greatest(F.lit(budget - history_budget) - F.col("system_tokens"), F.lit(budget // 8)) / 2)
-    t = t.withColumn("half", half).withColumn("large", (F.col("tokens") > F.col("half")).cast("long")).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))))
-
-    within = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumns({"ord": F.count("*").over(within) - 1, "start": F.sum("tokens").over(within) - F.col("tokens"), "large_before": F.sum("large").over(within) - F.col("large")})
-    sums = t.groupBy("conv_id", "block").agg(F.count("*").alias("rows"), F.sum("tokens").alias("sum_tokens"), F.sum("large").alias("sum_large"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("rows", "sum_tokens", "sum_large")))
-    t = t.join(sums, t.conv_id.eqNullSafe(sums.c) & (t.block == sums.b))
-    t = t.withColumns({"ord": F.col("ord") + F.col("rows"), "start": F.col("start") + F.col("sum_tokens"), "large_before": F.col("large_before") + F.col("sum_large")})
-    is_head = F.col("has_system") & (F.col("ord") == 0)
-    a = F.floor(F.greatest(F.col("start") - F.col("system_tokens"), F.lit(0)) / F.col("half"))
-    span = F.when(~is_head, F.struct(a.alias("a"), (2 * F.col("large_before") + F.col("large")).alias("b")))
-    return t.select("conv_id", "ord", "start", "tokens", span.alias("span"), "has_system", "role", "text")
-
-
-def format_chats(conversations: DataFrame, budget: int = 1024, history_budget: int = 256, history_turns: int = 2, block: int = 64) -> DataFrame:
-    """conversations (conv_id, turn, role, text) -> conv_id, first_turn (place of the window's first new turn), n_repeated (leading turns that
-    repeat another window's), text, loss (array of (start, end) in code points of text), n_tokens, over_budget.
+def turns_of(conversations: DataFrame, stretch: int, history_budget: int, count_tokens: Callable[[Column], Column]) -> DataFrame:
+    """c (key that is never null), conv_id, stretch, ord (place in the conversation, from 0), kind, tokens, role, text.
+
+    Rows are sorted once over the whole table, by ranges, so that neither a long conversation nor a turn number that many rows share is one
+    task's work; their prefix sums come from those within a range and those of the ranges before. A turn belongs (`own`) to the stretch of
+    tokens that it starts in, goes along (`carry`) to the next one where it may be its history, and a leading system turn (`system`) goes to
+    all stretches of its conversation."""
+    t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # equal rows are split as well: the last key tells them apart, and it doesn't matter how
+    t = t.orderBy(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", F.rand(1))
+    t = materialize(t.withColumn("row", F.monotonically_increasing_id()).drop("turn"), "turns")
+    t = t.withColumns({"c": F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), "part": F.shiftright("row", 33), "tokens": count_tokens(F.col("text"))})
+
+    sums = t.groupBy("c", "part").agg(F.count("*").alias("rows"), F.sum("tokens").alias("part_tokens"), F.min(F.struct("row", "role", "tokens")).alias("first"))
+    whole = Window.partitionBy("c")
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"n": F.sum("rows").over(whole), "all_tokens": F.sum("part_tokens").over(whole), "first": F.min("first").over(whole)})
+    sums = sums.withColumns({"rows": F.coalesce(F.sum("rows").over(before), F.lit(0)), "part_tokens": F.coalesce(F.sum("part_tokens").over(before), F.lit(0))})
+
+    so_far = Window.partitionBy("c", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumns({"ord": F.count("*").over(so_far) - 1, "start": F.sum("tokens").over(so_far) - F.col("tokens")}).join(sums, ["c", "part"])
+    t = t.withColumns({"ord": F.col("ord") + F.col("rows"), "start": F.col("start") + F.col("part_tokens")})
+    is_system = (F.col("ord") == 0) & (F.col("n") > 1) & (F.col("first.role") == "system")
+    own, next_one = F.floor(F.col("start") / stretch), F.floor((F.col("start") + history_budget) / stretch)
+    goes = F.when(is_system, F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_tokens") - 1) / stretch)), lambda z: F.struct(z.alias("stretch"), F.lit("system").alias("kind"))))
+    goes = goes.when(next_one > own, F.array(F.struct(own.alias("stretch"), F.lit("own").alias("kind")), F.struct(next_one.alias("stretch"), F.lit("carry").alias("kind"))))
+    goes = goes.otherwise(F.array(F.struct(own.alias("stretch"), F.lit("own").alias("kind"))))
+    return t.select("c", "conv_id", "ord", "tokens", "role", "text", F.inline(goes))
+
+
+def format_chats(conversations: DataFrame, budget: int = 1024, history_budget: int = 256, history_turns: int = 2, stretch: int = 16, count_tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """conversations (conv_id, turn, role, text) -> conv_id, first_turn (place of the window's first new turn after a leading system turn),
+    n_repeated (leading turns that repeat another window's), text, loss (array of (start, end) in code points of text), n_tokens, over_budget.
 
     Turns go by number, nulls first, ties by role and text; a repeated row is a turn of its own. Null roles and texts are empty, a null
-    conv_id is a conversation. Turns are never cut: a window of one turn longer than the room is kept whole and marked over_budget."""
-    t = turns_of(conversations, budget, history_budget, block)
-    firsts = t.filter("span is not null").groupBy("conv_id", "span").agg(F.min("ord").alias("first_turn"), F.min("start").alias("first_start"), F.first("has_system").alias("has_system"))
-    f = firsts.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "first_turn", "first_start", F.col("has_system").alias("sys"))
-    new = t.join(f, t.conv_id.eqNullSafe(f.c) & (t.span == f.s)).select("conv_id", "first_turn", F.lit(0).alias("repeated"), "ord", "tokens", "role", "text")
-    back = f.select("*", F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("j")).withColumn("o", F.col("first_turn") - F.col("j")).filter(F.col("o") >= F.col("sys").cast("int"))
-    history = t.join(back, t.conv_id.eqNullSafe(back.c) & (t.ord == back.o)).filter(F.col("first_start") - F.col("start") <= history_budget).select("conv_id", "first_turn", F.lit(1).alias("repeated"), "ord", "tokens", "role", "text")
-    lead = t.filter("span is null")
-    system = lead.join(f, lead.conv_id.eqNullSafe(f.c)).select("conv_id", "first_turn", (F.col("first_turn") > 1).cast("int").alias("repeated"), "ord", "tokens", "role", "text")
-
-    p = new.unionByName(history).unionByName(system)
-    p = p.withColumn("piece", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP), escape(F.col("text")), F.lit(END)))
-    p = p.withColumns({"at": F.length(escape(F.col("role"))) + len(START) + len(SEP), "n": F.length(escape(F.col("text"))), "target": (F.col("role") == "assistant") & (F.col("repeated") == 0)})
-    w = p.groupBy("conv_id", "first_turn").agg(F.array_sort(F.collect_list(F.struct("ord", "piece", "at", "n", "target"))).alias("p"), F.sum("repeated").cast("int").alias("n_repeated"), F.sum("tokens").alias("n_tokens"))
+    conv_id is a conversation, an empty table has no windows. Windows fill up in order within each stretch of `stretch` budgets, whose turns
+    are bounded in number as a turn counts one token at least; a stretch begins with a new window. Turns are never cut: a turn longer than
+    the room is alone in its window, which is marked over_budget. `count_tokens` is the measure of a text (positive); history takes up to
+    `history_turns` turns of `history_budget` tokens together, fewer where the new turn needs the room."""
+    t = turns_of(conversations, stretch * budget, history_budget, count_tokens)
+    g = t.groupBy("c", "stretch").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("ord", "kind", "tokens", "role", "text"))).alias("p"))
+    g = g.withColumns({"lead": F.filter("p", lambda x: x.kind == "system"), "p": F.filter("p", lambda x: x.kind != "system")})
+    g = g.withColumn("lead_tokens", F.coalesce(F.get("lead", F.lit(0)).tokens, F.lit(0)))
+
+    def sizes(x: Column, i: Column) -> Column:
+        """What the fold needs of a turn: its place from 1, whether it is new, tokens, and the history that a window starting here takes."""
+        room = F.least(F.lit(history_budget), F.lit(budget) - F.col("lead_tokens") - x.tokens)
+        turns, tokens, total = F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")
+        for j in range(1, history_turns + 1):
+            total = total + F.when(i >= j, F.get("p", i - j).tokens)
+            fits = F.coalesce(total <= room, F.lit(False))
+            turns, tokens = turns + fits.cast("int"), F.when(fits, total).otherwise(tokens)
+        return F.struct((i + 1).alias("i"), (x.kind == "own").alias("own"), x.tokens.alias("tokens"), turns.alias("back"), tokens.alias("back_tokens"))
+
+    def fill(acc: Column, x: Column) -> Column:
+        """Sum of the open window, and the windows (place of the first new turn, turns of history)."""
+        opens = x.own & (acc.used.isNull() | (acc.used + x.tokens > budget))
+        used = F.when(opens, F.col("lead_tokens") + x.back_tokens + x.tokens).otherwise(acc.used + x.tokens)
+        return F.struct(used.alias("used"), F.when(opens, F.concat(acc.windows, F.array(F.struct(x.i.alias("i"), x.back.alias("back"))))).otherwise(acc.windows).alias("windows"))
+
+    nothing = F.struct(F.lit(None).cast("long").alias("used"), F.array().cast("array<struct<i:int,back:int>>").alias("windows"))
+    g = g.withColumn("sizes", F.transform("p", sizes)).withColumn("w", F.aggregate("sizes", nothing, fill, lambda acc: acc.windows))
+
+    def window(x: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("w", k + 1).i, F.size("p") + 1)
+        return F.struct(x.i.alias("i"), x.back.alias("back"), F.slice("p", x.i - x.back, end - x.i + x.back).alias("turns"))
+
+    w = g.select("conv_id", "lead", F.inline(F.transform("w", window)))
+    w = w.withColumn("first_turn", F.get("turns", F.col("back")).ord).withColumn("n_repeated", F.col("back") + F.when(F.col("first_turn") > 1, F.size("lead")).otherwise(0))
+
+    def piece(x: Column, i: Column) -> Column:
+        role, text = escape(x.role), escape(x.text)
+        return F.struct(F.concat(F.lit(START), role, F.lit(SEP), text, F.lit(END)).alias("piece"), (F.length(role) + len(START) + len(SEP)).alias("at"), F.length(text).alias("n"), ((x.role == "assistant") & (i >= F.col("n_repeated"))).alias("target"), x.tokens.alias("tokens"))
+
+    w = w.select("conv_id", "first_turn", "n_repeated", F.transform(F.concat("lead", "turns"), piece).alias("p"))
 
     def add(acc: Column, x: Column) -> Column:
         s = acc.pos + x.at
@@ -81,7 +116,9 @@ def format_chats(conversations: DataFrame, budget: int = 1024, history_budget: i
         return F.struct((acc.pos + F.length(x.piece)).alias("pos"), out.alias("out"))
 
     loss = F.aggregate("p", F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out")), add, lambda acc: acc.out)
-    return w.select("conv_id", "first_turn", "n_repeated", F.array_join(F.transform("p", lambda x: x.piece), "").alias("text"), loss.alias("loss"), "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"))
+    n_tokens = F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x.tokens)
+    w = w.select("conv_id", "first_turn", "n_repeated", F.array_join(F.transform("p", lambda x: x.piece), "").alias("text"), loss.alias("loss"), n_tokens.alias("n_tokens"))
+    return w.withColumn("over_budget", F.col("n_tokens") > budget)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -107,20 +144,25 @@ def digest(windows: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+with recursive c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-o as (select *, row_number() over w - 1 o, (strlen(x) + 3) // 4 + 4 k, length(replace(r, '<|', '<||')) + length(replace(x, '<|', '<||')) + 32 l,
+o as (select *, dense_rank() over (order by conv_id) c, row_number() over w - 1 o, (strlen(x) + 3) // 4 + 4 k,
+             length(replace(r, '<|', '<||')) + length(replace(x, '<|', '<||')) + 32 l,
              count(*) over (partition by conv_id) > 1 and first_value(r) over w = 'system' s, (strlen(first_value(x) over w) + 3) // 4 + 4 fk
       from c window w as (partition by conv_id order by turn nulls first, r, x)),
-h as (select *, case when s then fk else 0 end sk, greatest(1024 - 256 - (case when s then fk else 0 end), 128) // 2 half from o),
-p as (select *, sum(k) over w - k st, sum((k > half)::int) over w - (k > half)::int lb from h window w as (partition by conv_id order by o)),
-q as (select *, case when s and o = 0 then null else greatest(st - sk, 0) // half end a, 2 * lb + (k > half)::int b from p),
-f as (select conv_id, min(o) fo, min(st) fs, bool_or(s) s from q where a is not null group by conv_id, a, b),
-e as (select conv_id, sum(l) l from q where a is not null group by 1
-      union all select q.conv_id, sum(q.l) from f join q on q.conv_id is not distinct from f.conv_id and q.o in (f.fo - 1, f.fo - 2) and q.o >= f.s::int and f.fs - q.st <= 256 group by 1
-      union all select q.conv_id, sum(q.l) from f join q on q.conv_id is not distinct from f.conv_id and q.a is null group by 1),
-z as (select conv_id, sum(l)::bigint l from e group by 1),
-d as (select conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by o)) turns_sha256,
-             coalesce(string_agg(case when r = 'assistant' then x end, '' order by o), '') t from q group by 1)
-select d.conv_id, n_turns, turns_sha256, length(t)::bigint loss_chars, sha256(t) loss_sha256, l formatted_chars from d join z on d.conv_id is not distinct from z.conv_id
+h as (select *, case when s then fk else 0 end sk, (sum(k) over w - k) // 16384 z,
+             case when o - 1 >= s::int then lag(k) over w end k1, case when o - 2 >= s::int then lag(k) over w + lag(k, 2) over w end k2
+      from o window w as (partition by c order by o)),
+q as (select *, coalesce(case when k2 <= least(256, 1024 - sk - k) then 2 when k1 <= least(256, 1024 - sk - k) then 1 end, 0) nb,
+             row_number() over (partition by c, z order by o) i from h where not (s and o = 0)),
+f as (select c, z, i, o, s, nb, true opens, sk + case nb when 2 then k2 when 1 then k1 else 0 end + k used from q where i = 1
+      union all select q.c, q.z, q.i, q.o, q.s, q.nb, f.used + q.k > 1024,
+             case when f.used + q.k > 1024 then sk + case q.nb when 2 then k2 when 1 then k1 else 0 end + k else f.used + k end
+      from f join q on q.c = f.c and q.z = f.z and q.i = f.i + 1),
+e as (select c, l from h union all select h.c, h.l from f join h on h.c = f.c and f.opens and h.o between f.o - f.nb and f.o - 1
+      union all select h.c, h.l from f join h on h.c = f.c and f.opens and f.s and f.o > 1 and h.o = 0),
+y as (select c, sum(l)::bigint l from e group by 1),
+d as (select c, any_value(conv_id) conv_id, count(*)::bigint n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by o)) turns_sha256,
+             coalesce(string_agg(case when r = 'assistant' then x end, '' order by o), '') t from h group by 1)
+select conv_id, n_turns, turns_sha256, length(t)::bigint loss_chars, sha256(t) loss_sha256, l formatted_chars from d join y using (c)
 """

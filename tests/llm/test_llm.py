@@ -249,6 +249,25 @@ def test_chat_reads_back(spark):
     assert d[2].n_turns == 1 and d[None].loss_chars == 1
 
 
+def test_chat_windows_fill_up(spark):
+    rows = [(1, i, "system" if i == 0 else "user" if i % 2 else "assistant", "word " * (1 + i * 7 % 60)) for i in range(2000)]
+    w = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = w.agg(F.avg("n_tokens"), F.max("n_tokens"), F.min("n_repeated"), F.max("n_repeated")).first()
+    assert got[0] > 0.85 * 1024 and got[1] <= 1024 and (got[2], got[3]) == (0, 3)
+    assert w.filter("not startswith(text, '<|im_start|>system')").isEmpty()
+
+
+def test_chat_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, loss int, ord int, tokens int"
+    rows = [(1, None, "user", "same", 1, 1, 1)] * 300 + [(1, 5, "assistant", "x" * 100_000, 1, 1, 1), (1, 5, "assistant", "tail", 1, 1, 1), (2, 0, "system", "alone", 1, 1, 1), (3, 0, None, "", 1, 1, 1)]
+    w = chat.format_chats(spark.createDataFrame(rows, schema))
+    d = {r.conv_id: r for r in chat.digest(w).collect()}
+    assert d[1].n_turns == 302 and d[1].loss_chars == 100_004 and d[1].loss_sha256 == hashlib.sha256(b"tail" + b"x" * 100_000).hexdigest()
+    assert d[2].n_turns == 1 and d[3].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest()
+    assert [(r.n_tokens > 1024, r.n_repeated) for r in w.filter("over_budget").collect()] == [(True, 0)]
+    assert chat.digest(chat.format_chats(spark.createDataFrame([], schema))).count() == 0
+
+
 def test_languages_held_out(spark):
     got = language_id.split_and_identify(spark.read.parquet(f"{SF}/documents.parquet"))
     r = got.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
