@@ -9,6 +9,7 @@ from kbspark.operators.html_blocks import html_blocks
 from kbspark.plans.governance_queries import media, typed
 from kbspark.plans.queries import query
 from kbspark.sources import tables as t
+from kbspark.streaming.jobs import check_intake
 
 query("blk1_html_blocks")(lambda s, d: html_blocks(t.read_table(s, d, "pages")))
 
@@ -75,3 +76,13 @@ def assigned(s, d):
 
 query("gov10_assign_kb", "", """select doc_id, case when doc_id % 7 < 2 then 'create' else 'existing' end as "action", case when doc_id % 7 < 2 then null when doc_id % 7 = 3 then 'src1' else source end target_kb_id,
   case doc_id % 7 when 0 then coalesce('new ' || lang, '未命名知识库') when 1 then '未命名知识库' end new_kb_name, case when doc_id % 7 = 5 then 'old ' || doc_id end supersedes from documents""")(assigned)
+
+
+def intake(s, d):
+    k = F.col("doc_id") % 9
+    kind = F.when(k == 0, "exe").when(k == 1, None).when(k == 2, "PDF").when(k == 3, "md").otherwise("txt")
+    good, failed = check_intake(t.read_table(s, d, "documents").select("doc_id", kind.alias("file_type"), "text"))
+    return good.select("doc_id", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("reason")).unionByName(failed)
+
+
+query("src2_intake", "", "select doc_id, case when r is null then 'accepted' else 'failed' end status, r reason from (select doc_id, case when doc_id is null then 'no document id' when doc_id % 9 < 2 then 'unknown file type' when not regexp_matches(coalesce(text, ''), '\\S') then 'no text' end r from documents)")(intake)
