@@ -108,3 +108,25 @@ def extract_keywords(q: Column, most: int = 10) -> Column:
 def expand_aspects(aspects: Column) -> Column:
     known = F.create_map(*[x for k, v in ASPECTS.items() for x in (F.lit(k), words(v))])
     return F.flatten(F.transform(aspects, lambda a: F.coalesce(F.try_element_at(known, a), F.array().cast("array<string>"))))
+
+
+#: Intents in order, their words, and how many hits they take; anything else is factoid with 5.
+ROUTES = [
+    ("compare", r"对比|区别|比较|vs\.?|哪一个更好|哪个更|有什么不同|有什么差别|差异|A和B|和.+相比|相较于", 8),
+    ("summary", r"总结|概述|概览|介绍一下|什么是|是什么|综合.*情况|整体.*情况|说一?下|讲一?下|介绍一?下", 15),
+    ("howto", r"怎么|如何|怎样|步骤|流程|方法|怎么做|怎么办|指南", 8),
+]
+
+
+def route(q: Column) -> list[Column]:
+    """intent and top_k of a question; a null one is factoid."""
+    intent, top_k = F.lit("factoid"), F.lit(5)
+    for name, pattern, k in reversed(ROUTES):
+        found = F.coalesce(q.rlike(pattern), F.lit(False))
+        intent, top_k = F.when(found, name).otherwise(intent), F.when(found, k).otherwise(top_k)
+    return [intent.alias("intent"), top_k.alias("top_k")]
+
+
+def cache_key_with_history(q: Column, history: Column) -> Column:
+    """The key of a question, and the start of its history's hash where there is one."""
+    return F.concat(F.substring(F.md5(F.trim(q)), 1, 16), F.when(F.coalesce(history, F.lit("")) != "", F.concat(F.lit(":"), F.left(history, F.lit(8)))).otherwise(""))

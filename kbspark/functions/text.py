@@ -45,8 +45,9 @@ def mask_pii(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    t = F.regexp_replace(text, r"\s+", "")
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))))
+    chars = F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit("(?s)."), F.lit(0))
+    rest = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), rest), F.slice(chars, F.lit(2), rest), lambda x, y: F.concat(x, y)))
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:

@@ -122,6 +122,13 @@ def context_text(hits: DataFrame) -> DataFrame:
     return g.select("query_id", F.array_join(F.transform("x", lambda r: r.b), "\n\n").alias("context"))
 
 
+def scored_context(hits: DataFrame) -> DataFrame:
+    """Numbered blocks with source and score (two places); a query without hits has no row."""
+    block = F.format_string("[%d] 来源: %s (相关度: %.2f)\n%s\n", F.col("rank"), F.col("source_file"), F.col("score"), F.col("chunk_text"))
+    g = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))
+    return g.select("query_id", F.array_join(F.transform("x", lambda r: r.b), "\n---\n").alias("context"))
+
+
 def budget_context(hits: DataFrame, budget: int, cut: int = 300, most: int = 3) -> DataFrame:
     """A query's first hits, cut, up to the first that would pass the budget of characters."""
     h = hits.filter(F.col("rank") <= most).withColumn("n", F.least(F.length("chunk_text"), F.lit(cut)))

@@ -22,6 +22,13 @@ def postings(chunks: DataFrame) -> DataFrame:
     return t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
+def postings_with_positions(chunks: DataFrame) -> DataFrame:
+    """Postings with the places (from 0, among a chunk's terms) of each term."""
+    t = chunks.select("chunk_id", F.posexplode(terms(F.col("chunk_text"))).alias("place", "term"))
+    g = t.groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list("place")).alias("positions"))
+    return g.withColumn("tf", F.size("positions").cast("long"))
+
+
 def query_terms(queries: DataFrame, most: int = 30) -> DataFrame:
     return queries.select("query_id", F.explode(F.slice(F.array_distinct(terms(F.col("query"))), 1, most)).alias("term"))
 

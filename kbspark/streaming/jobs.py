@@ -96,3 +96,33 @@ def rate_limit_stream(requests: DataFrame, capacity: float = 30.0, rate: float =
 
     r = requests.select("key", "request_id", F.col("n").cast("double").alias("n"), "ts", (F.unix_micros("ts") / 1e6).alias("at"))
     return r.groupBy("key").applyInPandasWithState(run, "request_id long, allowed boolean, retry_after double", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cache_stream(events: DataFrame) -> DataFrame:
+    """Stream (key, ts, query_id, answer, ttl seconds) with a watermark on ts -> query_id, answer of the lookups (query_id is set): `folds.cache_lookup`
+    with a key's latest entry kept as its state.
+
+    Within a batch events go by time, entries before lookups of one time; of entries at one time the greatest answer counts. An entry
+    is forgotten once the watermark has passed its end, so that lookups that come late may miss it. Null keys find nothing."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        entry = state.get if state.exists else None
+        rows = pd.concat(batches)
+        rows = rows.assign(asks=rows.query_id.notna()).sort_values(["at", "asks", "answer"])
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.asks:
+                fresh = not pd.isna(key[0]) and entry is not None and entry[1] <= r.at < entry[1] + entry[2]
+                out.append((int(r.query_id), entry[0] if fresh else None))
+            elif entry is None or (r.at, r.answer) >= (entry[1], entry[0]):
+                entry = (r.answer, float(r.at), float(r.ttl))
+        if entry is not None:
+            state.update(entry)
+            state.setTimeoutTimestamp(max(int(1000 * (entry[1] + entry[2])) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["query_id", "answer"])
+
+    e = events.select("key", "query_id", "answer", F.col("ttl").cast("double").alias("ttl"), "ts", (F.unix_micros("ts") / 1e6).alias("at"))
+    return e.groupBy("key").applyInPandasWithState(run, "query_id long, answer string", "answer string, at double, ttl double", "append", GroupStateTimeout.EventTimeTimeout)
