@@ -219,6 +219,14 @@ def with_all_pairs(rows: DataFrame, block: int) -> DataFrame:
     return large.filter("small > 0").select(*names).unionByName(inner.select(*names)).unionByName(outer.select(*names))
 
 
+def with_text(rows: DataFrame, *others: DataFrame) -> DataFrame:
+    """rows (key, t and what hangs on t) joined with `others` on t: once for a text, not for each of its buckets, of which it has at most one a band."""
+    by_text = rows.groupBy(*[c for c in rows.columns if c != "key"]).agg(F.collect_list("key").alias("buckets"))
+    for other in others:
+        by_text = by_text.join(other, "t")
+    return by_text.withColumn("key", F.explode("buckets")).drop("buckets")
+
+
 def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows: int = 6, block: int = 1024, centres: int = 16) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id (smallest doc_id of the class), class_size (rows). One row for each row of docs.
 
@@ -236,7 +244,7 @@ def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows:
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     member = materialize(keyed.join(shared, "key", "left_semi"), "members")
 
-    with_sig = member.join(texts.select("t", "sig"), "t").withColumn("class", F.col("t"))
+    with_sig = with_text(member, texts.select("t", "sig")).withColumn("class", F.col("t"))
     edges = materialize(edges_within(with_centres(with_sig, block, centres), level, False, registers), "pairs")
     sets = candidate_shingles(docs, texts, member.select("t").distinct())
     sets = materialize(sets, "shingles")
@@ -252,7 +260,7 @@ def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows:
     hot = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2")).filter((F.col("n") > block) & (F.col("c1") != F.col("c2"))).select("key")
     open_keys = materialize(rejected.unionByName(hot).distinct(), "open")
     if not open_keys.isEmpty():
-        again = classes.join(open_keys, "key", "left_semi").join(texts.select("t", "sig"), "t").join(sets, "t")
+        again = with_text(classes.join(open_keys, "key", "left_semi"), texts.select("t", "sig"), sets)
         more = materialize(edges_within(with_all_pairs(again, block), level, True, registers), "more_links")
         if not more.isEmpty():
             found = connected_components(good.union(more))
