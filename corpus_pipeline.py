@@ -1,11 +1,14 @@
 """Corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Null texts are empty texts
-to every stage, rows with a null doc_id go through like others, and an empty table stays empty.
+to every stage, rows with a null doc_id or a doc_id of several rows go through like others, columns of any name stay as they are, and an
+empty table stays empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +16,37 @@ from kbspark.llm import decontaminate, line_dedup, near_dup, packing, toxicity
 from kbspark.llm.common import materialize, table
 
 
+def beside(docs: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f over docs whose columns other than doc_id and text are named out of the way of the columns that f adds; theirs come back after it."""
+    away = {c: f"__docs_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = f(docs.withColumnsRenamed(away))
+    return out.select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain calls toxic go. Where no label is usable the chain knows nothing and all documents stay."""
     chain = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).filter(F.col("p_toxic") < 0.5).select(*docs.columns)
+    return beside(docs, lambda d: toxicity.score(d, chain).filter(F.col("p_toxic") < 0.5))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of lines go, with n_chars as it is then. A document that lost lines and has only white space left goes too."""
-    found = line_dedup.dedup_lines(docs)
-    left = found.filter((F.col("n_dropped") <= 0) | (F.length(F.trim("kept")) > 0))
-    changed = F.col("n_dropped") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return left.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(*docs.columns)
+    n_chars = f"__docs_{docs.columns.index('n_chars')}" if "n_chars" in docs.columns else None
+
+    def shorten(d: DataFrame) -> DataFrame:
+        found = line_dedup.dedup_lines(d)
+        changed = F.col("n_dropped") > 0
+        left = found.filter(~changed | line_dedup.counts(F.col("kept")))
+        new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+        if n_chars:
+            new[n_chars] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col(n_chars))
+        return left.withColumns(new)
+
+    return beside(docs, shorten)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that with the least doc_id."""
+    """One document of each class of near duplicates stays, the first by doc_id; see keep_one."""
     return near_dup.keep_one(docs)
 
 

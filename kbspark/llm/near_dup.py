@@ -102,7 +102,7 @@ def similarity(a: tuple, b: tuple) -> float:
 
 
 def signatures(docs: DataFrame, registers: int) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, x, y (128 bits of the word sequence; null for a text without words), sig (binary)."""
+    """docs (doc_id, text) -> doc_id, h (64 bits of the text), x, y (128 bits of the word sequence; null for a text without words), sig (binary)."""
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
@@ -112,15 +112,15 @@ def signatures(docs: DataFrame, registers: int) -> DataFrame:
                 while to < len(words) and (to == at or n + len(words[to]) <= 200_000):
                     n, to = n + len(words[to]), to + 1
                 sig = prob_minhash(*shingles(words[at:to]), to - at, registers)
-                out = page.iloc[at:to][["doc_id", "x", "y"]].copy()
+                out = page.iloc[at:to][["doc_id", "h", "x", "y"]].copy()
                 out["sig"] = [s.tobytes() if len(w) else None for s, w in zip(sig, words[at:to], strict=True)]
                 yield out
                 at = to
 
-    w = docs.select("doc_id", F.transform(folded_words(text_or_empty()), lambda x: F.xxhash64(x)).alias("w"))
+    w = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("h"), F.transform(folded_words(text_or_empty()), lambda x: F.xxhash64(x)).alias("w"))
     some = F.size("w") > 0
-    d = w.select("doc_id", F.when(some, F.xxhash64("w")).alias("x"), F.when(some, F.xxhash64(F.lit(1), F.reverse("w"))).alias("y"), "w")
-    return materialize(d.mapInPandas(run, "doc_id long, x long, y long, sig binary"), "signatures")
+    d = w.select("doc_id", "h", F.when(some, F.xxhash64("w")).alias("x"), F.when(some, F.xxhash64(F.lit(1), F.reverse("w"))).alias("y"), "w")
+    return materialize(d.mapInPandas(run, "doc_id long, h long, x long, y long, sig binary"), "signatures")
 
 
 def forest(level: float, exact: bool, registers: int):
@@ -227,16 +227,27 @@ def with_text(rows: DataFrame, *others: DataFrame) -> DataFrame:
     return by_text.withColumn("key", F.explode("buckets")).drop("buckets")
 
 
+def identity_columns() -> list[Column]:
+    return [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("h")]
+
+
+def identity() -> Column:
+    """What tells a row from others, in the order in which rows of a class are kept: null ids last, rows of one id by their text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), "h")
+
+
 def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows: int = 6, block: int = 1024, centres: int = 16) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, class_id (smallest doc_id of the class), class_size (rows). One row for each row of docs.
+    """docs (doc_id, text) -> doc_id, h (hash of the text), class_id (smallest doc_id of the class), class_size (rows), first (whether the row,
+    by doc_id and text, is the first of its class). One row for each row of docs.
 
     Classes are the connected components of similarity of at least `level`. A text without words (null, empty) is alike to nothing, and
     class_id is its own doc_id. A row with a null doc_id keeps it, and takes part as if its id were the largest; its class_id is null
-    when no row of its class has an id. Repeated rows are equal texts of one class. Other columns are ignored, whatever their names; an
+    when no row of its class has an id. Repeated rows are equal texts of one class, and all of them are first if one is; rows of one
+    doc_id and other texts are rows of their own. Other columns are ignored, whatever their names; an
     empty table gives no rows. Texts count whole, however long."""
     registers = bands * rows
     s = signatures(docs, registers)
-    texts = s.filter("sig is not null").groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    texts = s.filter("sig is not null").groupBy("x", "y").agg(F.min(identity()).alias("least"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     texts = materialize(texts.select(F.monotonically_increasing_id().alias("t"), "*"), "texts")  # t names a text from here on
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * rows + 1, F.lit(2 * rows))))
@@ -266,11 +277,12 @@ def near_duplicates(docs: DataFrame, level: float = 0.8, bands: int = 32, rows:
             found = connected_components(good.union(more))
 
     named = texts.join(found, F.col("t") == F.col("node"), "left").withColumn("c", F.coalesce("component", "t"))
-    groups = named.groupBy("c").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    groups = named.groupBy("c").agg(F.min("least").alias("least"), F.sum("copies").alias("class_size"))
     named = named.select("x", "y", "c").join(groups, "c").drop("c")
-    out = s.select("doc_id", "x", "y").join(named, ["x", "y"], "left")
+    out = s.select("doc_id", "h", "x", "y").join(named, ["x", "y"], "left")
     lone = F.col("x").isNull()
-    return out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    class_id = F.when(lone, F.col("doc_id")).otherwise(F.col("least.id")).alias("class_id")
+    return out.select("doc_id", "h", class_id, F.coalesce("class_size", F.lit(1)).alias("class_size"), (lone | F.col("least").eqNullSafe(identity())).alias("first"))
 
 
 def candidate_shingles(docs: DataFrame, texts: DataFrame, wanted: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
@@ -283,14 +295,13 @@ def candidate_shingles(docs: DataFrame, texts: DataFrame, wanted: DataFrame, max
             by_key = [(k[(o := np.argsort(k.view(np.int64)))].view(np.int64).tobytes(), w[o].astype(np.int32).tobytes()) for k, w in zip(np.split(key, cut), np.split(weight, cut), strict=True)]
             yield pd.DataFrame({"t": page["t"].to_numpy(), "keys": [k for k, _ in by_key], "weights": [w for _, w in by_key]})
 
-    # One row stands for all equal texts: the one that has the least id among them. Words are made after the join.
-    pick = materialize(texts.join(wanted, "t", "left_semi").select(F.col("t").alias("pick"), "least", F.col("x").alias("px"), F.col("y").alias("py")), "wanted")
+    # One row stands for all equal texts: the first of them. Words are made after the join.
+    pick = materialize(texts.join(wanted, "t", "left_semi").select(F.col("t").alias("pick"), F.coalesce("least.id", F.lit(0)).alias("pid"), F.col("least.no_id").alias("pno"), F.col("least.h").alias("ph")), "wanted")
     if pick.count() <= max_broadcast:
         pick = F.broadcast(pick)
-    d = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
-    d = d.join(pick, d.id.eqNullSafe(pick.least)).select("pick", "px", "py", F.transform(folded_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    same = (F.col("px") == F.xxhash64("w")) & (F.col("py") == F.xxhash64(F.lit(1), F.reverse("w")))
-    one = d.filter(same).select(F.col("pick").alias("t"), "w").dropDuplicates(["t"])
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
+    d = d.join(pick, (d.h == pick.ph) & (d.id == pick.pid) & (d.no_id == pick.pno))
+    one = d.select(F.col("pick").alias("t"), F.transform(folded_words(F.col("text")), lambda x: F.xxhash64(x)).alias("w")).dropDuplicates(["t"])
     return one.mapInPandas(run, "t long, keys binary, weights binary")
 
 
@@ -308,16 +319,20 @@ def verified(pairs: DataFrame, sets: DataFrame, level: float) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, without those whose class has an earlier row: one row of each class stays, that with the
-    least doc_id (of equal ids and of null ids one)."""
+    """The rows of docs, with all their columns, without those whose class has an earlier row. Rows go by doc_id and text: of each class the
+    first row stays, by doc_id (null ids last), then by a hash of the text; of rows that repeat with both, one, any. Rows without words stay."""
     r = near_duplicates(docs.select("doc_id", "text"), **options)
-    gone = r.filter(F.col("class_size") > 1).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
-    twice = r.filter(F.col("class_size") > 1).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice"))
-    more = left.join(twice, left.doc_id.eqNullSafe(twice.twice), "left_semi")
-    return left.join(twice, left.doc_id.eqNullSafe(twice.twice), "left_anti").unionByName(more.dropDuplicates(["doc_id"]))
+    key = r.select(*identity_columns(), "class_size", "first").filter("class_size > 1")
+    key = key.groupBy("no_id", "id", "h").agg(F.bool_or("first").alias("first"), F.count("*").alias("n")).filter("not first or n > 1")
+    key = materialize(key, "classes")
+    same = lambda x, y: (x.doc_id.isNull() == y.no_id) & (F.coalesce(x.doc_id.cast("long"), F.lit(0)) == y.id) & (F.xxhash64(F.coalesce(x.text, F.lit(""))) == y.h)
+    left = docs.join(key, same(docs, key), "left_anti")
+    twice = key.filter("first and n > 1")
+    if twice.isEmpty():
+        return left
+    again = materialize(docs.join(twice, same(docs, twice), "left_semi"), "repeated")
+    return left.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
-
+    return found.select("doc_id", "class_id", "class_size", F.col("first").alias("kept"))

@@ -475,3 +475,59 @@ def test_fit_reaches_the_minimum():
     g[:-1] += 1e-4 * w[:-1]
     assert np.abs(g).max() < 1e-3
     assert np.all(toxicity.fit(words, dense, np.zeros(500), n)[:-1] == 0)
+
+
+def alike_by_words(a: str, b: str) -> bool:
+    """Jaccard of at least 0.8 over five words (texts here repeat no shingle)."""
+    sets = [{tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split())]
+    return bool(sets[0] and sets[1]) and len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Null ids, repeated ids and repeated rows, copies and near copies, against every pair of rows; columns that are named as ours."""
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(8)]
+    rows = [(1, base[0]), (None, base[0]), (None, base[1]), (2, base[0]), (2, base[2]), (3, base[3]), (3, base[3]), (3, base[3] + " end"), (None, base[4]), (None, base[4]), (4, None), (4, ""), (None, None), (5, base[5].upper()), (None, base[5])]
+    rows += [(n, base[6] + f" tail{n}") for n in (9, 8, 7)] + [(7, base[7])]
+    name = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike_by_words(rows[i][1] or "", rows[j][1] or ""):
+                name = [min(name[i], name[j]) if n in (name[i], name[j]) else n for n in name]
+    classes: dict = {}
+    for i, n in enumerate(name):
+        classes.setdefault(n, []).append(rows[i])
+    docs = spark.createDataFrame([(*r, i, "x", 0.9) for i, r in enumerate(rows)], "doc_id long, text string, h int, class_id string, first double")
+    left = [(r.doc_id, r.text) for r in near_dup.keep_one(docs).collect()]
+    assert len(left) == len(classes)
+    for c in classes.values():  # the least id of the class, or null where no row has one
+        ids = [i for i, _ in c if i is not None]
+        assert [i for i, t in left if (i, t) in c] == [min(ids) if ids else None], c
+    assert near_dup.keep_one(docs).columns == docs.columns
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Every filtering stage on null and repeated ids, empty and blank texts, ties, and columns that are named as the operators' own; against
+    a plain version of the stages."""
+    clean = ["The first text of some words that nobody wrote before it came here", "A second text, unlike the others, about boats and harbours in the north"]
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, clean[0]), (None, clean[0]), (None, clean[1]), (1, "Les.\nown line of the first"), (2, "Les.\n\n"), (3, None), (None, ""), (4, "some words before it " + item + " after"), (None, item), (5, " \t\n")]
+    rows = [(i, t, len(t or ""), "mine", 0.9, "n", 7, "h") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kept string, p_toxic double, n_lines string, n_dropped int, hit string")
+    spark.createDataFrame([(1, item), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = docs
+    want = {"toxicity": rows}
+    # Later copies of lines go: ids in order, null ids last; the row that lost all but blanks goes.
+    texts = [(1, clean[0]), (None, clean[1]), (1, "Les.\nown line of the first"), (3, None), (None, ""), (4, "some words before it " + item + " after"), (None, item), (5, " \t\n")]
+    want["line_dedup"] = texts
+    want["near_dedup"] = want["line_dedup"]
+    want["decontamination"] = [t for t in texts if item not in (t[1] or "")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = spark.createDataFrame(stage(spark, left, str(tmp_path)).collect(), docs.schema)
+        got = left.collect()
+        assert left.columns == docs.columns and all((r.kept, r.p_toxic, r.n_lines, r.n_dropped, r.hit) == ("mine", 0.9, "n", 7, "h") for r in got)
+        show = lambda x: sorted((str(t[0]), str(t[1])) for t in x)
+        assert show([(r.doc_id, r.text) for r in got]) == show(want[name]), name
+        assert all(r.n_chars == len(r.text or "") for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).count() >= len(want["decontamination"])
