@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, decontaminate, html_text, language_id, line_dedup, near_dup, nearest, packing, secrets, toxicity
+from kbspark.llm import chat, decontaminate, divergence, filter_audit, html_text, language_id, line_dedup, mixing, near_dup, nearest, packing, secrets, toxicity
 from kbspark.llm.common import table
 
 
@@ -56,5 +56,17 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_html_text, op4_nearest, op5_decontaminate, op6_line_dedup, op7_language_id, op8_chat_format, op9_toxicity, op10_pack)}
-ORACLES: dict[str, str] = {"op4_nearest": nearest.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_html_text, op4_nearest, op5_decontaminate, op6_line_dedup, op7_language_id, op8_chat_format, op9_toxicity, op10_pack, op11_filter_audit, op12_source_mix, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op4_nearest": nearest.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_source_divergence": divergence.ORACLE}
