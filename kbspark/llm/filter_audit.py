@@ -127,8 +127,8 @@ c as (select part, b.A fa, b.B fb, b.C fc, b.D fd, b.E fe, count(*) n, sum(g) g,
 letters as (select * from (values ('A'), ('B'), ('C'), ('D'), ('E')) v(l)),
 o as (select a.l || b.l || c.l || d.l || e.l filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
 s as (select filter_order, step::int step, filter_order[step] l from o, range(1, 6) r(step)),
-m as (select part, filter_order, step, n, g, x, l, list_contains(fails, l) own, len(list_filter(fails, y -> strpos(filter_order, y) < step)) > 0 earlier, len(fails) = 1 only_one
-   from s, (select *, list_filter(['A', 'B', 'C', 'D', 'E'], y -> case y when 'A' then fa when 'B' then fb when 'C' then fc when 'D' then fd else fe end) fails from c)),
+m as (select part, filter_order, step, n, g, x, l, list_contains(fails, l) own, len([y for y in fails if strpos(filter_order, y) < step]) > 0 earlier, len(fails) = 1 only_one
+   from s, (select *, [y for y in ['A', 'B', 'C', 'D', 'E'] if case y when 'A' then fa when 'B' then fb when 'C' then fc when 'D' then fd else fe end] fails from c)),
 a as (select part, filter_order, step, l, coalesce(sum(n) filter (not own and not earlier), 0)::bigint kept, coalesce(sum(n) filter (own and not earlier), 0)::bigint removed, coalesce(sum(n) filter (own and earlier), 0)::bigint redundant,
    coalesce(sum(n) filter (own and only_one), 0)::bigint unique_fails, coalesce(sum(g) filter (own and not earlier), 0)::bigint good_lost, coalesce(sum(x) filter (own and not earlier), 0)::bigint toxic_lost from m group by 1, 2, 3, 4)
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, l))::bigint shapley from a
