@@ -55,13 +55,3 @@ def index_gaps(c: DataFrame) -> DataFrame:
     """Missing indices: (doc_id, after, before) where two chunks that follow aren't neighbours."""
     nxt = F.lead("chunk_index").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("after"), nxt.cast("long").alias("before")).filter("before - after > 1")
-
-
-def prefix_overlap(c: DataFrame, prefix: int = 80, least: int = 100) -> DataFrame:
-    """Pairs (a, b) of chunks of different documents where the first `prefix` characters of b (of `least` characters or more) stand in a.
-    Every window of a meets the prefixes by hash, and the texts are then compared."""
-    texts = c.select("chunk_id", "doc_id", "chunk_text")
-    b = texts.filter(length() >= least).select(F.col("chunk_id").alias("b"), F.col("doc_id").alias("b_doc"), F.substring("chunk_text", 1, prefix).alias("head")).withColumn("h", F.xxhash64("head"))
-    a = texts.filter(length() >= prefix).select(F.col("chunk_id").alias("a"), F.col("doc_id").alias("a_doc"), "chunk_text")
-    a = a.withColumn("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), length() - prefix + 1), lambda i: F.xxhash64(F.substring(F.col("chunk_text"), i, F.lit(prefix)))))))
-    return a.join(b, "h").filter("a_doc <> b_doc and contains(chunk_text, head)").select("a", "b").distinct()

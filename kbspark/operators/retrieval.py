@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +36,8 @@ def query_terms(queries: DataFrame, most: int = 30) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int | str = 30, k1: float = 1.2, b: float = 0.75, most_terms: int = 200_000) -> DataFrame:
-    """BM25 over the chunks that match any term. k is a number, or a column of queries. Lengths are worked out within each row, and words
-    that no query asks for go before anything is grouped (the terms are broadcast while they are few)."""
+    """BM25 over the chunks that match any term, without an index: one pass over the texts. k is a number, or a column of queries. For more
+    than one search over the same chunks see keyword_index."""
     w = chunks.select("chunk_id", terms(F.col("chunk_text")).alias("w")).withColumn("l", F.size("w")).filter("l > 0")
     stats = w.agg(F.count("*").alias("n"), F.avg("l").alias("mean"))
     wanted = query_terms(queries)
@@ -107,7 +109,7 @@ def merge_adjacent(hits: DataFrame) -> DataFrame:
     """Runs of neighbouring chunks of one document as one hit: joined text, mean score, first id."""
     w = Window.partitionBy("query_id", "doc_id").orderBy("chunk_index")
     runs = hits.withColumn("run", F.col("chunk_index") - F.row_number().over(w))
-    g = runs.groupBy("query_id", "doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "chunk_text"))).alias("x"), F.round(F.avg("score"), 6).alias("score"))
+    g = runs.groupBy("query_id", "doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "chunk_text"))).alias("x"), F.round(F.avg("score"), 9).alias("score"))
     return g.select("query_id", "doc_id", F.col("x")[0]["chunk_id"].alias("chunk_id"), F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda c: c.chunk_text), "\n").alias("content"), "score")
 
 
@@ -129,11 +131,12 @@ def temporal(hits: DataFrame, as_of: str, keep: str = "exclude") -> DataFrame:
     return h if keep == "include" else h.filter(F.col("is_expired") == (keep == "only"))
 
 
-def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Both lists of 3 * top_k hits a query, fused to 2 * top_k. A query without terms and without a vector has no hits."""
+def hybrid_search(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, keyword: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Both lists of 3 * top_k hits a query, fused to 2 * top_k. keyword(queries, k) searches by terms, k being a column of queries. A query
+    without terms and without a vector has no hits."""
     q = queries.withColumns({"k3": 3 * F.col("top_k"), "k2": 2 * F.col("top_k")})
     dense = dense_search(query_vectors.join(q.select("query_id", "k3"), "query_id"), vectors, "k3")
-    fused = rrf([dense, keyword_search(q, chunks, "k3")], final=2**31 - 1)
+    fused = rrf([dense, keyword(q, "k3")], final=2**31 - 1)
     return fused.join(q.select("query_id", "k2"), "query_id").filter("rank <= k2").drop("k2")
 
 

@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from kbspark.functions import text as tx
 from kbspark.operators import governance as g
-from kbspark.operators import retrieval
+from kbspark.operators import keyword_index, retrieval
 from kbspark.plans.oracle_views import VIEWS
-from kbspark.plans.queries import KW, active, hits, query
+from kbspark.plans.queries import KW, active, found, hits, index_of, query
 from kbspark.sources import tables as t
 from kbspark.sources.fixtures import view
 
@@ -17,11 +17,11 @@ ORDER = "(partition by doc_id order by chunk_index)"
 
 # Blocks and chunks
 
-ROWS = "(select doc_id, [string_split(l, ' ') for l in string_split(left(text, 400), chr(10))] r from documents where text is not null)"
+ROWS = "(select doc_id, [string_split(l, ' ') for l in string_split(text, chr(10))] r from documents where text is not null)"
 
 
 def cells(s, d):
-    return t.read_table(s, d, "documents").filter("text is not null").select("doc_id", F.transform(F.split(F.left("text", F.lit(400)), "\n", -1), lambda x: F.split(x, " ", -1)).alias("r"))
+    return t.read_table(s, d, "documents").filter("text is not null").select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.split(x, " ", -1)).alias("r"))
 
 
 query("blk3_tables", "", f"select doc_id, greatest(len(r) - 1, 0) || ' x ' || len(r[1]) || ': ' || array_to_string(r[1][1:6], ', ') description, '<table>' || array_to_string(['<tr>' || array_to_string([case when i = 1 then '<th>' || c || '</th>' else '<td>' || c || '</td>' end for c in r[i]], '') || '</tr>' for i in range(1, len(r) + 1)], '') || '</table>' html from {ROWS}")(lambda s, d: cells(s, d).select("doc_id", g.table_description(F.col("r")).alias("description"), g.table_html(F.col("r")).alias("html")))
@@ -93,12 +93,12 @@ query("evl4_parse_judge", "", "select id, " + ", ".join(f"coalesce(least(greates
 
 query("gov11_sibling_kbs", "kbs_v", "select a.kb_id, b.kb_id sibling from kbs_v a join kbs_v b using (space_id) where b.deleted_at is null and a.kb_id <> b.kb_id")(lambda s, d: g.sibling_kbs(view(s, d, "kbs_v")))
 
-TOPICS = "(select source kb_id, unnest(string_split(left(text, 80), ' ')) topic from documents where text is not null and source is not null)"
+TOPICS = "(select source kb_id, unnest(string_split(text, ' ')) topic from documents where text is not null and source is not null)"
 SUMMARY = f"(select kb_id, count(*) n_topics, string_agg(topic, '、' order by r) filter (r <= 6) summary from (select *, row_number() over (partition by kb_id order by n desc, topic) r from (select kb_id, topic, count(*) n from {TOPICS} where topic <> '' group by 1, 2)) group by 1)"
 
 
 def topics(s, d):
-    return t.read_table(s, d, "documents").filter("text is not null and source is not null").select(F.col("source").alias("kb_id"), F.explode(F.split(F.left("text", F.lit(80)), " ", -1)).alias("topic")).filter("topic <> ''")
+    return t.read_table(s, d, "documents").filter("text is not null and source is not null").select(F.col("source").alias("kb_id"), F.explode(F.split("text", " ", -1)).alias("topic")).filter("topic <> ''")
 
 
 query("gov12_kb_topics", "", f"select * from {SUMMARY}")(lambda s, d: g.kb_topics(topics(s, d)))
@@ -148,7 +148,7 @@ def conversations_of(s, d):
 
 def ranked(s, d):
     c = active(s, d)
-    return retrieval.keyword_search(t.questions(s, d), c).join(c, "chunk_id")
+    return found(s, d).join(c, "chunk_id")
 
 
 # Later steps of retrieval
@@ -157,11 +157,11 @@ RRF = "select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) score
 PLACE = "row_number() over (partition by query_id order by score desc, chunk_id)"
 query("fus1_rrf", KW + "vectors_v qvec_v dense_v lists_v", f"select * from (select *, {PLACE}::int rank from ({RRF.format('lists_v')})) where rank <= 10")(lambda s, d: retrieval.rrf(both(s, d), final=10))
 VIEWS["wide_v"] = VIEWS["dense_v"].replace("dense_v as", "dense_wide_v as").replace("rank <= 30)", "rank <= 42)") + ",\n  bm25_wide_v as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from scored_v))"
-query("fus2_hybrid_top_k", KW + "vectors_v qvec_v wide_v", f"select x.* from (select *, {PLACE}::int rank from ({RRF.format('(select query_id, chunk_id, rank from dense_wide_v join questions_v using (query_id) where rank <= 3 * top_k union all select query_id, chunk_id, rank from bm25_wide_v join questions_v using (query_id) where rank <= 3 * top_k)')})) x join questions_v using (query_id) where x.rank <= 2 * top_k")(lambda s, d: retrieval.hybrid_search(t.questions(s, d), t.question_vectors(s, d), active(s, d), t.chunk_vectors(s, d)))
+query("fus2_hybrid_top_k", KW + "vectors_v qvec_v wide_v", f"select x.* from (select *, {PLACE}::int rank from ({RRF.format('(select query_id, chunk_id, rank from dense_wide_v join questions_v using (query_id) where rank <= 3 * top_k union all select query_id, chunk_id, rank from bm25_wide_v join questions_v using (query_id) where rank <= 3 * top_k)')})) x join questions_v using (query_id) where x.rank <= 2 * top_k")(lambda s, d: retrieval.hybrid_search(t.questions(s, d), t.question_vectors(s, d), t.chunk_vectors(s, d), lambda q, k: keyword_index.search(q, index_of(s, d), k)))
 
 
 def both(s, d):
-    return [retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)), retrieval.keyword_search(t.questions(s, d), active(s, d))]
+    return [retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)), found(s, d)]
 
 
 def listed(s, d):
@@ -177,7 +177,7 @@ query("fus4_cap_total", LISTS, f"select query_id, chunk_id, place from {MERGED}
 
 ONE = f"(select * exclude (n) from (select *, row_number() over (partition by query_id, trim(left(chunk_text, 300), ' ') order by score desc, chunk_id) n from hits_v) where n = 1)"
 CAPPED = f"(select * exclude (n) from (select *, row_number() over (partition by query_id, doc_id order by score desc, chunk_id) n from {ONE}) where n <= 3)"
-RUNS = f"(select query_id, first(chunk_id order by chunk_index) chunk_id, round(avg(score), 6) score from (select *, chunk_index - row_number() over (partition by query_id, doc_id order by chunk_index) run from {CAPPED}) group by query_id, doc_id, run)"
+RUNS = f"(select query_id, first(chunk_id order by chunk_index) chunk_id, round(avg(score), 9) score from (select *, chunk_index - row_number() over (partition by query_id, doc_id order by chunk_index) run from {CAPPED}) group by query_id, doc_id, run)"
 ENOUGH = f"(select query_id from {RUNS} join questions_v using (query_id) group by query_id, top_k having count(*) >= 2 * top_k)"
 query("dup5_dedup_pipeline", KW + "hits_v", f"select query_id, chunk_id, score from {RUNS} where query_id in {ENOUGH} union all select query_id, chunk_id, score from {ONE} where query_id not in {ENOUGH}")(lambda s, d: retrieval.dedup_pipeline(hits(s, d), t.questions(s, d)))
 
@@ -208,7 +208,7 @@ def chained(s, d):
 
 KNOWN = "(select query_id, coalesce(max(score) > 14, false) known from questions_v left join bm25_v using (query_id) group by 1)"
 query("qlt3_critic_action", KW, f"select query_id, case when m is null and not known then 'not_in_kb' when m is null then 'ask_user' when m >= 13 then 'pass' when not known then 'not_in_kb' else 'ask_user' end \"action\" from questions_v join {KNOWN} using (query_id) left join (select query_id, avg(score) m from bm25_v where rank <= 3 group by 1) using (query_id)")(
-    lambda s, d: (lambda h: retrieval.critic_action(t.questions(s, d), h, h.groupBy("query_id").agg((F.max("score") > 14).alias("known")), 13.0))(retrieval.keyword_search(t.questions(s, d), active(s, d)))
+    lambda s, d: (lambda h: retrieval.critic_action(t.questions(s, d), h, h.groupBy("query_id").agg((F.max("score") > 14).alias("known")), 13.0))(found(s, d))
 )
 
 # Snapshots

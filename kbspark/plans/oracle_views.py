@@ -9,8 +9,8 @@ VIEWS = {
   case when doc_id % 10 = 0 then 'soft_deleted' else 'active' end status, (date '2024-01-01' + (doc_id % 365)::int) effective_date,
   case when doc_id % 3 = 0 then date '2024-01-01' + (doc_id % 365)::int + 180 end expiry_date, 'v' || (doc_id % 4) "version"
   from (select *, row_number() over (partition by doc_id order by p) i from (select doc_id, source, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) p from documents) where trim(x, ' ') <> ''))""",
-    "questions_v": """questions_v as (select item_id query_id, array_to_string(string_split_regex(text, '\\s+')[1:8], ' ') query, (5 + item_id % 10)::int top_k from benchmark)""",
-    "vectors_v": """vectors_v as (select chunk_id, doc_id, embedding from chunks_v join embeddings on vec_id = doc_id % 500 where chunk_index = 0)""",
+    "questions_v": """questions_v as (select item_id query_id, text query, (5 + item_id % 10)::int top_k from benchmark)""",
+    "vectors_v": """vectors_v as (select chunk_id, doc_id, embedding from chunks_v join embeddings on vec_id = (doc_id + 7 * chunk_index) % (select count(*) from embeddings))""",
     "qvec_v": """qvec_v as (select query_id, embedding from questions_v join embeddings on vec_id = query_id)""",
     "users_v": """users_v as (select c_custkey user_id, c_name username, c_custkey % 50 = 0 is_global_admin from customer)""",
     "groups_v": """groups_v as (select 'r' || r_regionkey group_id, null::varchar parent_group_id, r_name "name", false is_system_admin from region
@@ -22,7 +22,7 @@ VIEWS = {
     "closure_v": """closure_v as (select group_id, group_id ancestor from groups_v union select c.group_id, g.parent_group_id from closure_v c join groups_v g on c.ancestor = g.group_id where g.parent_group_id is not null)""",
     "effective_v": """effective_v as (select distinct user_id, ancestor group_id from members_v join closure_v using (group_id))""",
     "postings_v": """postings_v as (select chunk_id, doc_id, term, count(*) tf from (select chunk_id, doc_id, unnest(regexp_extract_all(lower(chunk_text), '[\\x{4e00}-\\x{9fff}]|[\\p{L}\\p{N}]+')) term from chunks_v where status = 'active') group by all)""",
-    "terms_v": """terms_v as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[\\x{4e00}-\\x{9fff}]|[\\p{L}\\p{N}]+')) term from questions_v)""",
+    "terms_v": """terms_v as (select query_id, term from (select query_id, term, row_number() over (partition by query_id order by min(p)) r from (select query_id, unnest(l) term, generate_subscripts(l, 1) p from (select query_id, regexp_extract_all(lower(query), '[\\x{4e00}-\\x{9fff}]|[\\p{L}\\p{N}]+') l from questions_v)) group by 1, 2) where r <= 30)""",
     "bm25_v": """stat_v as (select count(*) n, avg(l) a from (select chunk_id, sum(tf) l from postings_v group by 1)), len_v as (select chunk_id, sum(tf) l from postings_v group by 1), df_v as (select term, count(*) df from postings_v group by 1),
   scored_v as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) score from terms_v join postings_v using (term) join df_v using (term) join len_v using (chunk_id), stat_v group by 1, 2),
   bm25_v as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from scored_v) where rank <= 30)""",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as tx
-from kbspark.operators import audit, chunking, permissions, retrieval, usage
+from kbspark.operators import audit, chunking, keyword_index, near_pairs, permissions, retrieval, usage
 from kbspark.plans.oracle_views import duck
 from kbspark.sources import tables as t
 
@@ -31,8 +32,25 @@ def query(name: str, views: str = "", body: str | None = None, dates: tuple[str,
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits with the columns of their chunks."""
-    c = active(spark, sf_dir)
-    return retrieval.keyword_search(t.questions(spark, sf_dir), c).drop("rank").join(c, "chunk_id")
+    return found(spark, sf_dir).drop("rank").join(active(spark, sf_dir), "chunk_id")
+
+
+#: Folders of keyword indexes that this application has built, by its id and the tables' folder.
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the keyword index of the active chunks. It is kept for the application; what is missing in it or gone is brought up to date."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        INDEXES[key] = f"{t.shared_folder(spark)}/keywords-{uuid.uuid4().hex}"
+    keyword_index.refresh(active(spark, sf_dir), INDEXES[key])
+    return INDEXES[key]
+
+
+def found(spark: SparkSession, sf_dir: str, k: int | str = 30) -> DataFrame:
+    """Keyword hits of the questions."""
+    return keyword_index.search(t.questions(spark, sf_dir), index_of(spark, sf_dir), k)
 
 
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +76,21 @@ query('aud8_fragment_transitions', 'chunks_v', """select doc_id, chunk_index fro
 
 query('aud9_exact_duplicates', 'chunks_v', """select sha256(chunk_text) hash, count(*) n, count(distinct doc_id) n_docs, min(chunk_id) first_chunk from chunks_v group by 1 having count(*) > 1""")(lambda s, d: audit.exact_duplicates(t.chunks(s, d)))
 
-query('aud11_prefix_overlap', 'chunks_v', """select distinct a.chunk_id a, b.chunk_id b from chunks_v a join (select *, left(chunk_text, 80) h from chunks_v where length(chunk_text) >= 100) b on a.doc_id <> b.doc_id and contains(a.chunk_text, b.h)""")(lambda s, d: audit.prefix_overlap(t.chunks(s, d)))
+GRAMS = "list_sort(list_distinct(flatten([[substring('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in list_distinct(regexp_extract_all(lower(chunk_text), '[\\p{L}\\p{N}]+'))])))"
+PREFIX = "ks[1:(n - ceil(0.6 * n) + 1)::int]"
+BITS = ", ".join(f"coalesce(bit_or(1::ubigint << (k % 64)::ubigint) filter (k % 256 // 64 = {i}), 0::ubigint) b{i}" for i in range(4))
+query('aud10_near_duplicates', 'chunks_v', f"""select * from (with f as (select s, doc_id d, min(chunk_index) i from (select doc_id, chunk_index, {GRAMS} s from chunks_v) where len(s) > 0 group by all),
+  c as (select s, len(s) n, row_number() over () id, list({{'d': d, 'i': i}} order by d)[1:2] o from f group by s), e as (select id, n, unnest(s) g from c), num as (select g, row_number() over (order by count(*), g) k from e group by g),
+  k as (select id, n, list_sort(list(k)) ks, {BITS} from e join num using (g) group by 1, 2), p as (select id, n, b0, b1, b2, b3, unnest({PREFIX}) k, generate_subscripts({PREFIX}, 1) pl from k),
+  m as (select distinct a.id a, b.id b from p a join p b on a.k = b.k and a.id < b.id and a.n >= 0.6 * b.n and b.n >= 0.6 * a.n and least(a.n - a.pl, b.n - b.pl) + 1 >= ceil(0.375 * (a.n + b.n))
+    and (a.n + b.n - bit_count(xor(a.b0, b.b0)) - bit_count(xor(a.b1, b.b1)) - bit_count(xor(a.b2, b.b2)) - bit_count(xor(a.b3, b.b3))) / 2 >= ceil(0.375 * (a.n + b.n))),
+  v as (select x.id x, y.id y, x.n + y.n u, len(list_intersect(x.ks, y.ks)) w from m join k x on x.id = a join k y on y.id = b),
+  two as (select w::double / (u - w) z, cx.o xo, cy.o yo from v join c cx on cx.id = x join c cy on cy.id = y where w > 0.6 * (u - w) union all select 1.0, o, o from c where len(o) = 2),
+  q as (select z, case when xo[1] <= yo[1] then xo else yo end lo, case when xo[1] <= yo[1] then yo else xo end hi from two),
+  r as (select z, case when lo[1].d <> hi[1].d or len(hi) = 2 then lo[1] when len(lo) = 2 then hi[1] end a, case when lo[1].d <> hi[1].d then hi[1] when len(hi) = 2 then hi[2] when len(lo) = 2 then lo[2] end b from q)
+  select a.d doc_a, a.i index_a, b.d doc_b, b.i index_b, round(z, 6) similarity, row_number() over (order by round(z, 6) desc, a.d, a.i, b.d, b.i)::int rank from r where a is not null order by rank limit 20)""")(lambda s, d: near_pairs.closest(t.chunks(s, d)))
+
+query('aud11_prefix_overlap', 'chunks_v', """select distinct a.chunk_id a, b.chunk_id b from chunks_v a join (select *, left(chunk_text, 80) h from chunks_v where length(chunk_text) >= 100) b on a.doc_id <> b.doc_id and contains(a.chunk_text, b.h)""")(lambda s, d: near_pairs.prefix_overlap(t.chunks(s, d)))
 
 query('aud12_index_gaps', 'chunks_v', """select * from (select doc_id, chunk_index "after", lead(chunk_index) over (partition by doc_id order by chunk_index) "before" from chunks_v where length(chunk_text) >= 50) where "before" - "after" > 1""")(lambda s, d: audit.index_gaps(t.chunks(s, d).filter("length(chunk_text) >= 50")))
 
@@ -82,25 +114,25 @@ query('kw3_postings', 'chunks_v postings_v', """select chunk_id, term, tf from p
 
 query('kw4_query_terms', 'questions_v terms_v', """select query_id, term from terms_v""")(lambda s, d: retrieval.query_terms(t.questions(s, d)))
 
-query('kw5_keyword_search', KW, """select query_id, chunk_id, score, rank from bm25_v""")(lambda s, d: retrieval.keyword_search(t.questions(s, d), active(s, d)))
+query('kw5_keyword_search', KW, """select query_id, chunk_id, score, rank from bm25_v""")(lambda s, d: found(s, d))
 
 query('vec2_dense_search', 'chunks_v questions_v vectors_v qvec_v dense_v', """select query_id, chunk_id, score, rank from dense_v""")(lambda s, d: retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)))
 
 query('vec1_cosine', 'chunks_v vectors_v', """select chunk_id, round(list_inner_product(e, list_reverse(e)) / sqrt(list_inner_product(e, e)) / sqrt(list_inner_product(e, e)), 6) c from (select chunk_id, [x::double for x in embedding] e from vectors_v)""")(lambda s, d: t.chunk_vectors(s, d).select("chunk_id", F.round(tx.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("c")))
 
-query('fus2_hybrid_search', KW + 'vectors_v qvec_v dense_v', """select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) score, count(*) n_lists from (select query_id, chunk_id, rank from dense_v union all select query_id, chunk_id, rank from bm25_v) group by 1, 2)) where rank <= 30""")(lambda s, d: retrieval.rrf([retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)), retrieval.keyword_search(t.questions(s, d), active(s, d))]))
+query('fus2_hybrid_search', KW + 'vectors_v qvec_v dense_v', """select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) score, count(*) n_lists from (select query_id, chunk_id, rank from dense_v union all select query_id, chunk_id, rank from bm25_v) group by 1, 2)) where rank <= 30""")(lambda s, d: retrieval.rrf([retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)), found(s, d)]))
 
 query('dup2_dedup_content', KW, f"""select query_id, chunk_id, score from (select *, row_number() over (partition by query_id, trim(left(chunk_text, 300), ' ') order by score desc, chunk_id) n from ({HITS})) where n = 1""")(lambda s, d: retrieval.dedup_content(hits(s, d)).select("query_id", "chunk_id", "score"))
 
 query('dup3_cap_per_doc', KW, f"""select query_id, chunk_id from (select *, row_number() over (partition by query_id, doc_id order by score desc, chunk_id) n from ({HITS})) where n <= 1""")(lambda s, d: retrieval.cap_per_doc(hits(s, d), 1).select("query_id", "chunk_id"))
 
-query('dup4_merge_adjacent', KW, f"""select query_id, doc_id, first(chunk_id order by chunk_index) chunk_id, count(*) n, string_agg(chunk_text, chr(10) order by chunk_index) content, round(avg(score), 6) score from (select *, chunk_index - row_number() over (partition by query_id, doc_id order by chunk_index) run from ({HITS})) group by query_id, doc_id, run""")(lambda s, d: retrieval.merge_adjacent(hits(s, d)))
+query('dup4_merge_adjacent', KW, f"""select query_id, doc_id, first(chunk_id order by chunk_index) chunk_id, count(*) n, string_agg(chunk_text, chr(10) order by chunk_index) content, round(avg(score), 9) score from (select *, chunk_index - row_number() over (partition by query_id, doc_id order by chunk_index) run from ({HITS})) group by query_id, doc_id, run""")(lambda s, d: retrieval.merge_adjacent(hits(s, d)))
 
 query('flt4_time_range', KW, f"""select query_id, chunk_id from ({HITS}) where coalesce(expiry_date >= date '2024-09-01', true)""")(lambda s, d: retrieval.temporal(hits(s, d), "2024-09-01").select("query_id", "chunk_id"))
 
 query('qlt1_quality_flags', KW, """select query_id, coalesce(n, 0) n, coalesce(b < 12, true) weak from questions_v left join (select query_id, max(score) b, count(*) n from bm25_v group by 1) using (query_id)""")(lambda s, d: retrieval.quality_flags(t.questions(s, d), hits(s, d), 12.0))
 
-query('qlt4_recall_stats', KW + 'vectors_v qvec_v dense_v', """select query_id, count(d) dense_hits, count(k) keyword_hits, count(coalesce(d, k)) merged, count(d + k) overlap from questions_v left join (select query_id, chunk_id, max(d) d, max(k) k from (select query_id, chunk_id, 1 d, null k from dense_v union all select query_id, chunk_id, null, 1 from bm25_v) group by 1, 2) using (query_id) group by 1""")(lambda s, d: retrieval.recall_stats(t.questions(s, d), retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)), retrieval.keyword_search(t.questions(s, d), active(s, d))))
+query('qlt4_recall_stats', KW + 'vectors_v qvec_v dense_v', """select query_id, count(d) dense_hits, count(k) keyword_hits, count(coalesce(d, k)) merged, count(d + k) overlap from questions_v left join (select query_id, chunk_id, max(d) d, max(k) k from (select query_id, chunk_id, 1 d, null k from dense_v union all select query_id, chunk_id, null, 1 from bm25_v) group by 1, 2) using (query_id) group by 1""")(lambda s, d: retrieval.recall_stats(t.questions(s, d), retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)), found(s, d)))
 
 query('acl1_effective_groups', 'groups_v members_v closure_v effective_v', """select * from effective_v""")(lambda s, d: permissions.effective_groups(t.members(s, d), permissions.group_closure(t.groups(s, d))))
 

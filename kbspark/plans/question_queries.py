@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import questions as fq
 from kbspark.functions import text as tx
 from kbspark.operators import retrieval
-from kbspark.plans.queries import KW, active, hits, query
+from kbspark.plans.queries import KW, active, found, hits, query
 from kbspark.sources import tables as t
 from kbspark.sources.fixtures import view
 
@@ -53,7 +53,7 @@ query("kw7_expand_aspects", "asked_v", f"select query_id, coalesce(array_to_stri
 )
 
 query("kw8_knowledge_exists", KW, "select query_id, coalesce(max(score) > 0.1, false) known from questions_v left join (select * from bm25_v where rank <= 10) using (query_id) group by 1")(
-    lambda s, d: t.questions(s, d).select("query_id").join(retrieval.keyword_search(t.questions(s, d), active(s, d), 10), "query_id", "left").groupBy("query_id").agg(F.coalesce(F.max("score") > 0.1, F.lit(False)).alias("known"))
+    lambda s, d: t.questions(s, d).select("query_id").join(found(s, d, 10), "query_id", "left").groupBy("query_id").agg(F.coalesce(F.max("score") > 0.1, F.lit(False)).alias("known"))
 )
 
 query("qry12_evidence_check", KW + "hits_v", "select distinct query_id, k from (select query_id, unnest(['first', 'none']) k, unnest([string_split(query, ' ')[1], 'no such evidence']) v from questions_v) e where v <> '' and exists (select 1 from hits_v h where h.query_id = e.query_id and (contains(chunk_text, v) or contains(v, chunk_text)))")(

@@ -13,18 +13,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints. Only a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs a reread only."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +45,15 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of each benchmark item."""
+    """Benchmark items as questions."""
     b = read_table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("query"), (5 + F.col("item_id") % 10).cast("int").alias("top_k"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (5 + F.col("item_id") % 10).cast("int").alias("top_k"))
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk with one of the embeddings, all of which are used in turn."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return chunks(spark, sf_dir).filter("chunk_index = 0").withColumn("vec_id", F.col("doc_id") % 500).join(e, "vec_id").select("chunk_id", "doc_id", "embedding")
+    return chunks(spark, sf_dir).withColumn("vec_id", (F.col("doc_id") + 7 * F.col("chunk_index")) % max(1, e.count())).join(e, "vec_id").select("chunk_id", "doc_id", "embedding")
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
