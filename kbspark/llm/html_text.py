@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|<[!?][^>]*>""", re.S | re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SPECIAL = re.compile(r"""[>"']""")
+RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style noscript template svg iframe object canvas".split()}
 ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -93,10 +95,90 @@ def names_in(attributes: str) -> int:
     return bits
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup of a page in order: start, end, name in lower case (None: a comment or what else has no name), whether it is an end tag, and the
+    text of its attributes. What looks like a tag but isn't closed by > is text; quotes in a tag hide a >, unless one isn't closed.
+
+    Each character is looked at a few times at most: a scan that fails over quotes marks them, so that no later one follows them again."""
+    at, last = 0, page.rfind(">")
+    dead: set[int] = set()  # quotes that open outside of others, and from which no > is reached
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+            yield lt, at, None, False, ""
+            continue
+        if lt > last:  # nothing but a comment can begin here
+            if (lt := page.find("<!--", lt)) >= 0:
+                yield lt, len(page), None, False, ""
+            return
+        if page[lt + 1] in "!?":
+            at = page.index(">", lt) + 1
+            yield lt, at, None, False, ""
+            continue
+        m = NAME.match(page, lt + 1)
+        if not m:
+            at = lt + 1
+            continue
+        name = m[2].lower()
+        if not m[1] and name in RAW:
+            close = RAW[name].search(page, page.index(">", lt))
+            at = close.end() if close else len(page)
+            yield lt, at, None, False, ""
+            continue
+        here, seen = m.end(), []
+        while True:
+            found = SPECIAL.search(page, here)
+            if found is None or found[0] == ">":
+                break
+            seen.append(found.start())
+            here = -1 if found.start() in dead else page.find(found[0], found.end()) + 1
+            if here <= 0:
+                break
+        if here > 0 and found is not None:
+            end = found.start()
+        else:
+            dead.update(seen)
+            end = page.index(">", m.end())
+        at = end + 1
+        yield lt, at, name, bool(m[1]), page[m.end() : end]
+
+
+class Open:
+    """The open block elements, (name, node) each, with the places of each name and of elements that hold others."""
+
+    def __init__(self, root: int) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.push("html", root)
+
+    def push(self, name: str, node: int) -> None:
+        for key in (name, *(("holds", "cells")[name in ("td", "th")],) * (name in HOLDS)):
+            self.places.setdefault(key, []).append(len(self.stack))
+        self.stack.append((name, node))
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            name, _ = self.stack.pop()
+            for key in (name, *(("holds", "cells")[name in ("td", "th")],) * (name in HOLDS)):
+                self.places[key].pop()
+
+    def last(self, *names: str) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, names: set[str], to_rows: bool) -> bool:
+        """Close the last element of these names, if it isn't around one that holds others (a row also ends the cells that it is in)."""
+        at = self.last(*names)
+        if at > 0 and at >= self.last("holds", *(() if to_rows else ("cells",))):
+            self.cut(at)
+            return True
+        return False
+
+
 def parse(page_html: str, page: int, out: Nodes) -> None:
     """Add the page's nodes. Elements that HTML closes by itself are closed (p, li, cells); stray end tags are passed over."""
     root = out.add("html", -1, 0, page)
-    stack: list[tuple[str, int]] = [("html", root)]  # block elements: name, node
+    elements = Open(root)
     run: list[str] = []
     link = linked = 0
 
@@ -104,57 +186,52 @@ def parse(page_html: str, page: int, out: Nodes) -> None:
         nonlocal linked
         raw = "".join(run)
         if raw.strip():
-            n = out.add("#text", stack[-1][1], 0, page)
+            n = out.add("#text", elements.stack[-1][1], 0, page)
             out.text[n], out.chars[n], out.links[n] = raw, len(raw.strip()), linked
             out.stops[n] = sum(map(raw.count, ".,;!?"))
         run.clear()
         linked = 0
 
     at = 0
-    for m in TOKEN.finditer(page_html):
-        if m.start() > at:
-            run.append(page_html[at : m.start()])
+    for start, end, name, is_end, attributes in tags(page_html):
+        if start > at:
+            run.append(page_html[at:start])
             if link:
-                linked += m.start() - at
-        at = m.end()
-        name = m[3]
+                linked += start - at
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name == "a":
-            link = 0 if m[2] else 1
+            link = 0 if is_end else 1
         if name in INLINE:
             if name == "br":
                 run.append(" ")
             continue
         flush()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name in ("p", "li", "td", "th", "tr", "dt", "dd") and stack[i][0] in HOLDS and not (name == "tr" and stack[i][0] in ("td", "th")):
-                    break
+        if is_end:
+            if name in ("p", "li", "td", "th", "tr", "dt", "dd"):
+                elements.close({name}, name == "tr")
+            elif elements.last(name) > 0:
+                elements.cut(elements.last(name))
             link = 0
             continue
-        if name in ("html", "body") and (name == "html" or any(s == "body" for s, _ in stack)):
+        if name == "html" or (name == "body" and elements.last("body") > 0):
             continue
         if name == "body":
-            del stack[1:]
-        close = CLOSES.get(name, set()) | {"p"}
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in close:
-                del stack[i:]
-                break
-            if stack[i][0] in HOLDS and not (name == "tr" and stack[i][0] in ("td", "th")):
-                break
+            elements.cut(1)
+        elements.close(CLOSES.get(name, set()) | {"p"}, name == "tr")
         if name not in VOID:
-            stack.append((name, out.add(name, stack[-1][1], names_in(m[4]), page)))
+            elements.push(name, out.add(name, elements.stack[-1][1], names_in(attributes), page))
     if at < len(page_html):
         run.append(page_html[at:])
     flush()
 
 
+def levels_of(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from the roots down."""
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def features(x: Nodes) -> np.ndarray:
     """Nodes x features. Sums over subtrees go up level by level, ancestors' names go down."""
     parent, depth, tag, names = (np.array(v, np.int64) for v in (x.parent, x.depth, x.tag, x.names))
@@ -165,7 +242,7 @@ def features(x: Nodes) -> np.ndarray:
     inside = np.stack([np.array(x.chars, float), np.array(x.links, float), np.array(x.stops, float), np.ones(n), leaf, tag == TAG_OF["p"], tag == TAG_OF["li"], np.isin(tag, [TAG_OF["h1"], TAG_OF["h2"], TAG_OF["h3"]])], axis=1).astype(float)
     above, tag_above = np.zeros(n, np.int64), np.zeros(n, np.int64)
     special = np.array([1 << i if t in ("nav", "header", "footer", "aside", "form", "article", "main", "head", "button", "label", "select", "figure") else 0 for i, t in enumerate(TAGS)] + [0], np.int64)
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+    levels = levels_of(depth)
     for rows in reversed(levels[1:]):
         np.add.at(inside, parent[rows], inside[rows])
     for rows in levels[1:]:
@@ -247,7 +324,7 @@ def decode(x: Nodes, p: np.ndarray) -> np.ndarray:
     parent, depth = np.array(x.parent, np.int64), np.array(x.depth, np.int64)
     p = np.clip(p, 1e-4, 1 - 1e-4)
     keep, drop = np.log(p), np.log(1 - p)
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)] if len(p) else []
+    levels = levels_of(depth)
     for rows in reversed(levels[1:]):
         np.add.at(keep, parent[rows], np.maximum(keep[rows], drop[rows]))
         np.add.at(drop, parent[rows], drop[rows])
@@ -349,9 +426,8 @@ def labelled(pages: list[str], layouts: int, seed: int) -> tuple[np.ndarray, np.
             y += [bool(t and MARK in t) for t in x.text[start:]]
     label = np.array(y, bool)
     parent, depth = np.array(x.parent, np.int64), np.array(x.depth, np.int64)
-    for d in range(depth.max() if len(depth) else 0, 0, -1):  # a node holds main text if a child does
-        rows = np.flatnonzero((depth == d) & label)
-        label[parent[rows]] = True
+    for rows in reversed(levels_of(depth)[1:]):  # a node holds main text if a child does
+        label[parent[rows[label[rows]]]] = True
     return features(x), label.astype(float)
 
 
