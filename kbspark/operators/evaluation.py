@@ -136,6 +136,21 @@ def budget_context(hits: DataFrame, budget: int, cut: int = 300, most: int = 3)
     return h.withColumn("upto", upto).filter(F.col("upto") <= budget).select("query_id", "chunk_id", "rank", "upto")
 
 
+def grouped_context(hits: DataFrame, subs: DataFrame, budget: int, most: int = 3, cut: int = 300, whole: int = 2000) -> DataFrame:
+    """hits (query_id, sub_id, rank, chunk_id, source_file, score, content, has_parent), subs (query_id, sub_id): the sub-queries of each query,
+    with hits or without -> query_id, sub_id, chunk_id, rank, entry, upto.
+
+    The budget of characters is shared out evenly over a query's sub-queries. Each takes its first `most` hits, cut to `cut` characters, or to
+    `whole` where the content is a parent's, and stops at the first entry that its share has no room for. Nulls: no parent, empty content."""
+    share = subs.select("query_id", "sub_id").distinct().groupBy("query_id").agg(F.floor(F.lit(budget) / F.count("*")).alias("share"))
+    body = F.substring(F.coalesce("content", F.lit("")), F.lit(1), F.when(F.coalesce("has_parent", F.lit(False)), whole).otherwise(cut))
+    score = F.col("score").cast("decimal(18,6)").cast("decimal(18,2)").cast("string")
+    h = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "sub_id").orderBy("rank", "chunk_id"))).filter(F.col("place") <= most)
+    h = h.withColumn("entry", F.concat(F.lit("[来源: "), F.coalesce("source_file", F.lit("")), F.lit(" (相关度: "), score, F.lit(")]\n"), body, F.lit("\n")))
+    upto = F.sum(F.length("entry")).over(Window.partitionBy("query_id", "sub_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return h.withColumn("upto", upto).join(share, "query_id").filter("upto <= share").select("query_id", "sub_id", "chunk_id", "rank", "entry", "upto")
+
+
 def summary_due(messages: DataFrame, trigger: int, window: int = 20) -> DataFrame:
     """Conversations of more than `trigger` rounds, and how many of their last 2 * window messages lie before the last `window`."""
     g = messages.groupBy("conv_id").agg(F.count("*").alias("n"))

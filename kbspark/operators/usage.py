@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kbspark.operators.folds import fold_rows
+
 
 def conversation_stats(messages: DataFrame) -> DataFrame:
     """Messages, rounds, and the first user message's first 50 characters as the title."""
@@ -43,19 +45,45 @@ def scores_by_group(traces: DataFrame) -> DataFrame:
     return traces.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("total_ms"), 4).alias("mean_ms"))
 
 
-def failure_streaks(traces: DataFrame, limit_ms: float = 30_000.0, trip: int = 2) -> DataFrame:
-    """Runs of at least `trip` slow traces of one user that follow each other: gaps and islands."""
-    order = [F.col("ts"), F.col("trace_id")]
-    slow = F.col("total_ms") > limit_ms
-    t = traces.select("user_id", "trace_id", "ts", slow.alias("slow"), (F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - F.row_number().over(Window.partitionBy("user_id", slow).orderBy(*order))).alias("run"))
-    return t.filter("slow").groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("trace_id").alias("first_trace")).filter(F.col("n") >= trip).select("user_id", "n", "first_trace")
+def breaker_step(state: tuple[int, float, str] | None, at: float, empty: bool, trip: int, limit: float) -> tuple[int, float, str]:
+    """(empty results running, start of the run, ok | empty | timeout) after one more result; a run that has tripped stays so."""
+    streak, start, reason = state or (0, at, "ok")
+    streak = streak + 1 if empty else 0
+    if reason == "ok":
+        reason = "empty" if streak >= trip else "timeout" if at - start > limit else "ok"
+    return streak, start, reason
+
+
+def seconds_of(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+
+
+def failure_streaks(results: DataFrame, trip: int = 2, limit: float = 30.0) -> DataFrame:
+    """results (run_id, result_id, ts, n_hits) -> run_id, result_id, streak, state: a circuit breaker for each run, which trips on `trip` empty
+    results one after the other, or when `limit` seconds have gone by since its first result. A null n_hits is none."""
+
+    def step(state, row):
+        state = breaker_step(state, row.at, row.empty, trip, limit)
+        return state, (state[0], state[2])
+
+    r = results.select("run_id", "result_id", "ts", seconds_of("ts").alias("at"), (F.coalesce("n_hits", F.lit(0)) == 0).alias("empty"))
+    return fold_rows(r, "run_id", ["ts", "result_id"], step, "streak int, state string").select("run_id", "result_id", "streak", "state")
+
+
+def cooldown_step(last: float | None, at: float, seconds: float) -> tuple[float, bool]:
+    """(time of the last allowed request, whether this one is): refused requests do not put the next one off."""
+    return (at, True) if last is None or at - last >= seconds else (last, False)
+
+
+def cooldown(requests: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """requests (user_id, request_id, ts) -> user_id, request_id, allowed: one in `seconds` for each user, counted from the last allowed one."""
+    r = requests.select("user_id", "request_id", "ts", seconds_of("ts").alias("at"))
 
+    def step(last, row):
+        last, fine = cooldown_step(last, row.at, seconds)
+        return last, (fine,)
 
-def cooldown(traces: DataFrame, seconds: int = 60) -> DataFrame:
-    """Traces of a user within `seconds` of the one before."""
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gap = at - F.lag(at).over(Window.partitionBy("user_id").orderBy("ts", "trace_id"))
-    return traces.select("user_id", "trace_id", gap.alias("gap")).filter(F.col("gap") < seconds).select("user_id", "trace_id")
+    return fold_rows(r, "user_id", ["ts", "request_id"], step, "allowed boolean").select("user_id", "request_id", "allowed")
 
 
 def apply_ingest_status(docs: DataFrame, callbacks: DataFrame) -> DataFrame:

@@ -59,3 +59,15 @@ query("ctx2_budget_context", KW, """select query_id, chunk_id, rank, upto from (
 query("cnv3_summary_due", "", """select conv_id, count(*) // 2 rounds, least(greatest(count(*) - 4, 0), 4) overflow from conversations group by 1 having count(*) // 2 > 1""")(lambda s, d: evaluation.summary_due(t.read_table(s, d, "conversations"), 1, 4))
 
 query("cit1_sentences")(lambda s, d: t.read_table(s, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(evaluation.sentences(F.col("text"))).alias("pos", "sentence")))
+
+
+def grouped(s, d):
+    """Hits dealt out to three sub-queries by document; four of five chunks stand for a parent."""
+    h = ranked(s, d).select("query_id", (F.col("doc_id") % 3).alias("sub_id"), "rank", "chunk_id", "source_file", "score", F.col("chunk_text").alias("content"), (F.col("chunk_index") % 5 != 4).alias("has_parent"))
+    subs = t.questions(s, d).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sub_id"))
+    return evaluation.grouped_context(h, subs, 3000)
+
+
+query("ctx2_grouped_context", KW, """select query_id, sub_id, chunk_id, rank, entry, upto from (select *, sum(length(entry)) over (partition by query_id, sub_id order by place)::bigint upto from
+  (select *, '[来源: ' || source_file || ' (相关度: ' || score::decimal(18, 6)::decimal(18, 2)::varchar || ')]' || chr(10) || left(chunk_text, case when chunk_index % 5 <> 4 then 2000 else 300 end) || chr(10) entry from
+    (select *, doc_id % 3 sub_id, row_number() over (partition by query_id, doc_id % 3 order by rank) place from bm25_v join chunks_v using (chunk_id))) where place <= 3) where upto <= 1000""")(grouped)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import questions as fq
 from kbspark.operators import block_chunks as bc
-from kbspark.operators import evaluation, intake, retrieval
+from kbspark.operators import evaluation, intake, parsers, retrieval
 from kbspark.plans.governance_queries import answers, blocks, ranked
 from kbspark.plans.queries import KW, active, query
 from kbspark.sources import tables as t
@@ -112,3 +112,13 @@ def own_hits(s, d):
 
 
 query("cit3_cite")(lambda s, d: intake.cite(answers(s, d), own_hits(s, d)))
+
+
+def files(s, d):
+    """Pages as html; documents as markdown, text and types that nobody registered, by their number."""
+    kind = F.element_at(F.array(*map(F.lit, ("md", "txt", "TXT", "exe"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    pages = t.read_table(s, d, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.lit("html").alias("file_type"), F.col("html").alias("text"))
+    return pages.unionByName(t.read_table(s, d, "documents").select("doc_id", kind.alias("file_type"), "text"))
+
+
+query("blk8_parse_files")(lambda s, d: parsers.parse_blocks(files(s, d)).withColumn("text", F.sha2("text", 256)).drop("html"))

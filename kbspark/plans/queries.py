@@ -12,6 +12,7 @@ from kbspark.functions import text as tx
 from kbspark.operators import audit, chunking, keyword_index, near_pairs, permissions, retrieval, usage
 from kbspark.plans.oracle_views import duck
 from kbspark.sources import tables as t
+from kbspark.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,9 +159,35 @@ query('evl11_latency_stats', 'traces_v', """select source, count(*) n, round(min
 
 query('evl14_scores_by_group', 'traces_v', """select case when faithfulness >= 0.7 then 'good' when faithfulness >= 0.5 then 'fair' when faithfulness is not null then 'poor' else 'none' end band, count(*) n, round(avg(total_ms), 4) mean_ms from traces_v group by 1""")(lambda s, d: usage.scores_by_group(t.traces(s, d)))
 
-query('str6_failure_streaks', 'traces_v', """select user_id, count(*) n, min(trace_id) first_trace from (select *, row_number() over (partition by user_id order by ts, trace_id) - row_number() over (partition by user_id, total_ms > 5000 order by ts, trace_id) run from traces_v) where total_ms > 5000 group by user_id, run having count(*) >= 2""")(lambda s, d: usage.failure_streaks(t.traces(s, d), 5000.0))
+RUN = "user_id || '-' || strftime(ts, '%Y-%m-%d')"
 
-query('str7_cooldown', 'traces_v', """select user_id, trace_id from (select *, epoch(ts)::double - lag(epoch(ts)::double) over (partition by user_id order by ts, trace_id) g from traces_v) where g < 3600""")(lambda s, d: usage.cooldown(t.traces(s, d), 3600))
+
+def results(s, d):
+    e = t.read_table(s, d, "events")
+    return e.select(F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.col("event_id").alias("result_id"), "ts", (F.col("event_id") % 3).alias("n_hits"))
+
+
+query('str6_failure_streaks', '', f"""select * from (with recursive r as (select {RUN} run_id, event_id, event_id % 3 = 0 e, epoch_us(ts) / 1e6 as w, row_number() over (partition by {RUN} order by ts, event_id) i from events),
+  f as (select run_id, event_id result_id, i, w as b, e::int streak, 'ok' state from r where i = 1
+    union all select run_id, event_id, i, b, n, case when state <> 'ok' then state when n >= 2 then 'empty' when w - b > 7200 then 'timeout' else 'ok' end from (select r.*, f.b, f.state, case when r.e then f.streak + 1 else 0 end n from f join r on r.run_id = f.run_id and r.i = f.i + 1))
+  select run_id, result_id, streak, state from f)""")(lambda s, d: usage.failure_streaks(results(s, d), limit=7200.0))
+
+query('str7_cooldown', '', """select * from (with recursive r as (select user_id, event_id, epoch_us(ts) / 1e6 as w, row_number() over (partition by user_id order by ts, event_id) i from events),
+  f as (select user_id, event_id request_id, i, w as l, true allowed from r where i = 1
+    union all select r.user_id, r.event_id, r.i, case when r.w - f.l >= 3600 then r.w else f.l end, r.w - f.l >= 3600 from f join r on r.user_id = f.user_id and r.i = f.i + 1)
+  select user_id, request_id, allowed from f)""")(lambda s, d: usage.cooldown(t.read_table(s, d, "events").select("user_id", F.col("event_id").alias("request_id"), "ts"), 3600))
+
+
+def replayed(s, d):
+    """The events as a stream of callbacks, three of them a document, and the table that it leaves."""
+    e = s.readStream.schema(t.read_table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    calls = e.select(F.floor(F.col("event_id") / 3).cast("long").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 17 != 0, F.col("event_type")).alias("status"))
+    folder = f"{t.shared_folder(s)}/status-{uuid.uuid4().hex}"
+    jobs.track_status(calls, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return jobs.latest_status(s, f"{folder}/table").select("doc_id", "status")
+
+
+query('str2_stream_status', '', """select doc_id, arg_max(s, struct_pack(a := ts, b := s)) status from (select event_id // 3 doc_id, ts, case when event_id % 17 <> 0 then event_type else 'failed' end s from events) group by 1""")(replayed)
 
 query('qry1_intent', 'questions_v', """select query_id, case when regexp_matches(query, '(?i)对比|比较|区别|差异|不同|\\bvs\\b|compare|difference') then 'compare' when regexp_matches(query, '(?i)总结|概括|概述|摘要|summar|overview') then 'summary' when regexp_matches(query, '(?i)如何|怎么|怎样|步骤|how to|how do|steps') then 'howto' else 'factoid' end intent from questions_v""")(lambda s, d: t.questions(s, d).select("query_id", tx.intent(F.col("query")).alias("intent")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kbspark.functions import text as tx
 from kbspark.operators.folds import take
 from kbspark.operators.governance import write_chunks
+from kbspark.operators.usage import breaker_step, cooldown_step
 
 #: File types that are taken in (fixed values).
 FILE_TYPES = ["pdf", "docx", "xlsx", "pptx", "md", "html", "txt"]
@@ -57,20 +59,88 @@ def ingest(messages: DataFrame, chunks_path: str, callbacks_path: str, checkpoin
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def track_status(callbacks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Stream of callbacks (doc_id, ts, status) -> the latest of each document and batch, a folder for each batch; null is failed."""
+def track_status(callbacks: DataFrame, path: str, checkpoint: str, late: str = "1 hour", buckets: int = 64) -> StreamingQuery:
+    """Stream of callbacks (doc_id, ts, status) -> a table at `path` of one row a document: its latest status by time, and then by name.
 
-    def batch(c: DataFrame, batch_id: int) -> None:
-        latest = c.groupBy("doc_id").agg(F.max(F.struct("ts", F.coalesce("status", F.lit("failed")).alias("status"))).alias("x"))
-        latest.select("doc_id", "x.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    A callback that was sent again within `late` is dropped; a null status is failed, a null doc_id is left out. Each batch is merged with
+    the rows of the buckets that it touches, and those alone are written again. The merged rows stand beside the checkpoint first, so
+    that a batch that breaks off while it replaces a bucket is carried through from them when it is tried again."""
+    spark = callbacks.sparkSession
+    c = callbacks.filter("doc_id is not null").select("doc_id", "ts", F.coalesce("status", F.lit("failed")).alias("status"))
+    c = c.withWatermark("ts", late).dropDuplicatesWithinWatermark(["doc_id", "ts", "status"])
 
-    return callbacks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def batch(b: DataFrame, batch_id: int) -> None:
+        staged = f"{checkpoint}/merged/{batch_id}"
+        if read_status(spark, f"{staged}/_SUCCESS", raw=True) is None:
+            new = b.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+            old = latest_status(spark, path, with_bucket=True).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # at most `buckets` rows
+            merged = old.unionByName(new).groupBy("bucket", "doc_id").agg(F.max(F.struct("ts", "status")).alias("x"))
+            merged.select("bucket", "doc_id", "x.*").write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(STATUS).parquet(staged)
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
+    return c.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def latest_status(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, status: the latest over all batches, by time and then status."""
-    s = spark.read.schema("doc_id long, ts timestamp, status string").parquet(path)
-    return s.groupBy("doc_id").agg(F.max(F.struct("ts", "status")).alias("x")).select("doc_id", "x.status")
+
+#: Rows of the table of statuses.
+STATUS = "bucket int, doc_id long, ts timestamp, status string"
+
+
+def read_status(spark: SparkSession, path: str, raw: bool = False) -> DataFrame | None:
+    """The files at path, or None where nothing is."""
+    try:
+        return spark.read.format("binaryFile").load(path) if raw else spark.read.schema(STATUS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def latest_status(spark: SparkSession, path: str, with_bucket: bool = False) -> DataFrame:
+    """doc_id, ts, status of the table, which is empty before the first batch."""
+    found = read_status(spark, path)
+    rows = spark.createDataFrame([], STATUS) if found is None else found
+    return rows.select(*(["bucket"] if with_bucket else []), "doc_id", "ts", "status")
+
+
+def breaker_stream(results: DataFrame, trip: int = 2, limit: float = 30.0, keep: float = 3600.0) -> DataFrame:
+    """Stream (run_id, result_id, ts, n_hits) with a watermark on ts -> run_id, result_id, streak, state: `usage.failure_streaks` with a run's counter
+    kept as its state. A run is forgotten `keep` seconds after its limit; results of a batch go by time."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, out = (state.get if state.exists else None), []
+        for r in pd.concat(batches).sort_values(["at", "result_id"]).itertuples(index=False):
+            now = breaker_step(now, r.at, r.empty, trip, limit)
+            out.append((r.run_id, r.result_id, now[0], now[2]))
+        state.update(now)
+        state.setTimeoutTimestamp(max(int(1000 * (now[1] + limit + keep)), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["run_id", "result_id", "streak", "state"])
+
+    r = results.select("run_id", "result_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), (F.coalesce("n_hits", F.lit(0)) == 0).alias("empty"))
+    return r.groupBy("run_id").applyInPandasWithState(run, "run_id string, result_id long, streak int, state string", "streak int, start double, reason string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cooldown_stream(requests: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """Stream (user_id, request_id, ts) with a watermark on ts -> user_id, request_id, allowed: `usage.cooldown` with the time of a user's last
+    allowed request as state, which is forgotten once the watermark has passed the end of its pause."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = (state.get[0] if state.exists else None), []
+        for r in pd.concat(batches).sort_values(["at", "request_id"]).itertuples(index=False):
+            last, fine = cooldown_step(last, r.at, seconds)
+            out.append((r.user_id, r.request_id, fine))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int(1000 * (last + seconds)) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "request_id", "allowed"])
+
+    r = requests.select("user_id", "request_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
+    return r.groupBy("user_id").applyInPandasWithState(run, "user_id long, request_id long, allowed boolean", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_stream(requests: DataFrame, capacity: float = 30.0, rate: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@ import json
 
 from conftest import SF
 
-from kbspark.operators import folds
+from kbspark.operators import folds, usage
 from kbspark.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -25,12 +25,55 @@ def test_ingest_and_replay(spark, tmp_path):
 
 
 def test_status_stream(spark, tmp_path):
+    """One row a document after replayed and late callbacks, in whatever batches they come; a second stream over the same rows changes nothing."""
     rows = [(d, f"2024-01-01 00:00:{s:02d}", None if s == 9 else f"s{s}") for s in range(10) for d in (s % 3, s % 2)]
+    rows += [*rows, (None, "2024-01-01 00:00:00", "x"), (7, "2024-01-01 00:30:00", "done"), (7, "2024-01-01 00:10:00", "late")]
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame(rows, "doc_id long, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp")).repartition(5).write.parquet(source)
-    stream = spark.readStream.schema("doc_id long, ts timestamp, status string").option("maxFilesPerTrigger", 1).parquet(source)
-    jobs.track_status(stream, path, str(tmp_path / "check")).awaitTermination()
-    assert {r.doc_id: r.status for r in jobs.latest_status(spark, path).collect()} == {0: "failed", 1: "failed", 2: "s8"}
+    assert jobs.latest_status(spark, path).count() == 0
+    for run in ("a", "b"):
+        stream = spark.readStream.schema("doc_id long, ts timestamp, status string").option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.track_status(stream, path, str(tmp_path / f"check-{run}"), buckets=2).awaitTermination()
+        got = jobs.latest_status(spark, path).collect()
+        assert len(got) == 4 and {r.doc_id: r.status for r in got} == {0: "failed", 1: "failed", 2: "s8", 7: "done"}
+
+
+def streamed(spark, tmp_path, df, job):
+    """What job makes of df as a stream of one file, after a last row that moves the watermark on."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.coalesce(1).write.parquet(source)
+    stream = job(spark.readStream.schema(df.schema).parquet(source).withWatermark("ts", "10 minutes"))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    return sorted(map(tuple, spark.read.parquet(out).collect()))
+
+
+def test_cooldown_against_a_loop(spark, tmp_path):
+    """Batch and stream: steady traffic is let through once a pause, refused requests do not lengthen it."""
+    rows = [(u, 100 * u + i, 1_700_000_000 + i * step) for u, step in ((1, 10), (2, 60), (3, 61), (4, 0), (5, 25)) for i in range(30)]
+    df = spark.createDataFrame(rows, "user_id long, request_id long, at long").select("user_id", "request_id", F.timestamp_seconds("at").alias("ts"))
+    want, last = [], {}
+    for u, i, at in rows:
+        fine = u not in last or at - last[u] >= 60
+        last[u] = at if fine else last[u]
+        want.append((u, i, fine))
+    assert sum(fine for u, _, fine in want if u == 1) == 5
+    assert sorted(map(tuple, usage.cooldown(df.repartition(3)).collect())) == sorted(want) == streamed(spark, tmp_path, df, jobs.cooldown_stream)
+
+
+def test_breaker_against_a_loop(spark, tmp_path):
+    hits = {"empty": [1, 0, 1, 0, 0, 5, 0], "never": [0, 1, 0, 1], "slow": [1, 2, 3, 4, 5, 6], "null": [None, None, 1]}
+    rows = [(k, 10 * n + i, 1_700_000_000 + i * (8 if k == "slow" else 1), h) for n, (k, v) in enumerate(hits.items()) for i, h in enumerate(v)]
+    df = spark.createDataFrame(rows, "run_id string, result_id long, at long, n_hits int").select("run_id", "result_id", F.timestamp_seconds("at").alias("ts"), "n_hits")
+    want = []
+    for k, v in hits.items():
+        streak, state = 0, "ok"
+        for (run, i, at, h) in (r for r in rows if r[0] == k):
+            streak = 0 if h else streak + 1
+            if state == "ok":
+                state = "empty" if streak >= 2 else "timeout" if k == "slow" and at - 1_700_000_000 > 30 else "ok"
+            want.append((run, i, streak, state))
+    assert {x[3] for x in want} == {"ok", "empty", "timeout"}
+    assert sorted(map(tuple, usage.failure_streaks(df.repartition(3)).collect())) == sorted(want) == streamed(spark, tmp_path, df, jobs.breaker_stream)
 
 
 def test_rate_limit_stream_as_batch(spark, tmp_path):
