@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as tx
-from kbspark.operators import audit, chunking, keyword_index, near_pairs, permissions, retrieval, usage
+from kbspark.operators import audit, chunking, keyword_index, near_pairs, permissions, retrieval, usage, vector_graph
 from kbspark.plans.oracle_views import duck
 from kbspark.sources import tables as t
 from kbspark.streaming import jobs
@@ -119,6 +119,8 @@ query('kw5_keyword_search', KW, """select query_id, chunk_id, score, rank from b
 
 query('vec2_dense_search', 'chunks_v questions_v vectors_v qvec_v dense_v', """select query_id, chunk_id, score, rank from dense_v""")(lambda s, d: retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)))
 
+query('vec3_dense_search_ann', '', None)(lambda s, d: vector_graph.search(t.question_vectors(s, d), *vector_graph.build_graph(t.chunk_vectors(s, d))))
+
 query('vec1_cosine', 'chunks_v vectors_v', """select chunk_id, round(list_inner_product(e, list_reverse(e)) / sqrt(list_inner_product(e, e)) / sqrt(list_inner_product(e, e)), 6) c from (select chunk_id, [x::double for x in embedding] e from vectors_v)""")(lambda s, d: t.chunk_vectors(s, d).select("chunk_id", F.round(tx.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("c")))
 
 query('fus2_hybrid_search', KW + 'vectors_v qvec_v dense_v', """select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) score, count(*) n_lists from (select query_id, chunk_id, rank from dense_v union all select query_id, chunk_id, rank from bm25_v) group by 1, 2)) where rank <= 30""")(lambda s, d: retrieval.rrf([retrieval.dense_search(t.question_vectors(s, d), t.chunk_vectors(s, d)), found(s, d)]))
