@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kbspark.functions import text as tx
-from kbspark.operators import folds
+from kbspark.operators import folds, parents
 from kbspark.operators.governance import table_description, table_html
 
 # Blocks
@@ -214,24 +214,13 @@ def title_chunks(blocks: DataFrame, most: int = 800) -> DataFrame:
     )
 
 
-def parent_child_chunks(blocks: DataFrame, most: int = 500) -> DataFrame:
-    """blocks -> doc_id, chunk_index, kind, content: parents of a title's blocks, cut into children; a title without blocks is its own."""
-    t = title_chunks(blocks, most)
-    bodies = F.lead("parent_id").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
-    t = t.withColumn("has_body", F.coalesce((F.col("kind") == "title") & (bodies == F.col("chunk_id")), F.lit(False)))
-    p = t.filter("not has_body").select("doc_id", "chunk_index", F.col("chunk_id").alias("parent_id"), F.when(F.col("kind") == "title", "text").otherwise(F.col("kind")).alias("kind"), "heading", "content")
-    c = folds.split_children(p.select("parent_id", "kind", "heading", "content"))
-    j = c.join(p.select("parent_id", "doc_id", F.col("chunk_index").alias("parent_index"), "kind"), "parent_id")
-    return numbered(j, "parent_index", "child_index").select("doc_id", "chunk_index", "chunk_id", "kind", "content", "tokens")
-
-
 def chunk(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """blocks, docs (doc_id distinct, strategy, file_type) -> doc_id, new_index, chunk_id, content, n_merged, tokens, file_type.
 
-    strategy: token, title, and anything else (auto) parents and children. Short chunks are merged afterwards."""
+    strategy: token, title, and anything else (auto) parents of the blocks' kinds and their children. Short chunks are merged afterwards."""
     b = blocks.join(docs.select("doc_id", F.coalesce("strategy", F.lit("auto")).alias("strategy")), "doc_id")
     token, title = F.col("strategy") == "token", F.col("strategy") == "title"
-    cut = [token_chunks(b.filter(token)), title_chunks(b.filter(title)), parent_child_chunks(b.filter(~token & ~title))]
+    cut = [token_chunks(b.filter(token)), title_chunks(b.filter(title)), parents.parent_children(b.filter(~token & ~title))]
     names = ["doc_id", "chunk_index", "kind", "content"]
     merged = folds.merge_short(cut[0].select(*names).unionByName(cut[1].select(*names)).unionByName(cut[2].select(*names)))
     return merged.join(docs.select("doc_id", "file_type"), "doc_id")
