@@ -117,17 +117,27 @@ def slow_and_empty(run: DataFrame, most: int = 5, few: int = 3) -> DataFrame:
 # Citations
 
 
-def cite(answers: DataFrame, hits: DataFrame, least: float = 0.6) -> DataFrame:
-    """answers (answer_id, answer), hits (answer_id, chunk_id, rank, doc_order, content) -> answer_id, sentence_idx, chunk_id, score.
+def cite(answers: DataFrame, hits: DataFrame, least: float = 0.6, sentence_vectors: DataFrame | None = None) -> DataFrame:
+    """answers (answer_id, answer), hits (answer_id, chunk_id, rank, doc_order, content, embedding if there), sentence_vectors (answer_id,
+    sentence_idx, embedding, one for a sentence) -> answer_id, sentence_idx, chunk_id, score.
 
-    Each sentence in order takes the likest hit that no sentence before it took, by character pairs, from `least` on; one that lies before the
-    last cited place doesn't displace another. Answers of one sentence have no citation. A null content is like nothing."""
+    Each sentence in order takes the likest hit that no sentence before it took, from `least` on; one that lies before the last cited place
+    doesn't displace another. Likeness is the cosine where both have vectors of one length, else that of character pairs. Answers of one
+    sentence have no citation. A null content is like nothing."""
     s = answers.select("answer_id", sentences(F.col("answer")).alias("s")).filter(F.size("s") > 1).select("answer_id", F.posexplode("s").alias("sentence_idx", "sentence"))
     s = s.select("answer_id", "sentence_idx", tx.bigrams(F.col("sentence")).alias("x")).withColumn("n", F.size("x"))
-    h = hits.select("answer_id", "chunk_id", "rank", "doc_order", tx.bigrams(F.coalesce("content", F.lit(""))).alias("y")).withColumn("m", F.size("y"))
+    none = F.lit(None).cast("array<double>")
+    if sentence_vectors is None:
+        s = s.withColumn("u", none)
+    else:
+        s = s.join(sentence_vectors.select("answer_id", "sentence_idx", F.col("embedding").cast("array<double>").alias("u")), ["answer_id", "sentence_idx"], "left")
+    v = F.col("embedding").cast("array<double>") if "embedding" in hits.columns else none
+    h = hits.select("answer_id", "chunk_id", "rank", "doc_order", tx.bigrams(F.coalesce("content", F.lit(""))).alias("y"), v.alias("v")).withColumn("m", F.size("y"))
+    by_vector = F.col("u").isNotNull() & F.col("v").isNotNull() & (F.size("u") == F.size("v"))
     same = F.size(F.array_intersect("x", "y"))
-    alike = F.least("n", "m") >= least * F.greatest("n", "m")  # as many pairs as that can't be shared otherwise
-    j = s.join(h, "answer_id").filter((F.col("n") > 0) & alike).withColumn("same", same).withColumn("score", F.col("same") / (F.col("n") + F.col("m") - F.col("same"))).filter(F.col("score") >= least)
+    alike = (F.col("n") > 0) & (F.least("n", "m") >= least * F.greatest("n", "m"))  # as many pairs as that can't be shared otherwise
+    score = F.when(by_vector, tx.cosine(F.col("u"), F.col("v"))).when(alike, same / (F.col("n") + F.col("m") - same))
+    j = s.join(h, "answer_id").withColumn("score", score).filter(F.col("score") >= least)
     c = j.groupBy("answer_id", "sentence_idx").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.coalesce("doc_order", F.lit(9999)).cast("int").alias("at"), "score"))).alias("likely"))
 
     def step(state, row):

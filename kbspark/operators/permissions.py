@@ -23,6 +23,11 @@ def group_closure(groups: DataFrame) -> DataFrame:
             return found
 
 
+def descendants(closure: DataFrame) -> DataFrame:
+    """(group_id, descendant) of a closure, itself left out."""
+    return closure.filter("group_id <> ancestor").select(F.col("ancestor").alias("group_id"), F.col("group_id").alias("descendant"))
+
+
 def effective_groups(members: DataFrame, closure: DataFrame) -> DataFrame:
     return members.join(closure, "group_id").select("user_id", F.col("ancestor").alias("group_id")).distinct()
 

@@ -94,7 +94,7 @@ def test_sub_queries_are_searched_as_if_alone(spark, tmp_path):
     path = str(tmp_path / "index")
     keyword_index.refresh(chunks, path)
     search = lambda q, k: keyword_index.search(q, path, k)
-    v = spark.createDataFrame([(q, s, [1.0, q, s, 0.5]) for q, s in texts if (q, s) != (2, 0)], "query_id long, sub_id int, embedding array<double>")
+    v = spark.createDataFrame([(q, s, [1.0, float(q), float(s), 0.5]) for q, s in texts if (q, s) != (2, 0)], "query_id long, sub_id int, embedding array<double>")
     hits = parents.multi_query(subs, v, vectors, search)
     got = sorted((r.query_id, r.list, r.rank, r.chunk_id) for r in hits.collect())
     want, groups = [], {}
