@@ -159,8 +159,9 @@ def summary_due(messages: DataFrame, trigger: int, window: int = 20) -> DataFram
 
 
 def sentences(text: Column, least: int = 10) -> Column:
-    """Sentences up to their end mark; one shorter than `least` takes those that follow."""
+    """Sentences up to their end mark, without white space around them; one shorter than `least` takes those that follow."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     parts = F.regexp_extract_all(text, F.lit(r"[^。！？.!?\n]+[。！？.!?\n]?"), F.lit(0))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-    fold = lambda a, s: F.when(a.cur == "", F.struct(a.out.alias("out"), s.alias("cur"))).when(F.length(a.cur) < least, F.struct(a.out.alias("out"), F.concat(a.cur, s).alias("cur"))).otherwise(F.struct(F.concat(a.out, F.array(F.trim(a.cur))).alias("out"), s.alias("cur")))
-    return F.aggregate(parts, start, fold, lambda a: F.when(a.cur == "", a.out).otherwise(F.concat(a.out, F.array(F.trim(a.cur)))))
+    fold = lambda a, s: F.when(a.cur == "", F.struct(a.out.alias("out"), s.alias("cur"))).when(F.length(a.cur) < least, F.struct(a.out.alias("out"), F.concat(a.cur, s).alias("cur"))).otherwise(F.struct(F.concat(a.out, F.array(strip(a.cur))).alias("out"), s.alias("cur")))
+    return F.aggregate(parts, start, fold, lambda a: F.when(a.cur == "", a.out).otherwise(F.concat(a.out, F.array(strip(a.cur)))))

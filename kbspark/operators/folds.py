@@ -40,7 +40,8 @@ def fold_rows(df: DataFrame, key: str, order: list[str], step: Callable, schema:
 
 
 def merge_short(chunks: DataFrame, target: int = 300, least: int = 50) -> DataFrame:
-    """chunks (doc_id, chunk_index, kind, content) -> doc_id, new_index, chunk_id, content, n_merged, tokens.
+    """chunks (doc_id, chunk_index, kind, content; title, start_page, end_page if there) -> doc_id, new_index, chunk_id, content, n_merged,
+    tokens, and those of title, start_page and end_page that there are: the first chunk's title and page, the last one's end page.
 
     A text chunk under `target` tokens takes the text chunks after it as long as they fit (joined by a blank line), and one that doesn't
     fit if it is still under `least` itself. Any other kind ends the run and stays as it is. A null kind is text, a null content is empty, null documents are one."""
@@ -54,11 +55,14 @@ def merge_short(chunks: DataFrame, target: int = 300, least: int = 50) -> DataFr
                 return (group, joined, tokens(joined) < target), (group,)
         return (group + 1, row.n, row.kind == "text" and tokens(row.n) < target), (group + 1,)
 
-    c = chunks.select("doc_id", "chunk_index", F.coalesce("kind", F.lit("text")).alias("kind"), F.coalesce("content", F.lit("")).alias("content")).withColumn("n", F.length("content"))
+    more = [c for c in ("title", "start_page", "end_page") if c in chunks.columns]
+    c = chunks.select("doc_id", "chunk_index", F.coalesce("kind", F.lit("text")).alias("kind"), F.coalesce("content", F.lit("")).alias("content"), *more).withColumn("n", F.length("content"))
     groups = fold_rows(c, "doc_id", ["chunk_index"], step, "new_index int")
-    m = groups.groupBy("doc_id", "new_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("r"))
+    m = groups.groupBy("doc_id", "new_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content", *more))).alias("r"))
     content = F.array_join(F.transform("r", lambda x: x.content), "\n\n")
-    return m.select("doc_id", "new_index", tx.chunk_id(F.col("doc_id"), F.col("new_index")).alias("chunk_id"), content.alias("content"), F.size("r").alias("n_merged")).withColumn("tokens", tx.estimate_tokens(F.col("content")))
+    ends = [F.element_at("r", -1 if name == "end_page" else 1)[name].alias(name) for name in more]
+    merged = m.select("doc_id", "new_index", tx.chunk_id(F.col("doc_id"), F.col("new_index")).alias("chunk_id"), content.alias("content"), F.size("r").alias("n_merged"), *ends)
+    return merged.withColumn("tokens", tx.estimate_tokens(F.col("content")))
 
 
 #: Where a text may be cut, in this order (fixed values).

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.functions import questions as fq
-from kbspark.operators import keyword_index, parents, retrieval
-from kbspark.plans.governance_queries import PLACE, RRF
+from kbspark.operators import folds, keyword_index, parents, retrieval
+from kbspark.plans import fold_queries  # noqa: F401  (its SQL is used here)
+from kbspark.plans.governance_queries import PLACE, RRF, media
 from kbspark.plans.oracle_views import VIEWS
-from kbspark.plans.queries import index_of, query
+from kbspark.plans.queries import ORACLES, index_of, query
 from kbspark.sources import tables as t
 from kbspark.sources.fixtures import view
 
@@ -44,6 +45,18 @@ query("chk4_build_parents", "chunks_v", f"select * from ({PARENTS})")(
 query("chk10_parent_relations", "chunks_v", "select chunk_id, chunk_index // 5 parent_id, lag(chunk_id) over w prev_id, lead(chunk_id) over w next_id from chunks_v window w as (partition by doc_id, chunk_index // 5 order by chunk_index)")(
     lambda s, d: parents.parent_relations(t.chunks(s, d).withColumn("parent_id", F.floor(F.col("chunk_index") / 5)))
 )
+
+
+def paged(s, d):
+    """Chunks with the names of their sources and three of them on a page."""
+    page = (F.floor(F.col("chunk_index") / 3) + 1).cast("int")
+    m = media(s, d)
+    return m.select("*", F.when(F.col("chunk_index") % 4 != 1, F.concat(F.lit("h"), "chunk_index")).alias("title"), page.alias("start_page"), (page + F.col("chunk_index") % 2).cast("int").alias("end_page"))
+
+
+# Chunks of a document have no gaps in their numbers, so the sizes of merged ones tell which they hold.
+query("chk11_merge_pages", "", f"""select doc_id, new_index, chunk_id, n_merged, tokens, case when (upto - n_merged) % 4 <> 1 then 'h' || (upto - n_merged) end title, ((upto - n_merged) // 3 + 1)::int start_page, ((upto - 1) // 3 + 1 + (upto - 1) % 2)::int end_page
+  from (select *, (sum(n_merged) over (partition by doc_id order by new_index))::bigint upto from ({ORACLES["chk11_merge_short"]}))""")(lambda s, d: folds.merge_short(paged(s, d)).drop("content"))
 query("chk13_parent_children")(lambda s, d: parents.parent_children(typed_blocks(s, d)).withColumn("content", F.sha2("content", 256)))
 
 # Sub-queries: the views of one question each, made over all sub-queries instead.

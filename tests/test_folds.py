@@ -72,3 +72,11 @@ def test_fold_of_many_keys_against_dictionaries(spark):
     for k, i, v in rows:
         sums[k] = sums.get(k, 0) + v
         assert got[i] == sums[k]
+
+
+def test_merged_chunks_keep_pages_and_titles(spark):
+    rows = [(1, 0, "text", "a" * 20, "first", 1, 1), (1, 1, "text", "b" * 20, "second", 1, 3), (1, 2, "table", "t", None, 3, 3), (1, 3, None, None, None, None, None), (2, 0, "text", "c", "own", 7, 8)]
+    c = spark.createDataFrame(rows, "doc_id long, chunk_index int, kind string, content string, title string, start_page int, end_page int")
+    got = sorted((r.doc_id, r.new_index, r.n_merged, r.title, r.start_page, r.end_page) for r in folds.merge_short(c).collect())
+    assert got == [(1, 0, 2, "first", 1, 3), (1, 1, 1, None, 3, 3), (1, 2, 1, None, None, None), (2, 0, 1, "own", 7, 8)]
+    assert "title" not in folds.merge_short(c.drop("title", "start_page", "end_page")).columns

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import zlib
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -108,3 +110,25 @@ def test_descendants_in_both_directions(spark):
     closure = permissions.group_closure(frame(spark, "group_id string, parent_group_id string", ("a", None), ("b", "a"), ("c", "b"), ("x", None)))
     assert sorted(map(tuple, permissions.descendants(closure).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
     assert evaluation.span_stats(frame(spark, "node string, ms double", ("judge", 1.0), ("x", 2.0)), traces.NODES).count() == 1
+
+
+def test_sampled_traces_by_crc(spark):
+    got = {r.trace_id for r in evaluation.sample_traces(spark.range(2000).select(F.col("id").alias("trace_id"))).collect()}
+    assert got == {i for i in range(2000) if zlib.crc32(str(i).encode()) % 100 < 5}
+
+
+def test_sentences_against_a_loop(spark):
+    """Parts up to an end mark; while a sentence is under ten characters, blanks counted, it takes the next part."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "bc ", ".", "。", "!", "\n", "word ", "\u00a0"]) for _ in range(rng.randrange(0, 60))) for _ in range(200)]
+    want = []
+    for x in texts:
+        out = []
+        for part in re.findall(r"[^。！？.!?\n]+[。！？.!?\n]?", x):
+            if out and len(out[-1]) < 10:
+                out[-1] += part
+            else:
+                out.append(part)
+        want.append([s.strip() for s in out])
+    got = [r[1] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", evaluation.sentences(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == want
