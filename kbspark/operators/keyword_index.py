@@ -1,14 +1,17 @@
 """A keyword index that is kept between searches, and search that skips what can't be among the best.
 
-The index is a folder of batches. A batch has `postings` (term, block, chunk_id, tf, l), `peaks` (term, block, tf_max, l_min, n) and `chunks`
-(chunk_id, h, l, block). Blocks hold the chunks of a few documents, about `block_chunks` of them, and peaks bound the score that a term can
-give within one. `refresh` writes a batch of the chunks that are missing and a list of the entries that are gone or changed, and
-commits both by a last small file. A batch without it is not read, so a refresh that breaks off leaves the index as it was.
-
-Search finds a floor for each query first: the k-th best whole score among the chunks that its rarest terms rank highest. Terms whose
-peaks together stay below the floor bring no chunk in by themselves; the others do, but only in blocks whose peaks add up to the floor.
-Chunks that can still reach it then meet the rest of the terms. Postings are met by (term, block), so that a frequent word is never one
-key. What comes out is exactly the ranking over all postings.
+The index is a folder of batches. A batch has `postings` (a row for each term of a block, with the entries of its chunks), `peaks` (tf_max and
+l_min of each such row, which bound the score that the term can give there) and `chunks` (chunk_id, h, l, block, ref). A block is up to
+`block_chunks` chunks that follow one another, so a row is short whatever the term. Chunks are dealt out by block once; from there counts, rows
+and their order by term stay within a partition. `refresh` writes a batch of the chunks that are missing and a list of the entries that are
+gone or changed, and commits both by a last small file. A batch without it is not read, so a refresh that breaks off leaves the index as
+it was.
+
+Search finds a floor for each query first: the k-th best whole score among the chunks that its rarest terms rank highest. The bounds of a
+block's terms add up to what its chunks can reach; blocks below the floor are skipped. A block keeps the queries that may find something
+in it as bits, 64 to a number; where two queries share a bit, the block is let through for both. Postings meet these bits by block, then
+the queries' terms, and are summed where they lie, so that only chunks at or above the floor are shuffled. What comes out is exactly the
+ranking over all postings.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from kbspark.operators.retrieval import query_terms, top
 from kbspark.sources.tables import materialize
 
 SCHEMAS = {
-    "postings": "batch string, block long, term string, chunk_id string, doc_id long, kb_id string, tf long, l long",
-    "peaks": "batch string, block long, term string, tf_max long, l_min long, n long",
-    "chunks": "batch string, block long, chunk_id string, h long, l long",
-    "gone": "batch string, chunk_id string, h long",
+    "postings": "batch string, block long, term string, entries array<struct<ref:long,doc_id:long,kb_id:string,tf:long,l:long>>",
+    "peaks": "batch string, block long, term string, tf_max long, l_min long",
+    "chunks": "batch string, block long, ref long, chunk_id string, h long, l long",
+    "gone": "of string, ref long, batch string",
     "commits": "batch string",
 }
 #: Scores are rounded to this many places before they are ranked.
 PLACES = 6
+#: Queries whose bits share a number.
+BITS = 64
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -49,17 +54,18 @@ def committed(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read(spark, path, name).join(F.broadcast(read(spark, path, "commits").select("batch")), "batch", "left_semi")
 
 
-def without_gone(rows: DataFrame, gone: DataFrame, max_broadcast: int) -> DataFrame:
-    """rows (batch, chunk_id, ..) but for the entries that a later refresh took out."""
+def without_gone(spark: SparkSession, path: str, rows: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """rows (batch, ref, ..) but for the entries that a later refresh took out."""
+    gone = committed(spark, path, "gone").select(F.col("of").alias("batch"), "ref")
     n = gone.count()
     if not n:
         return rows
-    return rows.join(F.broadcast(gone) if n <= max_broadcast else gone, ["batch", "chunk_id"], "left_anti")
+    return rows.join(F.broadcast(gone) if n <= max_broadcast else gone, ["batch", "ref"], "left_anti")
 
 
-def entries(spark: SparkSession, path: str, max_broadcast: int = 1_000_000) -> DataFrame:
-    """The chunks that are in the index: batch, block, chunk_id, h, l."""
-    return without_gone(committed(spark, path, "chunks"), committed(spark, path, "gone").select("batch", "chunk_id"), max_broadcast)
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks that are in the index: batch, block, ref, chunk_id, h, l."""
+    return without_gone(spark, path, committed(spark, path, "chunks"))
 
 
 def text_of(chunks: DataFrame) -> Column:
@@ -73,31 +79,41 @@ def refresh(chunks: DataFrame, path: str, block_chunks: int = 16) -> dict[str, i
 
     chunk_id must be unique; a null chunk_id is left out. Chunks without terms are entries without postings."""
     spark = chunks.sparkSession
-    c = chunks.filter("chunk_id is not null").select("chunk_id", "doc_id", "kb_id", text_of(chunks).alias("text")).withColumn("h", F.xxhash64("text", "doc_id", "kb_id"))
+    c = chunks.filter("chunk_id is not null").select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), "kb_id", text_of(chunks).alias("text")).withColumn("h", F.xxhash64("text", "doc_id", "kb_id"))
     known = entries(spark, path)
-    missing = materialize(c.join(known.select("chunk_id", "h"), ["chunk_id", "h"], "left_anti"))
-    gone = materialize(known.join(c.select("chunk_id", "h"), ["chunk_id", "h"], "left_anti").select(F.col("batch").alias("of"), "chunk_id", "h"))
+    missing = c.join(known.select("chunk_id", "h"), ["chunk_id", "h"], "left_anti")
+    missing = materialize(missing.withColumn("ref", F.monotonically_increasing_id()))  # read back, so that ref is the same at each use
+    gone = materialize(known.join(c.select("chunk_id", "h"), ["chunk_id", "h"], "left_anti").select(F.col("batch").alias("of"), "ref"))
     added, removed = missing.count(), gone.count()
     if not added and not removed:
         return {"added": 0, "removed": 0}
     batch = uuid.uuid4().hex
-    blocks = max(1, -(-added // block_chunks))
-    w = missing.select("chunk_id", "doc_id", "kb_id", "h", terms(F.col("text")).alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
-    w = w.withColumn("l", F.size("w").cast("long"))
-    put = lambda df, name: df.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{path}/{name}/{batch}")
-    named = lambda df: df.withColumn("batch", F.lit(batch))
-    p = w.select("block", "chunk_id", "doc_id", "kb_id", "l", F.explode("w").alias("term")).groupBy("block", "chunk_id", "term").agg(F.first("doc_id").alias("doc_id"), F.first("kb_id").alias("kb_id"), F.count("*").alias("tf"), F.first("l").alias("l"))
-    put(named(p).repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
-    put(named(spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings/{batch}").groupBy("term", "block").agg(F.max("tf").alias("tf_max"), F.min("l").alias("l_min"), F.count("*").alias("n"))), "peaks")
-    put(named(w), "chunks")
-    gone.select(F.col("of").alias("batch"), "chunk_id", "h").write.parquet(f"{path}/gone/{batch}")
+
+    def put(df: DataFrame, name: str) -> None:
+        names = [f.split()[0] for f in SCHEMAS[name].split(", ")]
+        df.withColumn("batch", F.lit(batch)).select(*names).write.parquet(f"{path}/{name}/{batch}")
+
+    w = missing.withColumn("block", F.expr(f"ref div {block_chunks}")).repartition("block").withColumn("w", terms(F.col("text"))).withColumn("l", F.size("w").cast("long"))
+    tf = w.select("block", "ref", "doc_id", "kb_id", "l", F.explode("w").alias("term")).groupBy("block", "ref", "term")
+    tf = tf.agg(F.first("doc_id").alias("doc_id"), F.first("kb_id").alias("kb_id"), F.count("*").alias("tf"), F.first("l").alias("l"))
+    entry = F.struct("ref", "doc_id", "kb_id", "tf", "l")
+    put(tf.groupBy("term", "block").agg(F.collect_list(entry).alias("entries")).sortWithinPartitions("term", "block"), "postings")
+    written = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings/{batch}")
+    put(written.select("block", "term", F.array_max("entries.tf").alias("tf_max"), F.array_min("entries.l").alias("l_min")), "peaks")
+    put(w, "chunks")
+    put(gone, "gone")
     put(spark.createDataFrame([(batch,)], SCHEMAS["commits"]).coalesce(1), "commits")
     return {"added": added, "removed": removed}
 
 
+def unfolded(folded: DataFrame) -> DataFrame:
+    """An entry a row: batch, block, term, ref, doc_id, kb_id, tf, l."""
+    return folded.select("batch", "block", "term", F.inline("entries"))
+
+
 def postings(spark: SparkSession, path: str) -> DataFrame:
-    """The postings that count: chunk_id, term, tf, and block, doc_id, kb_id, l."""
-    return without_gone(committed(spark, path, "postings"), committed(spark, path, "gone").select("batch", "chunk_id"), 1_000_000)
+    """The postings that count: chunk_id, term, tf, and batch, block, ref, doc_id, kb_id, l."""
+    return unfolded(committed(spark, path, "postings")).join(entries(spark, path).select("batch", "ref", "chunk_id"), ["batch", "ref"])
 
 
 def weigh(scorer: str, k1: float, b: float):
@@ -118,9 +134,9 @@ def allowed() -> Column:
 def plan(queries: DataFrame, path: str, k: int | str, scorer: str, k1: float, b: float, seeds: int, max_broadcast: int) -> dict[str, DataFrame]:
     """The steps of a search by name:
 
-    floors (query_id, limit, floor): no chunk below its query's floor can be among the best; blocks (query_id, batch, block): those whose
-    peaks reach it; first: postings of the essential terms in those blocks, with their scores; open: chunks (with the sum so far) that can
-    still reach the floor; rest: postings of the other terms in those chunks."""
+    first: postings that are scored to find the floors; floors (query_id, limit, floor): no chunk below its query's floor can be among the
+    best; blocks (batch, block, part, bits): the queries that may find something in a block; rest: postings that queries meet in those
+    blocks, with their scores; open (query_id, batch, ref, limit, score): whole scores of the chunks that reach the floor."""
     spark = queries.sparkSession
     part, weight = weigh(scorer, k1, b)
     slack = 2 * 10.0**-PLACES
@@ -133,38 +149,40 @@ def plan(queries: DataFrame, path: str, k: int | str, scorer: str, k1: float, b:
     wanted = query_terms(q)
     asked = wanted.select("term").distinct()
     asked = F.broadcast(asked) if asked.count() <= max_broadcast else asked
-    p = materialize(postings(spark, path).join(asked, "term", "left_semi"))
-    peaks = committed(spark, path, "peaks").join(asked, "term", "left_semi").withColumnRenamed("n", "n_here")
+    p = materialize(without_gone(spark, path, unfolded(committed(spark, path, "postings").join(asked, "term", "left_semi"))))
+    peaks = committed(spark, path, "peaks").join(asked, "term", "left_semi")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     of_query = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    parts = max(1, -(-q.count() // BITS))  # numbers of bits for each block
     t = wanted.join(df, "term").join(of_query, "query_id").join(F.broadcast(e)).withColumn("weight", weight())  # e is one row
-    t = materialize(t.join(q.select("query_id", "kb_ids", "excluded_docs", "limit"), "query_id"))
+    t = t.join(q.select("query_id", "kb_ids", "excluded_docs", "limit"), "query_id")
+    t = materialize(t.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts))).withColumn("bit", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(BITS)).cast("int")))
+    small = F.broadcast if t.count() <= max_broadcast else lambda rows: rows
     scores = lambda rows: rows.withColumn("score", F.col("weight") * part(F.col("tf"), F.col("l")))
-    where = ["batch", "block", "term", "chunk_id"]
-
-    # A floor: whole scores of the chunks that the rarest terms of a query rank highest.
-    rare = t.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).filter(F.col("r") <= seeds)
-    seed = top(scores(rare.join(p, "term").filter(allowed())), "limit", ("query_id", "term")).select("query_id", "chunk_id", "batch", "block").distinct()
-    whole = scores(seed.join(t, "query_id").join(p.select(*where, "tf", "l"), where))
-    whole = whole.groupBy("query_id", "chunk_id", "limit").agg(F.round(F.sum("score"), PLACES).alias("score"))
-    reached = top(whole, "limit").filter(F.col("rank") == F.col("limit")).select("query_id", (F.col("score") - slack).alias("floor"))
+    chunk = ["batch", "block", "ref"]
+
+    # A floor: whole scores of the chunks that the rarest terms of a query rank highest; more terms than `seeds` where these have few chunks.
+    rarest = Window.partitionBy("query_id").orderBy("df", "term")
+    before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rare = t.withColumn("r", F.row_number().over(rarest)).withColumn("before", before).filter((F.col("r") <= seeds) | (F.col("before") < 2 * F.col("limit")))
+    ranked = F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.col("score").desc(), "batch", "ref"))
+    seed = scores(rare.join(p, "term").filter(allowed())).withColumn("r", ranked).filter(F.col("r") <= F.col("limit")).select("query_id", *chunk).distinct()
+    first = scores(seed.join(t, "query_id").join(p, [*chunk, "term"]))
+    whole = first.groupBy("query_id", "batch", "ref", "limit").agg(F.round(F.sum("score"), PLACES).alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+    reached = whole.withColumn("r", best).filter(F.col("r") == F.col("limit")).select("query_id", (F.col("score") - slack).alias("floor"))
     floors = materialize(q.select("query_id", "limit").join(reached, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))))
 
-    # Terms from the least peak on: those whose peaks together stay below the floor bring no chunk in by themselves.
-    bound = t.join(peaks, "term").withColumn("peak", F.col("weight") * part(F.col("tf_max"), F.col("l_min")))
-    upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
-    by_term = bound.groupBy("query_id", "term").agg(F.max("peak").alias("most")).withColumn("upto", upto).join(floors.select("query_id", "floor"), "query_id")
-    by_term = materialize(by_term.withColumn("essential", F.col("upto") >= F.col("floor")))
-    rest = by_term.groupBy("query_id").agg(F.coalesce(F.max(F.when(~F.col("essential"), F.col("upto"))), F.lit(0.0)).alias("rest"))
-    blocks = bound.groupBy("query_id", "batch", "block").agg(F.sum("peak").alias("reach")).join(floors, "query_id").filter("reach >= floor").select("query_id", "batch", "block")
+    bound = peaks.repartition("batch", "block").join(small(t.select("query_id", "term", "weight", "mean", "part", "bit")), "term")
+    reach = bound.groupBy("query_id", "batch", "block", "part", "bit").agg(F.sum(F.col("weight") * part(F.col("tf_max"), F.col("l_min"))).alias("reach"))
+    reach = reach.join(small(floors.select("query_id", "floor")), "query_id").filter("reach >= floor")
+    blocks = reach.groupBy("batch", "block", "part").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
 
-    kind = t.join(by_term.select("query_id", "term", "essential"), ["query_id", "term"])
-    first = scores(blocks.join(kind.filter("essential"), "query_id").join(p, ["batch", "block", "term"]).filter(allowed()))
-    some = first.groupBy("query_id", "batch", "block", "chunk_id").agg(F.sum("score").alias("score"))
-    open_ = some.join(rest, "query_id").join(floors, "query_id").filter("score + rest >= floor").select("query_id", "batch", "block", "chunk_id", "limit", "score")
-    open_ = materialize(open_)
-    more = scores(open_.select("query_id", "batch", "block", "chunk_id").join(kind.filter("not essential").drop("limit"), "query_id").join(p.select(*where, "tf", "l"), where))
-    return {"floors": floors, "blocks": blocks, "first": first, "open": open_, "rest": more}
+    met = p.repartition("batch", "block").join(blocks, ["batch", "block"]).join(small(t.drop("df", "n", "n_terms")), ["part", "term"])
+    rest = scores(met.filter(F.expr("shiftright(bits, bit) & 1 = 1") & allowed()))
+    open_ = rest.groupBy("query_id", *chunk, "limit").agg(F.round(F.sum("score"), PLACES).alias("score"))
+    open_ = open_.join(small(floors.select("query_id", "floor")), "query_id").filter("score >= floor").select("query_id", "batch", "ref", "limit", "score")
+    return {"first": first, "floors": floors, "blocks": blocks, "rest": rest, "open": open_}
 
 
 def search(queries: DataFrame, path: str, k: int | str = 30, scorer: str = "bm25", k1: float = 1.2, b: float = 0.75, seeds: int = 3, max_broadcast: int = 200_000) -> DataFrame:
@@ -173,8 +191,8 @@ def search(queries: DataFrame, path: str, k: int | str = 30, scorer: str = "bm25
 
     scorer bm25, or tf: the sum of 1 + ln(tf) over the query's terms, divided by their number, which needs no statistics. Statistics are
     those of the whole index, whatever a query may see. Equal scores go by chunk_id. A query without terms finds nothing."""
-    steps = plan(queries, path, k, scorer, k1, b, seeds, max_broadcast)
-    limits = steps["floors"].select("query_id", "limit")
-    parts = steps["open"].select("query_id", "chunk_id", "score").unionByName(steps["rest"].select("query_id", "chunk_id", "score"))
-    scored = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), PLACES).alias("score")).join(limits, "query_id")
-    return top(scored, "limit").select("query_id", "chunk_id", "score", "rank")
+    found = plan(queries, path, k, scorer, k1, b, seeds, max_broadcast)["open"]
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))  # all of equal scores, as their ids aren't known yet
+    some = materialize(found.withColumn("place", place).filter(F.col("place") <= F.col("limit")))
+    named = entries(queries.sparkSession, path).select("batch", "ref", "chunk_id").join(some, ["batch", "ref"])
+    return top(named, "limit").select("query_id", "chunk_id", "score", "rank")
