@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kbspark.functions.text import terms
+from kbspark.operators import keyword_scan
 
 
 def top(df: DataFrame, k: int | str, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -36,14 +37,25 @@ def query_terms(queries: DataFrame, most: int = 30) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int | str = 30, k1: float = 1.2, b: float = 0.75, most_terms: int = 200_000) -> DataFrame:
-    """BM25 over the chunks that match any term, without an index: one pass over the texts. k is a number, or a column of queries. For more
-    than one search over the same chunks see keyword_index."""
-    w = chunks.select("chunk_id", terms(F.col("chunk_text")).alias("w")).withColumn("l", F.size("w")).filter("l > 0")
-    stats = w.agg(F.count("*").alias("n"), F.avg("l").alias("mean"))
+    """BM25 over the chunks that match any term, without an index. k is a number, or a column of queries.
+
+    Up to `most_terms` terms of queries go to the tasks, which read the texts twice and shuffle the best of each query only; with more, the
+    terms meet the postings in a join. For more than one search over the same chunks see keyword_index."""
+    w = chunks.select("chunk_id", terms(F.coalesce("chunk_text", F.lit(""))).alias("w"))
     wanted = query_terms(queries)
-    asked = wanted.select("term").distinct()
-    asked = F.broadcast(asked) if asked.count() <= most_terms else asked
-    hit = w.select("chunk_id", "l", F.explode("w").alias("term")).join(asked, "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("l").alias("l"))
+    limited = with_limit(wanted, queries, k).select("query_id", "term", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("long").alias("limit")).filter("limit > 0")
+    some = limited.limit(most_terms + 1).toPandas()
+    if len(some) > most_terms:
+        return joined_search(queries, w, wanted, k, k1, b)
+    found = keyword_scan.best_chunks(w, some, k1, b) if len(some) else queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double")
+    return top(with_limit(found, queries, k), k).select("query_id", "chunk_id", "score", "rank")
+
+
+def joined_search(queries: DataFrame, words: DataFrame, wanted: DataFrame, k: int | str, k1: float, b: float) -> DataFrame:
+    """keyword_search for any number of queries: words (chunk_id, w), wanted (query_id, term)."""
+    w = words.withColumn("l", F.size("w")).filter("l > 0")
+    stats = w.agg(F.count("*").alias("n"), F.avg("l").alias("mean"))
+    hit = w.select("chunk_id", "l", F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("l").alias("l"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     m = wanted.join(df, "term").join(hit, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.operators import evaluation, retrieval
-from kbspark.plans.queries import KW, HITS, active, found, hits, query
+from kbspark.plans.queries import KW, HITS, active, found, hits, query, with_chunks
 from kbspark.sources import tables as t
 from kbspark.sources.fixtures import view
 
@@ -16,8 +16,7 @@ REFUSED = "(trim(answer, ' ') = '' or regexp_matches(answer, '未找到|没有|
 
 
 def ranked(s: SparkSession, d: str) -> DataFrame:
-    c = active(s, d)
-    return found(s, d).join(c, "chunk_id")
+    return with_chunks(found(s, d), active(s, d))
 
 
 query("evl2_apply_ratings", "", """select event_id trace_id, event_type source, case when event_id % 12 = 0 then 5 when event_id % 6 = 0 then event_id % 5 end rating from events""")(

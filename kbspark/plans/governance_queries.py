@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from kbspark.functions import text as tx
 from kbspark.operators import governance as g
-from kbspark.operators import keyword_index, retrieval
+from kbspark.operators import retrieval
 from kbspark.plans.oracle_views import VIEWS
-from kbspark.plans.queries import KW, active, found, hits, index_of, query
+from kbspark.plans.queries import KW, active, found, hits, keyword_search, query, with_chunks
 from kbspark.sources import tables as t
 from kbspark.sources.fixtures import view
 
@@ -147,8 +147,7 @@ def conversations_of(s, d):
 
 
 def ranked(s, d):
-    c = active(s, d)
-    return found(s, d).join(c, "chunk_id")
+    return with_chunks(found(s, d), active(s, d))
 
 
 # Later steps of retrieval
@@ -157,7 +156,7 @@ RRF = "select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) score
 PLACE = "row_number() over (partition by query_id order by score desc, chunk_id)"
 query("fus1_rrf", KW + "vectors_v qvec_v dense_v lists_v", f"select * from (select *, {PLACE}::int rank from ({RRF.format('lists_v')})) where rank <= 10")(lambda s, d: retrieval.rrf(both(s, d), final=10))
 VIEWS["wide_v"] = VIEWS["dense_v"].replace("dense_v as", "dense_wide_v as").replace("rank <= 30)", "rank <= 42)") + ",\n  bm25_wide_v as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from scored_v))"
-query("fus2_hybrid_top_k", KW + "vectors_v qvec_v wide_v", f"select x.* from (select *, {PLACE}::int rank from ({RRF.format('(select query_id, chunk_id, rank from dense_wide_v join questions_v using (query_id) where rank <= 3 * top_k union all select query_id, chunk_id, rank from bm25_wide_v join questions_v using (query_id) where rank <= 3 * top_k)')})) x join questions_v using (query_id) where x.rank <= 2 * top_k")(lambda s, d: retrieval.hybrid_search(t.questions(s, d), t.question_vectors(s, d), t.chunk_vectors(s, d), lambda q, k: keyword_index.search(q, index_of(s, d), k)))
+query("fus2_hybrid_top_k", KW + "vectors_v qvec_v wide_v", f"select x.* from (select *, {PLACE}::int rank from ({RRF.format('(select query_id, chunk_id, rank from dense_wide_v join questions_v using (query_id) where rank <= 3 * top_k union all select query_id, chunk_id, rank from bm25_wide_v join questions_v using (query_id) where rank <= 3 * top_k)')})) x join questions_v using (query_id) where x.rank <= 2 * top_k")(lambda s, d: retrieval.hybrid_search(t.questions(s, d), t.question_vectors(s, d), t.chunk_vectors(s, d), keyword_search(s, d)))
 
 
 def both(s, d):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.functions import questions as fq
-from kbspark.operators import folds, keyword_index, parents, retrieval
+from kbspark.operators import folds, parents, retrieval
 from kbspark.plans import fold_queries  # noqa: F401  (its SQL is used here)
 from kbspark.plans.governance_queries import PLACE, RRF, media
 from kbspark.plans.oracle_views import VIEWS
-from kbspark.plans.queries import ORACLES, index_of, query
+from kbspark.plans.queries import ORACLES, keyword_search, query
 from kbspark.sources import tables as t
 from kbspark.sources.fixtures import view
 
@@ -72,7 +72,7 @@ def sub_hits(s, d):
     subs = parents.sub_queries(view(s, d, "asked_v").select("query_id", "query", (5 + F.col("query_id") % 10).cast("int").alias("top_k")))
     e = t.read_table(s, d, "embeddings").select("vec_id", "embedding")
     v = subs.withColumn("vec_id", (F.col("query_id") + 31 * F.col("sub_id")) % max(1, e.count())).join(e, "vec_id")
-    return parents.multi_query(subs, v, t.chunk_vectors(s, d), lambda q, k: keyword_index.search(q, index_of(s, d), k))
+    return parents.multi_query(subs, v, t.chunk_vectors(s, d), keyword_search(s, d))
 
 
 query("fus3_sub_queries", "chunks_v asked_v sub_questions_v postings_v terms_v bm25_v vectors_v sub_qvec_v wide_v", f"""select * exclude (n), row_number() over (partition by query_id order by list, rank) place from (select *, row_number() over (partition by query_id, chunk_id order by list, rank) n from

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kbspark.operators import keyword_index, near_pairs, retrieval, vector_graph
+from kbspark.operators import keyword_index, keyword_scan, near_pairs, retrieval, vector_graph
 
 
 def corpus(spark, n=300, seed=1):
@@ -36,6 +36,19 @@ def test_index_search_is_the_search_without_one(spark, tmp_path):
     assert listed(keyword_index.search(q, path, 5, max_broadcast=1)) == listed(retrieval.keyword_search(q, chunks, 5))
 
 
+def test_search_without_an_index_hands_on_the_best_only(spark, monkeypatch):
+    """The scan finds what the join finds, over copies and small slices, and no more rows leave a task than its questions may have."""
+    chunks, q = corpus(spark), asked(spark)
+    copies = chunks.unionByName(chunks.filter("doc_id < 9").withColumn("chunk_id", F.concat(F.lit("copy"), "chunk_id"))).repartition(3)
+    monkeypatch.setattr(keyword_scan, "CELLS", 900)
+    for k in (1, 5, 30, "top_k"):
+        assert listed(retrieval.keyword_search(q, copies, k)) == listed(retrieval.keyword_search(q, copies, k, most_terms=1))
+    words = copies.select("chunk_id", F.split(F.coalesce("chunk_text", F.lit("")), " ").alias("w"))
+    some = retrieval.query_terms(q).withColumn("limit", F.lit(4)).toPandas()
+    assert keyword_scan.best_chunks(words, some, 1.2, 0.75).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 4 * 3
+    assert retrieval.keyword_search(q.limit(0), copies).count() == 0 and retrieval.keyword_search(q, copies.limit(0)).count() == 0
+
+
 def test_index_takes_in_what_is_missing(spark, tmp_path):
     """A second refresh writes new and changed chunks only, drops what is gone, and equals an index built at once; a batch that was not
     committed is not read."""
