@@ -65,6 +65,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def round_places(x: Column, places: int) -> Column:
+    """Rounded as SQL does with doubles: by the product, whose half goes away from zero, and not by the decimal that is shown."""
+    return F.round(x * 10**places) / 10**places
+
+
 def intent(q: Column) -> Column:
     """Ordered rules, the first that holds names the intent."""
     rules = [("compare", r"(?i)对比|比较|区别|差异|不同|\bvs\b|compare|difference"), ("summary", r"(?i)总结|概括|概述|摘要|summar|overview"), ("howto", r"(?i)如何|怎么|怎样|步骤|how to|how do|steps")]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.functions.text import MASKS, estimate_tokens, mask_pii, truncate_text
+from kbspark.functions.text import MASKS, estimate_tokens, mask_pii, round_places, truncate_text
 
 #: Words that speak for a real document and for test data.
 REAL = ["员工手册", "employee handbook", "handbook", "chapter", "手册", "制度", "规范", "项目", "introduction", "overview", "policy", "公司", "组织", "架构", "职责", "岗位", "招聘", "培训", "薪酬", "绩效", "考核", "数据", "platform", "系统", "安全", "技术", "设计", "合规", "流程", "管理办法", "实施方案"]
@@ -233,7 +233,7 @@ def judge_input(hits: DataFrame, most: int = 5, chars: int = 300) -> DataFrame:
 
 def build_traces(queries: DataFrame, hits: DataFrame, most: int = 10, chars: int = 150) -> DataFrame:
     """One row a query with the number of its hits and a snapshot of the best."""
-    h = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "chunk_id", F.round("score", 4).alias("score"), F.left("chunk_text", F.lit(chars)).alias("snippet"))))).alias("x"))
+    h = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "chunk_id", round_places(F.col("score"), 4).alias("score"), F.left("chunk_text", F.lit(chars)).alias("snippet"))))).alias("x"))
     j = queries.join(h, "query_id", "left")
     line = F.transform(F.coalesce("x", F.array()), lambda c: F.concat_ws("|", c.rank.cast("string"), c.chunk_id, F.format_string("%.4f", c.score), c.snippet))
     return j.select("query_id", F.coalesce("n", F.lit(0)).alias("n_hits"), F.array_join(line, "\n").alias("snapshot"))

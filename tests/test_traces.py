@@ -4,9 +4,10 @@ import re
 import zlib
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
-from kbspark.operators import chunking, evaluation, intake, permissions, traces
+from kbspark.operators import chunking, evaluation, governance, intake, permissions, traces
 
 
 def frame(spark, schema, *rows):
@@ -74,6 +75,16 @@ def test_full_traces(spark):
     assert (got[3].original_query, got[3].rewritten_query, got[3].top_k, got[3].total_ms, got[3].chunks) == ("", "", 0, 0, None)
 
 
+#: Scores whose fifth place is a half in decimals, with four places as DuckDB's round gives them.
+HALVES = [(1.00185, "1.0018"), (1.00195, "1.0019"), (1.00395, "1.0039"), (0.123456, "0.1235"), (2.00005, "2.0001")]
+
+
+def test_snapshots_round_as_their_sql(spark):
+    h = frame(spark, "query_id long, rank int, chunk_id string, score double, chunk_text string", *[(1, i, "c", x, "t") for i, (x, _) in enumerate(HALVES, 1)])
+    got = governance.build_traces(frame(spark, "query_id long", (1,)), h).first().snapshot
+    assert [line.split("|")[2] for line in got.split("\n")] == [duckdb.sql(f"select printf('%.4f', round({x}::double, 4))").fetchall()[0][0] for x, _ in HALVES] == [y for _, y in HALVES]
+
+
 def test_judges(spark):
     """The latest judgement counts whole, its nulls too; unknown and null ids are reported once."""
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
