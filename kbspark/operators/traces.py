@@ -23,7 +23,7 @@ def full_traces(queries: DataFrame, hits: DataFrame, timings: DataFrame, recall:
 
     The path of a complex question is dag, and only it has a number of sub-queries. Missing times and counts are 0, an empty rewriting is the
     query, chunks are the first `most` hits with scores of four places. Each table has a row for each query at most."""
-    line = F.struct("rank", "chunk_id", "doc_id", "source_file", F.round("score", 4).alias("score"), F.substring(F.coalesce("chunk_text", F.lit("")), 1, snippet).alias("snippet"))
+    line = F.struct("rank", "chunk_id", "doc_id", "source_file", tx.round_places(F.col("score"), 4).alias("score"), F.substring(F.coalesce("chunk_text", F.lit("")), 1, snippet).alias("snippet"))
     h = hits.groupBy("query_id").agg(F.count("*").alias("top_k"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, line))).alias("chunks"))
     q = queries.select("query_id", "query", "rewritten", "intent", "n_subs").join(h, "query_id", "left")
     q = q.join(timings.select("query_id", *TIMES), "query_id", "left").join(recall.select("query_id", "dense_hits", "keyword_hits"), "query_id", "left")

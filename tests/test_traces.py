@@ -85,6 +85,14 @@ def test_snapshots_round_as_their_sql(spark):
     assert [line.split("|")[2] for line in got.split("\n")] == [duckdb.sql(f"select printf('%.4f', round({x}::double, 4))").fetchall()[0][0] for x, _ in HALVES] == [y for _, y in HALVES]
 
 
+def test_full_traces_round_as_their_sql(spark):
+    h = frame(spark, "query_id long, rank int, chunk_id string, doc_id long, source_file string, score double, chunk_text string", *[(1, i, "c", 1, "f", x, "t") for i, (x, _) in enumerate(HALVES, 1)])
+    none = "query_id long, " + ", ".join(f"{c} long" for c in [*traces.TIMES, "dense_hits", "keyword_hits"])
+    q = frame(spark, "query_id long, query string, rewritten string, intent string, n_subs int", (1, "q", None, None, None))
+    got = traces.full_traces(q, h, frame(spark, none, *[]), frame(spark, none, *[]), frame(spark, "query_id long, response string")).first().chunks
+    assert [f"{c.score:.4f}" for c in got] == [y for _, y in HALVES]
+
+
 def test_judges(spark):
     """The latest judgement counts whole, its nulls too; unknown and null ids are reported once."""
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
