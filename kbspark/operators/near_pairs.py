@@ -8,10 +8,15 @@ room for the overlap that it takes, and if bitmaps of the sets do not rule that
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kbspark.operators import windows
 from kbspark.sources.tables import materialize
 
 #: Fixed value: a word of letters and digits.
@@ -118,18 +123,60 @@ def closest(chunks: DataFrame, level: float = 0.6, most: int = 20) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*place)))  # of `most` rows
 
 
-def prefix_overlap(chunks: DataFrame, prefix: int = 80, least: int = 100) -> DataFrame:
+def prefix_overlap(chunks: DataFrame, prefix: int = 80, least: int = 100, gram: int = 40) -> DataFrame:
     """Pairs (a, b) of chunks of different documents where the first `prefix` characters of b (of `least` characters or more) stand in a.
-
-    Hashes of a's windows alone are shuffled, as (hash, chunk, document), after those that begin no b are gone; equal heads are one until the
-    end, and the texts of what is left are compared."""
-    n = F.length("chunk_text")
-    texts = chunks.select("chunk_id", "doc_id", "chunk_text").filter("chunk_text is not null and doc_id is not null")
-    b = texts.filter(n >= least).select(F.col("chunk_id").alias("b"), F.col("doc_id").alias("b_doc"), F.substring("chunk_text", 1, prefix).alias("head")).withColumn("h", F.xxhash64("head"))
-    heads = b.groupBy("h").agg(F.min("head").alias("head"))
-    windows = F.transform(F.sequence(F.lit(1), n - prefix + 1), lambda i: F.xxhash64(F.substring(F.col("chunk_text"), i, F.lit(prefix))))
-    a = texts.filter(n >= prefix).select(F.col("chunk_id").alias("a"), F.explode(F.array_distinct(windows)).alias("h"))
-    met = materialize(a.join(heads.select("h"), "h", "left_semi"))
-    with_text = met.join(texts.select(F.col("chunk_id").alias("a"), F.col("doc_id").alias("a_doc"), "chunk_text"), "a").join(heads, "h")
-    true = with_text.filter(F.contains("chunk_text", F.col("head"))).select("h", "head", "a", "a_doc")
-    return true.join(b, ["h", "head"]).filter("a_doc <> b_doc").select("a", "b").distinct()
+    chunk_id must be unique.
+
+    Each stretch of `prefix` characters has an anchor, the least hash of the stretches of `gram` characters in it; equal stretches have equal
+    anchors, and neighbours mostly share one. So anchors alone are shuffled, some for a text, to meet those of heads of other documents; a text
+    they lead to is searched for these heads. Heads are compared as texts in the end, so hashes only narrow."""
+    at_least = lambda n: F.length("chunk_text") >= n
+    texts = chunks.select("chunk_id", "doc_id", "chunk_text").filter("chunk_text is not null and doc_id is not null").withColumn("ref", F.xxhash64("chunk_id"))
+    heads = texts.filter(at_least(least)).select("chunk_id", "doc_id", F.substring("chunk_text", 1, prefix).alias("chunk_text"))
+    b = heads.mapInArrow(lambda batches: anchors_of_heads(batches, prefix, gram), "b string, b_doc long, head string, h long, anchor long")
+    by_head = b.groupBy("anchor", "h").agg(F.min("b_doc").alias("first"), F.max("b_doc").alias("last"))
+    a = texts.filter(at_least(prefix)).select("ref", "doc_id", "chunk_text").mapInArrow(lambda batches: anchors_of_texts(batches, prefix, gram), "ref long, doc_id long, anchor long")
+    met = a.join(by_head, "anchor").filter("doc_id <> first or doc_id <> last").groupBy("ref").agg(F.collect_set("h").alias("wanted"))
+    holds = texts.join(met, "ref").select("chunk_id", "doc_id", "chunk_text", "wanted").mapInArrow(lambda batches: heads_in_texts(batches, prefix), "a string, a_doc long, head string, h long")
+    return holds.join(b.select("b", "b_doc", "head", "h"), ["h", "head"]).filter("a_doc <> b_doc").select("a", "b")
+
+
+def longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def anchors_of_heads(batches: Iterable[pa.RecordBatch], prefix: int, gram: int) -> Iterator[pa.RecordBatch]:
+    for part in (p for batch in batches for p in windows.pieces(batch, "chunk_text")):
+        t = windows.Texts(part.column("chunk_text").to_pylist())
+        first = t.left == np.bincount(t.row)[t.row]
+        yield pa.RecordBatch.from_arrays([*part.columns, longs(t.hashes(prefix)[first]), longs(t.least(prefix, gram)[first])], ["b", "b_doc", "head", "h", "anchor"])
+
+
+def anchors_of_texts(batches: Iterable[pa.RecordBatch], prefix: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """An anchor once for neighbours that share it."""
+    for part in (p for batch in batches for p in windows.pieces(batch, "chunk_text")):
+        t = windows.Texts(part.column("chunk_text").to_pylist())
+        whole = t.left >= prefix
+        row, anchor = t.row[whole], t.least(prefix, gram)[whole]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+        at = pa.array(row[new])
+        yield pa.RecordBatch.from_arrays([part.column("ref").take(at), part.column("doc_id").take(at), longs(anchor[new])], ["ref", "doc_id", "anchor"])
+
+
+def heads_in_texts(batches: Iterable[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
+    """The first place of each wanted head in its text."""
+    for part in (p for batch in batches for p in windows.pieces(batch, "chunk_text")):
+        texts, wanted = part.column("chunk_text").to_pylist(), part.column("wanted")
+        t = windows.Texts(texts)
+        h, end, rows, heads, found = t.hashes(prefix).view(np.int64), 0, [], [], []
+        for row, text in enumerate(texts):
+            begin, end = end, int(t.end[row])
+            here = h[begin : end - prefix + 1]
+            for x in np.intersect1d(here, wanted[row].values.to_numpy()):
+                at = int(np.argmax(here == x))
+                rows.append(row)
+                heads.append(text[at : at + prefix])
+                found.append(x)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(at), part.column("doc_id").take(at), pa.array(heads, pa.string()), pa.array(found, pa.int64())], ["a", "a_doc", "head", "h"])

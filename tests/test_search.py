@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -145,6 +146,22 @@ def test_prefix_overlap_against_every_pair(spark):
     assert got == {(f"c{i}", f"c{j}") for i, a in enumerate(texts) for j, b in enumerate(texts) if i % 4 != j % 4 and a and b and len(b) >= 100 and b[:80] in a}
 
 
+def test_prefix_overlap_shuffles_few_anchors(spark):
+    """Equal stretches share an anchor wherever they lie, and a text has far fewer anchors than stretches."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdé ü𝄞") for _ in range(n))
+    texts = [text(n) for n in (80, 81, 100, 500, 4000)]
+    texts += [x + text(60) + y[len(y) // 3 :] for x in texts for y in texts]
+    batch = pa.RecordBatch.from_pydict({"ref": range(len(texts)), "doc_id": range(len(texts)), "chunk_text": texts})
+    anchors = [(r["ref"], r["anchor"]) for b in near_pairs.anchors_of_texts([batch], 80, 40) for r in b.to_pylist()]
+    assert len(anchors) < sum(len(x) - 79 for x in texts) / 12
+    for i, x in enumerate(texts):
+        at = sorted({0, len(x) - 80, rng.randrange(len(x) - 79)})
+        heads = pa.RecordBatch.from_pydict({"b": [str(j) for j in at], "b_doc": at, "head": [x[j : j + 80] for j in at]}).rename_columns(["chunk_id", "doc_id", "chunk_text"])
+        got = next(near_pairs.anchors_of_heads([heads], 80, 40)).to_pylist()
+        assert [r["head"] for r in got] == [x[j : j + 80] for j in at] and all((i, r["anchor"]) in anchors for r in got)
+
+
 def test_graph_search_finds_what_the_exact_search_finds(spark):
     """Recall of at least 0.95 over shards, with copies, on vectors without clusters; scores are the exact ones; a graph serves several searches."""
     import numpy as np
