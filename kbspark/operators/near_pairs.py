@@ -34,17 +34,19 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, cut)))
 
 
-def classes_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes_of(chunks: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (class, grams) with their first chunk (doc_id, chunk_index, chunk_id) and the first of another document, and
-    members (class, chunk_id)."""
+    members (class, chunk_id). grams is null for sets of fewer than `least`, which then are only hashed and not kept."""
     g = chunks.select("doc_id", "chunk_index", "chunk_id", F.sort_array(trigrams(F.col("chunk_text"))).alias("grams")).filter("size(grams) > 0 and doc_id is not null")
-    g = materialize(g.withColumns({"x": F.xxhash64("grams"), "y": F.xxhash64(F.lit(1), "grams")}))
+    g = g.withColumns({"x": F.xxhash64("grams"), "y": F.xxhash64(F.lit(1), "grams")})
+    g = materialize(g.withColumn("grams", F.when(F.size("grams") >= least, F.col("grams"))))
     chunk = F.struct("doc_id", "chunk_index", "chunk_id")
     firsts = g.groupBy("x", "y", "doc_id").agg(F.min(chunk).alias("at"))
     place = F.row_number().over(Window.partitionBy("x", "y").orderBy("at"))
     two = firsts.withColumn("n", place).filter("n <= 2").groupBy("x", "y").agg(F.min("at").alias("first"), F.max(F.when(F.col("n") == 2, F.col("at"))).alias("other"))
-    one = g.select("x", "y", "doc_id", "chunk_id", "grams").join(two.select("x", "y", F.col("first.doc_id").alias("doc_id"), F.col("first.chunk_id").alias("chunk_id")), ["x", "y", "doc_id", "chunk_id"], "left_semi").select("x", "y", "grams").dropDuplicates(["x", "y"])
-    named = materialize(two.join(one, ["x", "y"]).withColumn("class", F.monotonically_increasing_id()))
+    large = g.filter("grams is not null").select("x", "y", "doc_id", "chunk_id", "grams")
+    one = large.join(two.select("x", "y", F.col("first.doc_id").alias("doc_id"), F.col("first.chunk_id").alias("chunk_id")), ["x", "y", "doc_id", "chunk_id"], "left_semi").select("x", "y", "grams").dropDuplicates(["x", "y"])
+    named = materialize(two.join(one, ["x", "y"], "left").withColumn("class", F.monotonically_increasing_id()))
     return named.select("class", "grams", "first", "other"), g.select("x", "y", "chunk_id").join(named.select("x", "y", "class"), ["x", "y"]).select("class", "chunk_id")
 
 
@@ -97,11 +99,33 @@ def near_duplicates(chunks: DataFrame, level: float = 0.6, block: int = 2048) ->
     index_b, chunk_b): each two classes of sets whose similarity is above `level`, and each class that several documents share with itself
     (similarity 1). members (class, chunk_id) tells which other chunks a pair stands for. A class is all chunks with one set of trigrams;
     copies aren't paired out. Null and empty texts, texts without letters or digits and rows without doc_id are alike to nothing."""
-    classes, members = classes_of(chunks)
-    found = similar_classes(classes.select("class", "grams"), level, block)
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("first").alias(f"first_{x}"), F.col("other").alias(f"other_{x}"))
+    classes, members = classes_of(chunks, smallest(level))
+    return own_pairs(classes).unionByName(other_pairs(classes, level, block)), members
+
+
+def smallest(level: float) -> int:
+    """Sets of fewer elements than this are no more alike than `level` to any other set: the larger of two that differ has n elements of which
+    one at least is its own, so n is above 1 / (1 - level), and the smaller has more than level * n."""
+    return int(level / (1 - level + EPS))
+
+
+def own_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs within the classes that several documents share."""
+    c = classes.filter("other is not null").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit(1.0).alias("similarity"), F.struct(F.col("first").alias("x"), F.col("other").alias("y")).alias("pair"))
+    return with_places(c)
+
+
+def with_places(pairs: DataFrame) -> DataFrame:
+    cols = [F.col(f"pair.{s}.{c}").alias(f"{n}_{x}") for x, s in (("a", "x"), ("b", "y")) for c, n in (("doc_id", "doc"), ("chunk_index", "index"), ("chunk_id", "chunk"))]
+    return pairs.select("class_a", "class_b", "similarity", *cols)
+
+
+def other_pairs(classes: DataFrame, level: float, block: int) -> DataFrame:
+    """Pairs of two classes. Those without grams are too small for the level."""
+    large = classes.filter("grams is not null")
+    found = similar_classes(large.select("class", "grams"), level, block)
+    side = lambda x: large.select(F.col("class").alias(x), F.col("first").alias(f"first_{x}"), F.col("other").alias(f"other_{x}"))
     two = found.join(side("a"), "a").join(side("b"), "b")
-    own = classes.filter("other is not null").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"), F.col("first").alias("first_a"), F.col("other").alias("other_a"), F.col("first").alias("first_b"), F.col("other").alias("other_b"))
     apart = F.col("first_a.doc_id") != F.col("first_b.doc_id")
     swap = F.col("first_b") < F.col("first_a")
     ordered = F.struct(F.least("first_a", "first_b").alias("x"), F.greatest("first_a", "first_b").alias("y"))
@@ -109,17 +133,25 @@ def near_duplicates(chunks: DataFrame, level: float = 0.6, block: int = 2048) ->
     later = F.when(swap, F.struct(F.col("first_b").alias("x"), F.col("other_a").alias("y"))).otherwise(F.struct(F.col("first_a").alias("x"), F.col("other_b").alias("y")))
     turned = F.when(swap, F.struct(F.col("first_a").alias("x"), F.col("other_b").alias("y"))).otherwise(F.struct(F.col("first_b").alias("x"), F.col("other_a").alias("y")))
     pair = F.when(apart, ordered).when(later["y"].isNotNull(), later).when(turned["y"].isNotNull(), turned)
-    p = two.unionByName(own).withColumn("pair", pair).filter("pair is not null")
-    cols = [F.col(f"pair.{s}.{c}").alias(f"{n}_{x}") for x, s in (("a", "x"), ("b", "y")) for c, n in (("doc_id", "doc"), ("chunk_index", "index"), ("chunk_id", "chunk"))]
-    return p.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity", *cols), members
+    return with_places(two.withColumn("pair", pair).filter("pair is not null").withColumnsRenamed({"a": "class_a", "b": "class_b"}))
+
+
+#: Levels that are tried one after the other for the closest pairs, of as many places as similarities are rounded to.
+LEVELS = (0.999999, 0.95, 0.9, 0.8, 0.7)
 
 
 def closest(chunks: DataFrame, level: float = 0.6, most: int = 20) -> DataFrame:
-    """The `most` closest pairs of near_duplicates, by similarity and then by place: doc_a, index_a, doc_b, index_b, similarity, rank. The bound is the report's."""
-    pairs, _ = near_duplicates(chunks, level)
+    """The `most` closest pairs of near_duplicates, by similarity and then by place: doc_a, index_a, doc_b, index_b, similarity, rank. The bound is the report's.
+
+    What lies above a higher level costs far less to find, so levels are lowered until `most` pairs lie above one: then all others rank behind."""
     place = [F.col("similarity").desc(), "doc_a", "index_a", "doc_b", "index_b"]
-    pairs = pairs.select("doc_a", F.col("index_a").cast("long").alias("index_a"), "doc_b", F.col("index_b").cast("long").alias("index_b"), F.round("similarity", 6).alias("similarity"))
-    best = pairs.orderBy(*place).limit(most)
+    chunks = chunks.select("doc_id", "chunk_index", F.coalesce(F.col("chunk_index").cast("string"), F.lit("")).alias("chunk_id"), "chunk_text")  # a pair names places only
+    for least in [*(x for x in LEVELS if x > level), level]:
+        pairs, _ = near_duplicates(chunks, least)
+        pairs = pairs.select("doc_a", F.col("index_a").cast("long").alias("index_a"), "doc_b", F.col("index_b").cast("long").alias("index_b"), F.round("similarity", 6).alias("similarity"))
+        best = materialize(pairs.orderBy(*place).limit(most))
+        if best.filter(F.col("similarity") > least).count() >= most:
+            break
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*place)))  # of `most` rows
 
 

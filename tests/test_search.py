@@ -131,6 +131,21 @@ def test_near_pairs_against_every_pair(spark):
     assert [r.rank for r in top] == [1, 2, 3] and top[0].similarity == 1.0
 
 
+def test_closest_pairs_stop_at_the_first_level_that_has_enough(spark, monkeypatch):
+    """The same pairs from any level down; equal sets alone are answered without a search for others below."""
+    rng = random.Random(8)
+    base = [[f"{rng.choice('abcdefg')}{rng.choice('xyz')}{rng.randrange(99)}" for _ in range(30)] for _ in range(6)]
+    texts = [" ".join([*w[k:], *(f"r{j}{k}" for j in range(k))]) for w in base for k in (0, 0, 1, 2, 3, 5, 8)]
+    chunks = spark.createDataFrame([(i % 17, i, f"c{i}", x) for i, x in enumerate(texts)], "doc_id long, chunk_index int, chunk_id string, chunk_text string")
+    pairs = [(r.doc_a, r.index_a, r.doc_b, r.index_b, round(r.similarity, 6)) for r in near_pairs.near_duplicates(chunks)[0].collect()]
+    asked, search = [], near_pairs.near_duplicates
+    monkeypatch.setattr(near_pairs, "near_duplicates", lambda c, level: asked.append(level) or search(c, level))
+    for most, levels in ((4, 1), (12, 3), (10**6, 6)):
+        asked.clear()
+        got = [tuple(r)[:5] for r in near_pairs.closest(chunks, most=most).orderBy("rank").collect()]
+        assert got == sorted(pairs, key=lambda p: (-p[4], *p[:4]))[:most] and len(asked) <= levels
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="abÉ1 _-.", max_size=30))
 def test_trigrams_of_words(text):
