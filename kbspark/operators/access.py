@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kbspark.sources.tables import materialize
+
 
 def standing(requests: DataFrame, admins: DataFrame, global_admins: DataFrame, user_spaces: DataFrame) -> DataFrame:
     """Each request with explicit (owner, admin or null), is_global and is_member."""
@@ -74,14 +76,36 @@ def has_permission(standings: DataFrame, wanted: DataFrame, granted: DataFrame)
     return j.select(*wanted.columns, F.coalesce("admin", "got", F.lit(False)).alias("allowed"))
 
 
-def excluded_docs(standings: DataFrame, docs: DataFrame, aces: DataFrame, admitted: DataFrame) -> DataFrame:
-    """Active documents with permissions of their own that a request is denied or not allowed. Admins have none excluded."""
-    plain = standings.filter(~F.col("is_global") & F.col("explicit").isNull()).select("user_id", "space_id")
+def excluded_docs(standings: DataFrame, docs: DataFrame, aces: DataFrame, admitted: DataFrame, block: int = 4096) -> DataFrame:
+    """Active documents with permissions of their own that a request is denied or not allowed. Admins have none excluded.
+
+    Requests of a space that are in the same of the groups that its entries name have the same documents excluded by them. These are found
+    once for each such set of groups and meet its requests in lists of about `block` documents, so pairs of a request and a document are
+    only ever written out. Requests with entries for their user are resolved one by one."""
+    plain = standings.filter(~F.col("is_global") & F.col("explicit").isNull()).select("user_id", "space_id").distinct()
     own = docs.filter("not inherit_permissions and status = 'active'").select("space_id", F.col("doc_id").cast("string").alias("resource_id"), "doc_id")
-    m = matching_aces(plain, aces.filter("resource_type = 'document'"), admitted, ["user_id", "space_id"])
-    seen = m.groupBy("user_id", "space_id", "resource_id").agg(F.bool_or(F.col("effect") == "deny").alias("denied"))
-    j = plain.join(own, "space_id").join(seen, ["user_id", "space_id", "resource_id"], "left")
-    return j.filter(F.coalesce("denied", F.lit(True))).select("user_id", "space_id", "doc_id")
+    entries = aces.filter("resource_type = 'document'").join(own.select("space_id", "resource_id"), ["space_id", "resource_id"], "left_semi")
+    named = entries.filter("principal_type = 'group'").select("space_id", F.col("principal_id").alias("group_id")).distinct()
+    sets = admitted.join(named, ["space_id", "group_id"]).groupBy("user_id", "space_id").agg(F.array_sort(F.collect_set("group_id")).alias("groups"))
+    direct = entries.filter("principal_type = 'user'").select(F.col("principal_id").cast("long").alias("user_id"), "space_id").distinct()
+    request = plain.join(sets, ["user_id", "space_id"], "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
+    alike, single = request.join(direct, ["user_id", "space_id"], "left_anti"), request.join(direct, ["user_id", "space_id"], "left_semi")
+
+    groups = materialize(alike.select("space_id", "groups").distinct().withColumn("set", F.monotonically_increasing_id()))  # its numbers are made once
+    via = groups.select("set", "space_id", F.explode("groups").alias("principal_id")).join(entries.filter("principal_type = 'group'"), ["space_id", "principal_id"])
+    lists = groups.join(own, "space_id").join(denials(via, ["set", "resource_id"]), ["set", "resource_id"], "left").filter(F.coalesce("denied", F.lit(True)))
+    blocks = max(1, -(-own.count() // block))
+    lists = lists.groupBy("set", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("part")).agg(F.collect_list("doc_id").alias("docs"))
+    shared = alike.join(F.broadcast(groups) if groups.count() <= 10_000 else groups, ["space_id", "groups"]).select("user_id", "space_id", "set").join(lists, "set")
+
+    keys = ["user_id", "space_id", "resource_id"]
+    m = matching_aces(single, entries, admitted, ["user_id", "space_id"])
+    alone = single.join(own, "space_id").join(denials(m, keys), keys, "left").filter(F.coalesce("denied", F.lit(True)))
+    return shared.select("user_id", "space_id", F.explode("docs").alias("doc_id")).unionByName(alone.select("user_id", "space_id", "doc_id"))
+
+
+def denials(matches: DataFrame, keys: list[str]) -> DataFrame:
+    return matches.groupBy(*keys).agg(F.bool_or(F.col("effect") == "deny").alias("denied"))
 
 
 def ace_matrix(aces: DataFrame) -> DataFrame:

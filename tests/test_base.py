@@ -64,6 +64,29 @@ def test_user_allow_overrides_a_group_deny(spark):
     assert got == {(1, "b"), (3, "a"), (3, "b")}
 
 
+def test_excluded_documents_against_every_pair(spark):
+    """Sets of groups, entries for users, none at all; the pairs of a request and a document are not shuffled."""
+    import random
+
+    rng = random.Random(4)
+    standing = [(u, f"s{u % 3}", "admin" if u % 11 == 0 else None, u % 13 == 0, True) for u in range(60)] + [(7, "s0", None, False, False)]
+    admitted = {(u, s, g) for u, s, *_ in standing for g in "abcd" if rng.random() < 0.4}
+    docs = [(i, f"s{i % 3}", i % 4 == 0, "active" if i % 5 else "gone") for i in range(90)]
+    aces = [(s, "document", str(i), "group", rng.choice("abcdz"), "r", rng.choice(["allow", "allow", "deny"])) for i, s, *_ in docs for _ in range(rng.randrange(3))]
+    aces += [(s, "document", str(i), "user", str(rng.randrange(9)), "r", rng.choice(["allow", "deny"])) for i, s, *_ in docs if i % 3]
+    want = set()
+    for u, s, explicit, everywhere, _ in standing:
+        for i, at, inherit, status in docs:
+            if at == s and not inherit and status == "active" and not everywhere and explicit is None:
+                hit = [e for x, _, r, kind, p, _, e in aces if x == s and r == str(i) and (p == str(u) if kind == "user" else (u, s, p) in admitted)]
+                want |= {(u, s, i)} if not hit or "deny" in hit else set()
+    frames = (spark.createDataFrame(standing, "user_id long, space_id string, explicit string, is_global boolean, is_member boolean"), spark.createDataFrame(docs, "doc_id long, space_id string, inherit_permissions boolean, status string"),
+              spark.createDataFrame(aces, "space_id string, resource_type string, resource_id string, principal_type string, principal_id string, role_id string, effect string"), spark.createDataFrame(sorted(admitted), "user_id long, space_id string, group_id string"))
+    for block in (4096, 5):
+        got = [tuple(r) for r in access.excluded_docs(*frames, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_deep_trees_are_whole(spark):
     n = 100
     spans = spark.createDataFrame([(1, f"s{i}", f"s{i - 1}" if i else None, "n") for i in range(n)] + [(1, "x", "lost", "n"), (2, "a", "b", "n"), (2, "b", "a", "n"), (2, "r", "2", "n")], "trace_id long, span_id string, parent_id string, node string")
