@@ -155,7 +155,7 @@ def closest(chunks: DataFrame, level: float = 0.6, most: int = 20) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*place)))  # of `most` rows
 
 
-def prefix_overlap(chunks: DataFrame, prefix: int = 80, least: int = 100, gram: int = 40) -> DataFrame:
+def prefix_overlap(chunks: DataFrame, prefix: int = 80, least: int = 100, gram: int = 24) -> DataFrame:
     """Pairs (a, b) of chunks of different documents where the first `prefix` characters of b (of `least` characters or more) stand in a.
     chunk_id must be unique.
 
