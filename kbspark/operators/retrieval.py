@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kbspark.functions.text import terms
-from kbspark.operators import keyword_scan
+from kbspark.operators import keyword_scan, vector_scan
 
 
 def top(df: DataFrame, k: int | str, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -69,8 +69,19 @@ def with_limit(scored: DataFrame, queries: DataFrame, k: int | str) -> DataFrame
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int | str = 30, query_rows: int = 4096, vector_rows: int = 50_000) -> DataFrame:
-    """Exact cosine search. Queries and vectors are dealt out by hash in blocks of a bounded size; a task multiplies two blocks and keeps the
-    best of each query, and ranks merge them. k is a number, or a column of queries."""
+    """Exact cosine search. k is a number, or a column of queries. Up to `query_rows` queries go to the tasks, which read the vectors once and
+    shuffle the best of each query only; with more, blocks of queries meet blocks of vectors."""
+    limited = queries.select("query_id", "embedding", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("long").alias("limit")).filter("limit > 0 and embedding is not null")
+    some = limited.limit(query_rows + 1).toPandas()
+    if len(some) > query_rows:
+        return dense_blocks(queries, vectors, k, query_rows, vector_rows)
+    found = vector_scan.best_vectors(vectors, some) if len(some) else queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double")
+    return top(with_limit(found, queries, k), k).select("query_id", "chunk_id", "score", "rank")
+
+
+def dense_blocks(queries: DataFrame, vectors: DataFrame, k: int | str, query_rows: int, vector_rows: int) -> DataFrame:
+    """dense_search for any number of queries. Queries and vectors are dealt out by hash in blocks of a bounded size; a task multiplies two
+    blocks and keeps the best of each query, and ranks merge them."""
     blocks, shards = max(1, -(-queries.count() // query_rows)), max(1, -(-vectors.count() // vector_rows))
     most = k if isinstance(k, int) else queries.agg(F.max(k)).first()[0] or 0
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -79,8 +90,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int | str = 30, quer
     v = vectors.select("chunk_id", "embedding").withColumn("shard", deal("chunk_id", shards)).withColumn("block", every(blocks))
 
     def unit(rows: pd.Series) -> np.ndarray:
-        x = np.stack(rows.to_list()).astype(float)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return vector_scan.unit(np.stack(rows.to_list()).astype(float))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kbspark.operators import keyword_index, keyword_scan, near_pairs, retrieval, vector_graph
+from kbspark.operators import keyword_index, keyword_scan, near_pairs, retrieval, vector_graph, vector_scan
 
 
 def corpus(spark, n=300, seed=1):
@@ -50,6 +50,21 @@ def test_search_without_an_index_hands_on_the_best_only(spark, monkeypatch):
     assert retrieval.keyword_search(q.limit(0), copies).count() == 0 and retrieval.keyword_search(q, copies.limit(0)).count() == 0
 
 
+def test_dense_search_hands_on_the_best_only(spark, monkeypatch):
+    """The scan finds what the blocks find, over equal vectors, zeros and small slices, and no more rows leave a task than its queries may have."""
+    rng = random.Random(4)
+    rows = [[float(rng.randrange(-3, 4)) for _ in range(6)] for _ in range(90)]
+    vectors = spark.createDataFrame([(f"c{i:03d}", rows[i % 90] if i else [0.0] * 6) for i in range(400)], "chunk_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, [float(rng.randrange(-3, 4)) for _ in range(6)], 1 + i % 9) for i in range(20)], "query_id long, embedding array<float>, top_k int")
+    monkeypatch.setattr(vector_scan, "CELLS", 700)
+    for k in (1, 5, 30, 500, "top_k"):
+        assert listed(retrieval.dense_search(q, vectors, k)) == listed(retrieval.dense_search(q, vectors, k, query_rows=7, vector_rows=50))
+    assert vector_scan.best_vectors(vectors, q.withColumn("limit", F.lit(4)).toPandas()).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 4 * 3
+    assert retrieval.dense_search(q.limit(0), vectors).count() == 0 and retrieval.dense_search(q, vectors.limit(0)).count() == 0
+    one = retrieval.dense_search(q, vectors.unionByName(spark.createDataFrame([("none", None)], vectors.schema)), 500)
+    assert one.count() == 20 * 400
+
+
 def test_index_takes_in_what_is_missing(spark, tmp_path):
     """A second refresh writes new and changed chunks only, drops what is gone, and equals an index built at once; a batch that was not
     committed is not read."""
