@@ -47,7 +47,7 @@ KNOWN = "ascii(substring(md5(query_id || chunk_id), 3, 1)) % 3 <> 0"
 query("rrk1_rerank", KW, f"""select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from (select query_id, chunk_id, case when count(*) over (partition by query_id) <= 10 then score when {KNOWN} then {SCORES} else 0.5 end score from bm25_v)) where rank <= 10""")(
     lambda s, d: evaluation.rerank(hits(s, d), hits(s, d).filter(KNOWN).select("query_id", "chunk_id", F.expr(SCORES).alias("score")), 10))
 
-query("flt1_min_score", KW, """select query_id, count(*) filter (score >= 9) kept, count(*) filter (score < 9) filtered from questions_v left join bm25_v using (query_id) group by 1""")(lambda s, d: evaluation.min_score(t.questions(s, d), hits(s, d), 9.0))
+query("flt1_min_score", KW, """select query_id, count(*) filter (score >= 9) kept, count(*) filter (score < 9) filtered from questions_v left join bm25_v using (query_id) group by 1""")(lambda s, d: evaluation.min_score(t.questions(s, d), found(s, d), 9.0))
 
 query("qlt2_version_conflicts", KW, f"""select query_id, kb_id, count(distinct effective_date) n, min(effective_date) oldest, max(effective_date) newest from (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from ({HITS})) where r <= 5 group by 1, 2 having count(distinct effective_date) >= 2""", dates=("oldest", "newest",))(lambda s, d: evaluation.version_conflicts(hits(s, d)))
 

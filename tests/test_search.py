@@ -211,3 +211,14 @@ def test_graph_search_finds_what_the_exact_search_finds(spark):
         assert all(abs(got[p] - want[p]) < 2e-6 for p in got.keys() & want.keys())
     empty = vector_graph.build_graph(vectors.limit(0))
     assert vector_graph.search(q, *empty).count() == 0
+
+
+def test_flags_from_scores_alone_read_no_texts_of_hits(spark, monkeypatch):
+    from conftest import SF
+
+    from kbspark.plans import catalog, queries
+
+    want = {n: sorted(map(tuple, catalog.QUERIES[n](spark, SF).collect())) for n in ("qlt1_quality_flags", "flt1_min_score")}
+    monkeypatch.setattr(queries, "with_chunks", None)
+    for name, rows in want.items():
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) == rows and rows
