@@ -6,7 +6,7 @@ and only those leave it. So the work grows with the texts, memory with the quest
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,13 +28,13 @@ def postings(words: pa.ListArray, names: pa.Array) -> tuple[np.ndarray, np.ndarr
     return key // len(names), key % len(names), tf, np.bincount(row, minlength=len(words))
 
 
-def count_terms(words: DataFrame, names: list[str]) -> tuple[np.ndarray, int, float]:
-    """words (w) -> in how many rows each name stands, the number of rows with words, and their mean length."""
+def count_terms(words: DataFrame, names: list[str], split: Callable[[pa.Array], pa.ListArray] | None = None) -> tuple[np.ndarray, int, float]:
+    """words (w) -> in how many rows each name stands, the number of rows with words, and their mean length. For split see best_chunks."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df, n, total = pa.array(names, pa.string()), np.zeros(len(names) + 1, np.int64), 0, 0
         for batch in batches:
-            _, term, _, length = postings(batch.column("w"), known)
+            _, term, _, length = postings(split(batch.column("w")) if split else batch.column("w"), known)
             df += np.bincount(term, minlength=len(df))
             n, total = n + int(np.count_nonzero(length)), total + int(length.sum())
         some = np.flatnonzero(df)
@@ -57,11 +57,11 @@ def cut(found: pd.DataFrame, limit: np.ndarray) -> pd.DataFrame:
     return found[found["place"].to_numpy() < limit[found["q"].to_numpy()]]
 
 
-def best_chunks(words: DataFrame, questions: pd.DataFrame, k1: float, b: float) -> DataFrame:
+def best_chunks(words: DataFrame, questions: pd.DataFrame, k1: float, b: float, split: Callable[[pa.Array], pa.ListArray] | None = None) -> DataFrame:
     """words (chunk_id, w), questions (query_id, term, limit; one row a term) -> query_id, chunk_id, score: at least the `limit` best chunks
-    of each question, and no more than those of each task."""
+    of each question, and no more than those of each task. w holds lists of words, or texts that split makes into such in the tasks."""
     names = sorted(questions["term"].unique())
-    df, n, mean = count_terms(words, names)
+    df, n, mean = count_terms(words, names, split)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     ids, q_of = np.unique(questions["query_id"].to_numpy(), return_inverse=True)
     limit = np.zeros(len(ids), np.int64)
@@ -73,10 +73,10 @@ def best_chunks(words: DataFrame, questions: pd.DataFrame, k1: float, b: float)
     most, step = int(limit.max()), max(1, CELLS // len(ids))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kept = pa.array(names, pa.string()), pd.DataFrame({"q": np.zeros(0, np.int64), "score": np.zeros(0), "chunk_id": np.zeros(0, object)})
+        known, kept, fresh, waiting = pa.array(names, pa.string()), pd.DataFrame({"q": np.zeros(0, np.int64), "score": np.zeros(0), "chunk_id": np.zeros(0, object)}), [], 0
         floor = np.full(len(ids), 1e-300)  # nothing below it can be among the best of a question
         for part in (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
-            row, term, tf, length = postings(part.column("w"), known)
+            row, term, tf, length = postings(split(part.column("w")) if split else part.column("w"), known)
             share = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
             times = n_asks[term]
             asked = asks[np.repeat(first[term] - np.cumsum(times) + times, times) + np.arange(times.sum())]
@@ -87,10 +87,14 @@ def best_chunks(words: DataFrame, questions: pd.DataFrame, k1: float, b: float)
             q, at = np.nonzero(got >= floor[:, None])
             if not len(q):
                 continue
-            new = pd.DataFrame({"q": q, "score": np.round(got[q, at], 6), "chunk_id": part.column("chunk_id").take(pa.array(at)).to_numpy(zero_copy_only=False)})
-            kept = cut(pd.concat([kept[new.columns], new]), limit)
-            last = kept[kept["place"].to_numpy() == limit[kept["q"].to_numpy()] - 1]
-            floor[last["q"].to_numpy()] = np.maximum(floor[last["q"].to_numpy()], last["score"].to_numpy() - 2e-6)  # scores are rounded
+            fresh.append(pd.DataFrame({"q": q, "score": np.round(got[q, at], 6), "chunk_id": part.column("chunk_id").take(pa.array(at)).to_numpy(zero_copy_only=False)}))
+            waiting += len(q)
+            if waiting > len(ids) * most:
+                kept, fresh, waiting = cut(pd.concat([kept[fresh[0].columns], *fresh]), limit), [], 0
+                last = kept[kept["place"].to_numpy() == limit[kept["q"].to_numpy()] - 1]
+                floor[last["q"].to_numpy()] = np.maximum(floor[last["q"].to_numpy()], last["score"].to_numpy() - 2e-6)  # scores are rounded
+        if fresh:
+            kept = cut(pd.concat([kept[fresh[0].columns], *fresh]), limit)
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[kept["q"].to_numpy()]), "chunk_id": pa.array(kept["chunk_id"], pa.string()), "score": pa.array(kept["score"], pa.float64())})
 
     return words.select("chunk_id", "w").mapInArrow(score, "query_id long, chunk_id string, score double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kbspark.functions import words
 from kbspark.functions.text import terms
 from kbspark.operators import keyword_scan, vector_scan
 
@@ -41,13 +42,14 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int | str = 30, k1:
 
     Up to `most_terms` terms of queries go to the tasks, which read the texts twice and shuffle the best of each query only; with more, the
     terms meet the postings in a join. For more than one search over the same chunks see keyword_index."""
-    w = chunks.select("chunk_id", terms(F.coalesce("chunk_text", F.lit(""))).alias("w"))
+    text = F.coalesce("chunk_text", F.lit(""))
     wanted = query_terms(queries)
     limited = with_limit(wanted, queries, k).select("query_id", "term", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("long").alias("limit")).filter("limit > 0")
     some = limited.limit(most_terms + 1).toPandas()
     if len(some) > most_terms:
-        return joined_search(queries, w, wanted, k, k1, b)
-    found = keyword_scan.best_chunks(w, some, k1, b) if len(some) else queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double")
+        return joined_search(queries, chunks.select("chunk_id", terms(text).alias("w")), wanted, k, k1, b)
+    kinds = words.kinds(queries.sparkSession) if len(some) else None
+    found = keyword_scan.best_chunks(chunks.select("chunk_id", F.lower(text).alias("w")), some, k1, b, lambda x: words.terms_of(x, kinds)) if len(some) else queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double")
     return top(with_limit(found, queries, k), k).select("query_id", "chunk_id", "score", "rank")
 
 

@@ -5,6 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kbspark.functions import words
+from kbspark.functions.text import terms
 from kbspark.operators import keyword_index, keyword_scan, near_pairs, retrieval, vector_graph, vector_scan
 
 
@@ -50,6 +52,32 @@ def test_search_without_an_index_hands_on_the_best_only(spark, monkeypatch):
     assert retrieval.keyword_search(q.limit(0), copies).count() == 0 and retrieval.keyword_search(q, copies.limit(0)).count() == 0
 
 
+def odd_texts(spark):
+    rng = random.Random(6)
+    some = [*map(chr, range(1, 0x250)), *map(chr, [0x4DFF, 0x4E00, 0x4E2D, 0x9FFF, 0xA000, 0x130, 0x660, 0x870, 0xFEFF, 0xFFFD, 0x1F600, 0x2A700, 0x30000, 0x10FFFF]), *" " * 60, *"中文" * 20]
+    texts = ["", " ", "中", "a中b", "İ", *("".join(rng.choice(some) for _ in range(rng.randrange(40))) for _ in range(3000))]
+    return spark.createDataFrame([(f"c{i:04d}", x) for i, x in enumerate(texts)], "chunk_id string, chunk_text string")
+
+
+def test_terms_of_whole_columns_are_those_of_spark(spark):
+    """The tasks of a search split texts as Spark's expression does, also slices, empty batches and characters of any length."""
+    kinds = words.kinds(spark)
+    for batch in odd_texts(spark).select(F.lower("chunk_text").alias("l"), terms(F.col("chunk_text")).alias("w")).toArrow().to_batches():
+        for part in (batch, batch.slice(3, 50), batch.slice(5, 0)):
+            assert words.terms_of(part.column("l"), kinds).to_pylist() == part.column("w").to_pylist()
+
+
+def test_search_hands_texts_to_the_tasks_not_words(spark, monkeypatch):
+    """The scan gets whole texts, is cut seldom, and finds in odd texts and many copies what the join finds."""
+    chunks = odd_texts(spark)
+    copies = chunks.unionByName(chunks.limit(40).crossJoin(spark.range(30)).select(F.concat("chunk_id", F.lit("x"), "id").alias("chunk_id"), "chunk_text")).repartition(2)
+    q = chunks.filter("length(chunk_text) > 9").limit(30).select(F.monotonically_increasing_id().alias("query_id"), F.col("chunk_text").alias("query"))
+    given, scan = [], keyword_scan.best_chunks
+    monkeypatch.setattr(keyword_scan, "best_chunks", lambda w, *rest: given.append(dict(w.dtypes)["w"]) or scan(w, *rest))
+    assert listed(retrieval.keyword_search(q, copies, 7)) == listed(retrieval.keyword_search(q, copies, 7, most_terms=1))
+    assert given == ["string"]
+
+
 def test_dense_search_hands_on_the_best_only(spark, monkeypatch):
     """The scan finds what the blocks find, over equal vectors, zeros and small slices, and no more rows leave a task than its queries may have."""
     rng = random.Random(4)
