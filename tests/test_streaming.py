@@ -3,6 +3,7 @@ import json
 from conftest import SF
 
 from kbspark.operators import folds, usage
+from kbspark.plans.catalog import QUERIES
 from kbspark.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -38,6 +39,15 @@ def test_status_stream(spark, tmp_path):
         assert len(got) == 4 and {r.doc_id: r.status for r in got} == {0: "failed", 1: "failed", 2: "s8", 7: "done"}
 
 
+def test_status_of_events_in_one_file_or_several(spark, tmp_path):
+    """The registered replay reads a table that is a file as well as one that is a folder of files, with callbacks sent twice."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.unionByName(e.filter("event_id % 5 = 0")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want = sorted(map(tuple, QUERIES["str2_stream_status"](spark, SF).collect()))
+    assert len(want) == e.select(F.floor(F.col("event_id") / 3)).distinct().count() and any(s == "failed" for _, s in want)
+    assert sorted(map(tuple, QUERIES["str2_stream_status"](spark, str(tmp_path)).collect())) == want
+
+
 def streamed(spark, tmp_path, df, job):
     """What job makes of df as a stream of one file, after a last row that moves the watermark on."""
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
