@@ -32,7 +32,7 @@ def my_spaces(standings: DataFrame, spaces: DataFrame) -> DataFrame:
 def matching_aces(requests: DataFrame, aces: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Entries that name a request's user, or a group of `groups`, which joins the requests on `keys`."""
     a = aces.select("space_id", "resource_type", "resource_id", "principal_type", "principal_id", "role_id", "effect")
-    direct = a.filter("principal_type = 'user'").withColumn("user_id", F.col("principal_id").cast("long"))
+    direct = a.filter("principal_type = 'user'").withColumn("user_id", F.col("principal_id").try_cast("long"))
     via = a.filter("principal_type = 'group'").join(groups.withColumnRenamed("group_id", "principal_id"), ["principal_id", *(k for k in keys if k != "user_id")])
     cols = ["user_id", "space_id", "resource_type", "resource_id", "principal_type", "role_id", "effect"]
     return direct.select(*cols).unionByName(via.select(*cols)).join(requests.select("user_id", "space_id"), ["user_id", "space_id"], "left_semi")
@@ -76,32 +76,43 @@ def has_permission(standings: DataFrame, wanted: DataFrame, granted: DataFrame)
     return j.select(*wanted.columns, F.coalesce("admin", "got", F.lit(False)).alias("allowed"))
 
 
-def excluded_docs(standings: DataFrame, docs: DataFrame, aces: DataFrame, admitted: DataFrame, block: int = 4096) -> DataFrame:
+def excluded_docs(standings: DataFrame, docs: DataFrame, aces: DataFrame, admitted: DataFrame, block: int = 1024, run: int = 512, most: int = 4_000_000) -> DataFrame:
     """Active documents with permissions of their own that a request is denied or not allowed. Admins have none excluded.
 
     Requests of a space that are in the same of the groups that its entries name have the same documents excluded by them. These are found
-    once for each such set of groups and meet its requests in lists of about `block` documents, so pairs of a request and a document are
-    only ever written out. Requests with entries for their user are resolved one by one."""
+    once for each such set of groups, in lists of up to `run` documents, and meet its users, crowds of about `block`, so pairs of a request and a
+    list are written once and pairs of a request and a document are only ever written out. They come list by list: a user stays for a list, and
+    the list comes again for each user, which column files store in a fraction of a byte a row. Lists of up to `most` documents in
+    all go to every task. Requests with entries for their user are resolved one by one."""
     plain = standings.filter(~F.col("is_global") & F.col("explicit").isNull()).select("user_id", "space_id").distinct()
-    own = docs.filter("not inherit_permissions and status = 'active'").select("space_id", F.col("doc_id").cast("string").alias("resource_id"), "doc_id")
-    entries = aces.filter("resource_type = 'document'").join(own.select("space_id", "resource_id"), ["space_id", "resource_id"], "left_semi")
+    own = materialize(docs.filter("not inherit_permissions and status = 'active'").select("space_id", F.col("doc_id").cast("string").alias("resource_id"), "doc_id"))
+    entries = materialize(aces.filter("resource_type = 'document'").join(own.select("space_id", "resource_id"), ["space_id", "resource_id"], "left_semi"))
     named = entries.filter("principal_type = 'group'").select("space_id", F.col("principal_id").alias("group_id")).distinct()
     sets = admitted.join(named, ["space_id", "group_id"]).groupBy("user_id", "space_id").agg(F.array_sort(F.collect_set("group_id")).alias("groups"))
-    direct = entries.filter("principal_type = 'user'").select(F.col("principal_id").cast("long").alias("user_id"), "space_id").distinct()
-    request = plain.join(sets, ["user_id", "space_id"], "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
-    alike, single = request.join(direct, ["user_id", "space_id"], "left_anti"), request.join(direct, ["user_id", "space_id"], "left_semi")
+    direct = entries.filter("principal_type = 'user'").select(F.col("principal_id").try_cast("long").alias("user_id"), "space_id").distinct()
+    request = plain.join(sets, ["user_id", "space_id"], "left").join(direct.withColumn("direct", F.lit(True)), ["user_id", "space_id"], "left")
+    request = materialize(request.withColumn("groups", F.coalesce("groups", F.array().cast("array<string>"))))
+    alike, single = request.filter("direct is null"), request.filter("direct")
 
-    groups = materialize(alike.select("space_id", "groups").distinct().withColumn("set", F.monotonically_increasing_id()))  # its numbers are made once
+    groups = alike.groupBy("space_id", "groups").agg(F.count("*").alias("n"))
+    groups = materialize(groups.withColumn("set", F.monotonically_increasing_id()))  # its numbers are made once
     via = groups.select("set", "space_id", F.explode("groups").alias("principal_id")).join(entries.filter("principal_type = 'group'"), ["space_id", "principal_id"])
-    lists = groups.join(own, "space_id").join(denials(via, ["set", "resource_id"]), ["set", "resource_id"], "left").filter(F.coalesce("denied", F.lit(True)))
-    blocks = max(1, -(-own.count() // block))
-    lists = lists.groupBy("set", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("part")).agg(F.collect_list("doc_id").alias("docs"))
-    shared = alike.join(F.broadcast(groups) if groups.count() <= 10_000 else groups, ["space_id", "groups"]).select("user_id", "space_id", "set").join(lists, "set")
+    parts = own.groupBy("space_id").agg(F.ceil(F.count("*") / (32 * run)).alias("parts"))
+    lists = groups.select("set", "space_id").join(own, "space_id").join(denials(via, ["set", "resource_id"]), ["set", "resource_id"], "left").filter(F.coalesce("denied", F.lit(True)))
+    lists = lists.join(parts, "space_id").groupBy("set", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")).agg(F.sort_array(F.collect_list("doc_id")).alias("all"))
+    lists = lists.select("set", F.explode(F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(run)), lambda i: F.slice("all", i, run))).alias("docs"))
+    lists = materialize(lists.withColumn("list", F.monotonically_increasing_id()))
+    crowds = alike.join(F.broadcast(groups) if groups.count() <= 10_000 else groups, ["space_id", "groups"])
+    crowds = materialize(crowds.groupBy("set", "space_id", F.pmod(F.xxhash64("user_id"), F.ceil(F.col("n") / block)).alias("part")).agg(F.collect_list(F.struct("user_id")).alias("users")))
+    names, n_docs = lists.select("set", "list"), lists.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).first()[0]
+    crowds = crowds.repartition(max(1, -(-crowds.count() // 4))).join(F.broadcast(names) if names.count() <= 100_000 else names, "set")
+    shared = materialize(crowds.select("space_id", "list", F.explode("users").alias("user")).select("user.user_id", "space_id", "list"))
+    shared = shared.join(F.broadcast(lists) if n_docs <= most else lists, "list").select("user_id", "space_id", F.explode("docs").alias("doc_id"))
 
     keys = ["user_id", "space_id", "resource_id"]
     m = matching_aces(single, entries, admitted, ["user_id", "space_id"])
     alone = single.join(own, "space_id").join(denials(m, keys), keys, "left").filter(F.coalesce("denied", F.lit(True)))
-    return shared.select("user_id", "space_id", F.explode("docs").alias("doc_id")).unionByName(alone.select("user_id", "space_id", "doc_id"))
+    return shared.unionByName(alone.select("user_id", "space_id", "doc_id"))
 
 
 def denials(matches: DataFrame, keys: list[str]) -> DataFrame:
