@@ -6,6 +6,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,16 @@ def terms_of(texts: pa.StringArray, kinds: np.ndarray) -> pa.ListArray:
     places = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside)).astype(np.int32)
     found = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data[inside]))
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(np.flatnonzero(start), ends), pa.int32()), found)
+
+
+def postings_of(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Lists of terms -> row and term of each posting, ordered by row, where its places begin (one more at the end), and all places (from 0, among the terms of a row)."""
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms = lists.flatten().dictionary_encode()
+    n = max(1, len(terms.dictionary))
+    key = row * n + terms.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(np.ones(len(key[:1]), bool), key[1:] != key[:-1]))
+    places = np.arange(len(row)) - lists.offsets.to_numpy()[row]
+    return key[first] // n, terms.dictionary.take(pa.array(key[first] % n)), np.append(first, len(key)), places[order]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kbspark.functions import words
 from kbspark.functions.text import terms
-from kbspark.operators import keyword_scan, vector_scan
+from kbspark.operators import keyword_scan, vector_scan, windows
+from kbspark.sources.tables import materialize
 
 
 def top(df: DataFrame, k: int | str, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -22,15 +24,38 @@ def top(df: DataFrame, k: int | str, keys: tuple[str, ...] = ("query_id",)) -> D
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    t = chunks.select("chunk_id", F.explode(terms(F.col("chunk_text"))).alias("term"))
-    return t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return postings_by_chunk(chunks, False)
 
 
 def postings_with_positions(chunks: DataFrame) -> DataFrame:
     """Postings with the places (from 0, among a chunk's terms) of each term."""
-    t = chunks.select("chunk_id", F.posexplode(terms(F.col("chunk_text"))).alias("place", "term"))
-    g = t.groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list("place")).alias("positions"))
-    return g.withColumn("tf", F.size("positions").cast("long"))
+    return postings_by_chunk(chunks, True).select("chunk_id", "term", "positions", "tf")
+
+
+def postings_by_chunk(chunks: DataFrame, positions: bool) -> DataFrame:
+    """Postings (chunk_id, term, tf, and positions if asked for) of the texts as they are read, so no posting is shuffled and those of a chunk stay
+    together. Only hashes of chunk_id are shuffled, to find those that several rows have, and then the postings of these."""
+    c = chunks.filter("chunk_text is not null").select("chunk_id", "chunk_text", F.xxhash64("chunk_id").alias("ref"))
+    twice = materialize(c.groupBy("ref").agg(F.count("*").alias("n")).filter("n > 1").select("ref"))
+    n, kinds = twice.count(), words.kinds(chunks.sparkSession)
+    few = F.broadcast(twice) if n <= 200_000 else twice
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in windows.pieces(batch, "w")):
+            row, term, begin, places = words.postings_of(words.terms_of(part.column("w"), kinds))
+            columns = [part.column("chunk_id").take(pa.array(row)), term, pa.array(np.diff(begin))]
+            if positions:
+                columns.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(places, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["chunk_id", "term", "tf", "positions"][: len(columns)])
+
+    alone = c.join(few, "ref", "left_anti") if n else c
+    kind = c.schema["chunk_id"].dataType.simpleString()
+    found = alone.select("chunk_id", F.lower("chunk_text").alias("w")).mapInArrow(read, f"chunk_id {kind}, term string, tf long" + ", positions array<int>" * positions)
+    if not n:
+        return found
+    t = c.join(few, "ref", "left_semi").select("chunk_id", F.posexplode(terms(F.col("chunk_text"))).alias("place", "term"))
+    both = [F.count("*").alias("tf"), *([F.sort_array(F.collect_list("place")).alias("positions")] if positions else [])]
+    return found.unionByName(t.groupBy("chunk_id", "term").agg(*both))
 
 
 def query_terms(queries: DataFrame, most: int = 30) -> DataFrame:

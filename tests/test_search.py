@@ -27,6 +27,19 @@ def listed(df):
     return sorted(map(tuple, df.select("query_id", "chunk_id", "score", "rank").collect()))
 
 
+def test_postings_are_made_where_texts_are_read(spark):
+    """The same postings as by grouping all terms, for ids that several rows have too; only hashes of ids meet in a shuffle."""
+    odd = spark.createDataFrame([("x", "b a b"), ("x", "c b"), ("y", "一二 a1 É é"), (None, "a b"), (None, "a"), ("z", None), ("v", " .")], "chunk_id string, chunk_text string")
+    chunks = corpus(spark).select("chunk_id", "chunk_text")
+    for c in (chunks, chunks.unionByName(odd), odd.filter("chunk_id = 'y'"), odd.limit(0)):
+        t = c.select("chunk_id", F.posexplode(terms(F.col("chunk_text"))).alias("place", "term"))
+        want = sorted((str(r.chunk_id), r.term, r.tf, r.p) for r in t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("p")).collect())
+        assert sorted((str(r.chunk_id), r.term, r.tf, r.positions) for r in retrieval.postings_with_positions(c).collect()) == want
+        assert sorted((str(r.chunk_id), r.term, r.tf) for r in retrieval.postings(c).collect()) == [w[:3] for w in want]
+    for plan in (retrieval.postings(chunks), retrieval.postings_with_positions(chunks)):
+        assert "Exchange" not in plan._jdf.queryExecution().toString()
+
+
 def test_index_search_is_the_search_without_one(spark, tmp_path):
     """The same rows for numbers and columns of k, and fewer postings joined than the terms have."""
     chunks, q, path = corpus(spark), asked(spark), str(tmp_path / "index")
