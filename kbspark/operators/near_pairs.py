@@ -155,22 +155,58 @@ def closest(chunks: DataFrame, level: float = 0.6, most: int = 20) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*place)))  # of `most` rows
 
 
-def prefix_overlap(chunks: DataFrame, prefix: int = 80, least: int = 100, gram: int = 24) -> DataFrame:
+def prefix_overlap(chunks: DataFrame, prefix: int = 80, least: int = 100, gram: int = 24, most_bits: int = 1 << 28) -> DataFrame:
     """Pairs (a, b) of chunks of different documents where the first `prefix` characters of b (of `least` characters or more) stand in a.
     chunk_id must be unique.
 
-    Each stretch of `prefix` characters has an anchor, the least hash of the stretches of `gram` characters in it; equal stretches have equal
-    anchors, and neighbours mostly share one. So anchors alone are shuffled, some for a text, to meet those of heads of other documents; a text
-    they lead to is searched for these heads. Heads are compared as texts in the end, so hashes only narrow."""
+    Hashes of all heads go to every task as bits (up to `most_bits`); a text is searched for stretches whose hash may be a head's as it is read,
+    so neither texts nor their stretches are shuffled, only those found. A text's own head counts if other documents have it too. Heads are
+    compared as texts in the end, so hashes and bits only narrow."""
     at_least = lambda n: F.length("chunk_text") >= n
-    texts = chunks.select("chunk_id", "doc_id", "chunk_text").filter("chunk_text is not null and doc_id is not null").withColumn("ref", F.xxhash64("chunk_id"))
+    texts = chunks.select("chunk_id", "doc_id", "chunk_text").filter("chunk_text is not null and doc_id is not null")
     heads = texts.filter(at_least(least)).select("chunk_id", "doc_id", F.substring("chunk_text", 1, prefix).alias("chunk_text"))
-    b = heads.mapInArrow(lambda batches: anchors_of_heads(batches, prefix, gram), "b string, b_doc long, head string, h long, anchor long")
-    by_head = b.groupBy("anchor", "h").agg(F.min("b_doc").alias("first"), F.max("b_doc").alias("last"))
-    a = texts.filter(at_least(prefix)).select("ref", "doc_id", "chunk_text").mapInArrow(lambda batches: anchors_of_texts(batches, prefix, gram), "ref long, doc_id long, anchor long")
-    met = a.join(by_head, "anchor").filter("doc_id <> first or doc_id <> last").groupBy("ref").agg(F.collect_set("h").alias("wanted"))
-    holds = texts.join(met, "ref").select("chunk_id", "doc_id", "chunk_text", "wanted").mapInArrow(lambda batches: heads_in_texts(batches, prefix), "a string, a_doc long, head string, h long")
-    return holds.join(b.select("b", "b_doc", "head", "h"), ["h", "head"]).filter("a_doc <> b_doc").select("a", "b")
+    b = heads.mapInArrow(lambda batches: anchors_of_heads(batches, prefix, gram), "b string, b_doc long, head string, h long, anchor long").drop("anchor")
+    by_head = materialize(b.groupBy("h").agg((F.min("b_doc") != F.max("b_doc")).alias("shared")))
+    every, shared = bits_of(by_head.select("h"), most_bits), bits_of(by_head.filter("shared").select("h"), most_bits)
+    send = chunks.sparkSession.sparkContext.broadcast
+    every, shared = send(every), send(shared)
+    holds = texts.filter(at_least(prefix)).mapInArrow(lambda batches: heads_in_texts(batches, prefix, least, every.value, shared.value), "a string, a_doc long, head string, h long")
+    return holds.join(b, ["h", "head"]).filter("a_doc <> b_doc").select("a", "b")
+
+
+#: Odd multipliers, one for each bit that a hash sets.
+PROBES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+def places_of(h: np.ndarray, probe: np.uint64, size: int) -> np.ndarray:
+    """Numbers of bits, of 2 ** size, for hashes."""
+    return h.view(np.uint64) * probe >> np.uint64(64 - size)
+
+
+def bits_of(hashes: DataFrame, most: int) -> np.ndarray:
+    """Words of 64 bits, 16 bits or more a hash up to `most` in all, of which each of the hashes (h) sets a few."""
+    size = max(6, min(most.bit_length() - 1, (16 * hashes.count()).bit_length()))
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate([places_of(batch.column("h").to_numpy(zero_copy_only=False), x, size) for x in PROBES]))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([longs(word), longs(bits)], ["word", "bits"])
+
+    found = hashes.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << size - 6, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_be(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Where all bits of a hash are set."""
+    at, size = np.arange(len(h)), (64 * len(bits)).bit_length() - 1
+    for x in PROBES:
+        place = places_of(h[at], x, size)
+        at = at[(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
 
 
 def longs(x: np.ndarray) -> pa.Array:
@@ -196,19 +232,27 @@ def anchors_of_texts(batches: Iterable[pa.RecordBatch], prefix: int, gram: int)
         yield pa.RecordBatch.from_arrays([part.column("ref").take(at), part.column("doc_id").take(at), longs(anchor[new])], ["ref", "doc_id", "anchor"])
 
 
-def heads_in_texts(batches: Iterable[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
-    """The first place of each wanted head in its text."""
+def heads_in_texts(batches: Iterable[pa.RecordBatch], prefix: int, least: int, every: np.ndarray, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The first place of each stretch in a text that may be a head; its own head, if others may share it."""
     for part in (p for batch in batches for p in windows.pieces(batch, "chunk_text")):
-        texts, wanted = part.column("chunk_text").to_pylist(), part.column("wanted")
+        texts = part.column("chunk_text").to_pylist()
         t = windows.Texts(texts)
-        h, end, rows, heads, found = t.hashes(prefix).view(np.int64), 0, [], [], []
-        for row, text in enumerate(texts):
-            begin, end = end, int(t.end[row])
-            here = h[begin : end - prefix + 1]
-            for x in np.intersect1d(here, wanted[row].values.to_numpy()):
-                at = int(np.argmax(here == x))
-                rows.append(row)
-                heads.append(text[at : at + prefix])
-                found.append(x)
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(at), part.column("doc_id").take(at), pa.array(heads, pa.string()), pa.array(found, pa.int64())], ["a", "a_doc", "head", "h"])
+        length = np.array([len(x) for x in texts], np.int64)
+        at = np.flatnonzero(t.left >= prefix)
+        h = t.hashes(prefix)[at]
+        found = may_be(h, every)
+        at, h = at[found], h[found]
+        row = t.row[at]
+        place = length[row] - t.left[at]
+        other = np.flatnonzero((place > 0) | (length[row] < least))
+        own = np.flatnonzero((place == 0) & (length[row] >= least))
+        keep = np.sort(np.concatenate([other, own[may_be(h[own], shared)]]))
+        row, place, h = row[keep], place[keep], h[keep]
+        order = np.lexsort((place, h, row))
+        row, place, h = row[order], place[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+        row, place, h = row[new], place[new], h[new]
+        rows = pa.array(row)
+        heads = pa.array([texts[i][j : j + prefix] for i, j in zip(row.tolist(), place.tolist(), strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([part.column("chunk_id").take(rows), part.column("doc_id").take(rows), heads, longs(h)], ["a", "a_doc", "head", "h"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -217,6 +218,22 @@ def test_prefix_overlap_against_every_pair(spark):
     assert got == {(f"c{i}", f"c{j}") for i, a in enumerate(texts) for j, b in enumerate(texts) if i % 4 != j % 4 and a and b and len(b) >= 100 and b[:80] in a}
 
 
+def test_prefix_overlap_shuffles_no_texts(spark):
+    """Stretches that are no head stay where they are read, with few bits too, which only narrow less."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(40)]
+    texts += [texts[i][:300] for i in range(5)] + ["é" + texts[7][:80]]
+    c = spark.createDataFrame([(i, f"c{i}", x) for i, x in enumerate(texts)], "doc_id long, chunk_id string, chunk_text string")
+    want = {(f"c{i}", f"c{j}") for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and len(b) >= 100 and b[:80] in a}
+    for most in (1 << 28, 64):
+        assert sorted(map(tuple, near_pairs.prefix_overlap(c, most_bits=most).collect())) == sorted(want) and len(want) == 11
+    heads = spark.createDataFrame([(i,) for i in (5, -7, 2**62)], "h long")
+    bits = near_pairs.bits_of(heads, 1 << 20)
+    assert list(near_pairs.may_be(np.array([5, -7, 2**62], np.int64), bits)) == [0, 1, 2] and len(near_pairs.may_be(np.arange(10, 1010), bits)) < 600
+    plan = near_pairs.prefix_overlap(c)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 2  # what is found, and the heads
+
+
 def test_prefix_overlap_shuffles_few_anchors(spark):
     """Equal stretches share an anchor wherever they lie, and a text has far fewer anchors than stretches."""
     rng = random.Random(3)
